@@ -6,6 +6,9 @@ functions and md5 are used, so that both engines agree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from factfeed.operators.annotation import (
     statements,
 )
 from factfeed.operators.ordering import number_rows
+from factfeed.operators.sections import build_sections
+from factfeed.session import materialize
 
 CONFIG = AnnotateConfig()
 HEX = "0123456789abcdef"
@@ -37,6 +42,24 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+Fixture = Callable[[SparkSession, str], DataFrame]
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(fn: Fixture) -> Fixture:
+    """Write a derived input once per session and test set, as the tables an
+    operator starts from would be, and read it from there."""
+
+    @wraps(fn)
+    def read(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, fn.__name__)
+        if key not in _written:
+            _written[key] = materialize(fn(spark, sf), fn.__name__)
+        return _written[key]
+
+    return read
+
+
 def pick(values: tuple[str, ...], i: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
 
@@ -63,12 +86,14 @@ def qa(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def answers(spark: SparkSession, sf: str) -> DataFrame:
     return qa(spark, sf).select(
         F.col("qid").alias("answer_id"), "qid", "question", strip(F.col("answer")).alias("answer")
     )
 
 
+@stored
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Every document belongs to one question of its conversation."""
     conv = table(spark, sf, "conversations")
@@ -93,6 +118,7 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def question_records(spark: SparkSession, sf: str) -> DataFrame:
     """Question record with evidence arrays; every fifth has no documents."""
     rows = evidence(spark, sf)
@@ -184,6 +210,7 @@ def topics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- model texts -----------------------------------------------------------
+@stored
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
     """Extraction texts in ten variants: good, broken, repeated, refused."""
     rows = qa(spark, sf).select(
@@ -241,6 +268,7 @@ def extractions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("answer_id", "attempt", text.alias("text"))
 
 
+@stored
 def stmts(spark: SparkSession, sf: str) -> DataFrame:
     return statements(resolve_extractions(parse_extractions(extractions(spark, sf)), CONFIG.retry_times))
 
@@ -249,6 +277,7 @@ def tasks(spark: SparkSession, sf: str) -> DataFrame:
     return statement_tasks(stmts(spark, sf))
 
 
+@stored
 def completions(spark: SparkSession, sf: str) -> DataFrame:
     """Verify and assess texts, chosen by the first digit of the task id."""
     rows = tasks(spark, sf).select("task_id", "task", hex_digit(F.col("task_id"), 1).alias("d"))
@@ -266,6 +295,7 @@ def completions(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("task_id", "task", "attempt", both.alias("text"))
 
 
+@stored
 def labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels as a file could hold them: all five verdicts, all five grades."""
     rows = stmts(spark, sf)
@@ -279,6 +309,7 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Answers as token texts with one special token at the end."""
     tokens = F.array_append(F.regexp_extract_all("answer", F.lit(" *[^ ]+"), F.lit(0)), F.lit("</s>"))
@@ -287,6 +318,7 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ---- rollouts, vectors -----------------------------------------------------
+@stored
 def rollouts(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
     e = number_rows(e, "tok_no", ["event_id"], F.expr("event_id DIV 4096"), ["user_id"])
@@ -304,6 +336,7 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """One row per user: prompt, output tokens and rewards as arrays."""
     rows = rollouts(spark, sf).groupBy("seq_id", "prompt_len").agg(
@@ -334,6 +367,7 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """Retrieval queries of the verify tasks. One in eight has no statement
     text, half of those no question either."""
@@ -345,3 +379,8 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
         F.when(d < 2, "").otherwise(F.col("statement")).alias("statement"),
         F.when(d != 0, F.col("question")).alias("question"),
     )
+
+
+@stored
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    return build_sections(evidence(spark, sf), CONFIG.retrieve)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from factfeed.config import ASSESS_TEMPLATE, EXTRACT_TEMPLATE, VERIFY_TEMPLATE
 from factfeed.operators import annotation as an
 from factfeed.operators.retrieval import attach_passages, retrieve
-from factfeed.operators.sections import build_sections
 from factfeed.plans.annotate import label_prompts, labels_from_completions
 from factfeed.session import fresh_path
 from factfeed.streaming.label_merge import pair_stream, read_arrivals, write_pairs
@@ -96,7 +95,7 @@ FROM queries q LEFT JOIN (SELECT p.query_id, string_agg('- ' || {strip('s.sectio
 @check("verify_prompts", _VERIFY)
 def verify_prompts(spark, sf):
     tasks = fx.queries(spark, sf)
-    sections = build_sections(fx.evidence(spark, sf), CONFIG.retrieve)
+    sections = fx.sections(spark, sf)
     found = retrieve(sections, tasks, CONFIG.retrieve)
     full = an.verify_prompts(attach_passages(tasks, found, sections), CONFIG)
     return full.select(F.col("query_id").alias("task_id"), "prompt")

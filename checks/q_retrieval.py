@@ -17,12 +17,8 @@ from .registry import check
 CONFIG = fx.CONFIG.retrieve
 
 
-def _sections(spark, sf):
-    return build_sections(fx.evidence(spark, sf), CONFIG)
-
-
 def _scores(spark, sf):
-    return rt.bm25_scores(_sections(spark, sf), rt.query_sentences(fx.queries(spark, sf), CONFIG), CONFIG)
+    return rt.bm25_scores(fx.sections(spark, sf), rt.query_sentences(fx.queries(spark, sf), CONFIG), CONFIG)
 
 
 @check(
@@ -69,7 +65,8 @@ def tokenized(spark, sf):
     query("SELECT qid, sec_no, section, array_to_string(tokens, ' ') AS tokens FROM secs", "secs"),
 )
 def sections(spark, sf):
-    return _sections(spark, sf).withColumn("tokens", F.array_join("tokens", " "))
+    rows = build_sections(fx.evidence(spark, sf), CONFIG)
+    return rows.withColumn("tokens", F.array_join("tokens", " "))
 
 
 @check(
@@ -126,7 +123,7 @@ def fused_scores(spark, sf):
     query("SELECT qid, query_id, sec_no, round(score, 6) AS score, place FROM passages", "passages"),
 )
 def bm25_passages(spark, sf):
-    found = rt.bm25_passages(_sections(spark, sf), fx.queries(spark, sf), CONFIG)
+    found = rt.bm25_passages(fx.sections(spark, sf), fx.queries(spark, sf), CONFIG)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -162,4 +159,4 @@ def dense_passages_blocked(spark, sf):
 )
 def retrieve_bm25_blocked(spark, sf):
     config = replace(CONFIG, block_rows=8)
-    return rt.retrieve(_sections(spark, sf), fx.queries(spark, sf), config).withColumn("score", F.round("score", 6))
+    return rt.retrieve(fx.sections(spark, sf), fx.queries(spark, sf), config).withColumn("score", F.round("score", 6))
