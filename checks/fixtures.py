@@ -54,7 +54,8 @@ def stored(fn: Fixture) -> Fixture:
     def read(spark: SparkSession, sf: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf, fn.__name__)
         if key not in _written:
-            _written[key] = materialize(fn(spark, sf), fn.__name__)
+            files = spark.sparkContext.defaultParallelism
+            _written[key] = materialize(fn(spark, sf).repartition(files), fn.__name__)
         return _written[key]
 
     return read

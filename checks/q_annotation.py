@@ -116,6 +116,25 @@ def assess_prompts(spark, sf):
     return an.assess_prompts(tasks, CONFIG).select("task_id", "prompt")
 
 
+_PROMPTS = query(
+    f"""SELECT task_id, 'assess' AS task, replace(replace(replace({sql_text(ASSESS_TEMPLATE)}, '{{question}}', a.question),
+  '{{response}}', a.answer), '{{statement}}', t.statement) AS prompt
+FROM tasks t JOIN answers a ON a.answer_id = t.answer_id WHERE t.task = 'assess'
+UNION ALL
+SELECT q.query_id, 'verify', replace(replace({sql_text(VERIFY_TEMPLATE)}, '{{materials}}', coalesce(e.txt, '')),
+    '{{statement}}', q.statement)
+FROM queries q LEFT JOIN (SELECT p.query_id, string_agg('- ' || {strip('s.section')}, chr(10) ORDER BY p.place) AS txt
+  FROM passages p JOIN secs s ON s.qid = p.qid AND s.sec_no = p.sec_no GROUP BY p.query_id) e ON e.query_id = q.query_id""",
+    "tasks",
+    "answers",
+    "queries",
+    "passages",
+    "secs",
+).replace("CASE WHEN " + digit("t.task_id", 2) + " < 2 THEN '' ELSE t.statement END", "t.statement").replace(
+    "CASE WHEN " + digit("t.task_id", 2) + " <> 0 THEN a.question END", "a.question"
+)
+
+
 # ---- parsing ---------------------------------------------------------------
 @check("extraction_status", query("SELECT * FROM ex_status", "ex_status"))
 def extraction_status(spark, sf):
@@ -227,7 +246,7 @@ def annotation_job(spark, sf):
     return labels_from_completions(fx.extractions(spark, sf), fx.completions(spark, sf), CONFIG)
 
 
-@check("label_task_prompts", None)
+@check("label_task_prompts", _PROMPTS)
 def label_task_prompts(spark, sf):
     """Both kinds of prompts of the annotation job in one table."""
     return label_prompts(fx.tasks(spark, sf), fx.answers(spark, sf), fx.evidence(spark, sf), CONFIG)

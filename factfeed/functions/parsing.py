@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONTEXT_PHRASES, GRADES, REFUSAL_PHRASES
+from .rows import bind
 from .text import strip
 
 # fixed values: line formats of an extraction text
@@ -103,8 +104,8 @@ def with_extraction(df: DataFrame, text: str = "text") -> DataFrame:
     Everything happens inside the row: a text is one model answer, so its
     length is bounded by the answer limit of the model.
     """
-    df = df.withColumn("_lines", F.split(F.col(text), "\n"))
-    df = df.withColumn("_run", _scan_runs(_line_kinds(F.col("_lines"))))
+    df = bind(df, "_lines", F.split(F.col(text), "\n"))
+    df = bind(df, "_run", _scan_runs(_line_kinds(F.col("_lines"))))
     lines, run = F.col("_lines"), F.col("_run")
 
     kept = F.filter(
@@ -128,7 +129,7 @@ def with_extraction(df: DataFrame, text: str = "text") -> DataFrame:
         )
         return F.struct(names.alias("names"), statements.alias("statements"))
 
-    df = df.withColumn("_blocks", F.when(run["runs"] == 1, F.transform(blocks, block)))
+    df = bind(df, "_blocks", F.when(run["runs"] == 1, F.transform(blocks, block)))
     parsed = F.col("_blocks")
     good = F.forall(parsed, lambda b: F.size(b["names"]) == 1)
     low = F.lower(F.col(text))
@@ -149,13 +150,10 @@ def with_extraction(df: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
     )
+    read = F.when(status == OK, pairs).when(status == EMPTY, F.array().cast(PAIRS_TYPE))
+    df = bind(df, "_read", F.struct(status.alias("status"), read.cast(PAIRS_TYPE).alias("pairs")))
     return (
-        df.withColumn("status", status)
-        .withColumn(
-            "pairs",
-            F.when(F.col("status") == OK, pairs)
-            .when(F.col("status") == EMPTY, F.array().cast(PAIRS_TYPE))
-            .cast(PAIRS_TYPE),
-        )
-        .drop("_lines", "_run", "_blocks")
+        df.withColumn("status", F.col("_read.status"))
+        .withColumn("pairs", F.col("_read.pairs"))
+        .drop("_lines", "_run", "_blocks", "_read")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import bind
 from ..functions.text import chars
 
 PLACE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("sent_at", "ans_at", "n")])
@@ -79,18 +80,14 @@ def _common_letters(statement: pd.Series, sentence: pd.Series) -> pd.Series:
 
 def locate_sentences(df: DataFrame, sentence: str = "sentence", answer: str = "answer") -> DataFrame:
     """Add place: (sent_at, ans_at, n) of the longest common substring."""
-    at = F.position(F.col(sentence), F.col(answer))
-    df = df.withColumn("_at", at)
+    df = bind(df, "_at", F.position(F.col(sentence), F.col(answer)))
     missing = F.col("_at") == 0
     run = _common_run(F.when(missing, F.col(sentence)), F.when(missing, F.col(answer)))
     verbatim = F.struct(
         F.lit(0).alias("sent_at"), (F.col("_at") - 1).alias("ans_at"), F.length(sentence).alias("n")
     )
-    return (
-        df.withColumn("_run", run)
-        .withColumn("place", F.when(missing, F.col("_run")).otherwise(verbatim))
-        .drop("_at", "_run")
-    )
+    df = bind(df.withColumn("_run", run), "place", F.when(missing, F.col("_run")).otherwise(verbatim))
+    return df.drop("_at", "_run")
 
 
 def last_char(place: Column) -> Column:
@@ -134,12 +131,12 @@ def anchor_statements(df: DataFrame) -> DataFrame:
     df = df.withColumn("_stat", _drop_stop(F.col("statement"))).withColumn(
         "_sent", _drop_stop(F.col("sentence"))
     )
-    df = df.withColumn("_full", _walk(F.col("_stat"), F.col("_sent"), place))
+    df = bind(df, "_full", _walk(F.col("_stat"), F.col("_sent"), place))
     lost = F.col("_full.lost")
     letters = _common_letters(F.when(lost, F.col("_stat")), F.when(lost, F.col("_sent")))
     df = df.withColumn("_letters", letters)
     part = F.when(lost, _walk(F.col("_letters"), F.col("_sent"), place)["hit"]).otherwise(F.col("_full.hit"))
-    df = df.withColumn("_hit", part)
+    df = bind(df, "_hit", part)
     anchor = F.when(F.col("_hit") > 0, F.col("_hit") - 1 - place["sent_at"] + place["ans_at"])
     return df.withColumn("anchor", anchor).drop("_stat", "_sent", "_full", "_letters", "_hit")
 
@@ -158,7 +155,7 @@ def with_offsets(outputs: DataFrame, special: bool = True) -> DataFrame:
         return F.struct(end.alias("end"), F.array_append(acc["ends"], end).alias("ends"))
 
     zero = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("ends"))
-    return outputs.withColumn("ends", F.aggregate(tokens, zero, add)["ends"]).withColumn(
+    return bind(outputs, "ends", F.aggregate(tokens, zero, add)["ends"]).withColumn(
         "n_tokens", F.size("tokens")
     )
 

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Run-time settings the plans are written for. All are ordinary SQL options:
 # results do not depend on them, only the number of exchanges does.
@@ -17,6 +18,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # a join on (block, term) may reuse a partitioning by block alone
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # folds cost far more than their bytes suggest: keep small partitions apart
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # hash instead of sort where every partition of a side is known to be small
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -57,3 +62,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 100_000
+
+
+def small_or_none(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """Check the size of a narrow table before a join.
+
+    None when it is empty, marked for broadcast when it has at most `limit`
+    rows, and unmarked (an ordinary shuffle join) beyond that.
+    """
+    n = df.limit(limit + 1).count()
+    if n == 0:
+        return None
+    return F.broadcast(df) if n <= limit else df
