@@ -164,4 +164,4 @@ class ExperienceConfig:
     lambd: float = 0.95
     estimator: str = "gae"  # or "reinforce"
     eps: float = 1e-8
-    chunk: int = 1024
+    chunk: int = 256

@@ -113,8 +113,9 @@ def resolve_extractions(parsed: DataFrame, retry_times: int) -> DataFrame:
 
 
 def statements(resolved: DataFrame) -> DataFrame:
-    """Distinct (answer, sentence, statement)."""
-    return resolved.select("answer_id", F.inline("pairs")).distinct()
+    """Distinct (answer, sentence, statement); answers are unique already, so
+    repeated statements are dropped inside the row."""
+    return resolved.select("answer_id", F.inline(F.array_distinct("pairs")))
 
 
 def statement_tasks(stmts: DataFrame) -> DataFrame:
@@ -138,11 +139,8 @@ def resolve_labels(tasks: DataFrame, completions: DataFrame, config: AnnotateCon
 
 def pair_labels(resolved: DataFrame) -> DataFrame:
     """Verdict and grade of a statement side by side."""
-    return (
-        resolved.groupBy(*STATEMENT_KEYS)
-        .pivot("task", ["verify", "assess"])
-        .agg(F.first("label"))
-    )
+    of = lambda task: F.max(F.when(F.col("task") == task, F.col("label"))).alias(task)
+    return resolved.groupBy(*STATEMENT_KEYS).agg(of("verify"), of("assess"))
 
 
 def nest_labels(answers: DataFrame, labels: DataFrame) -> DataFrame:

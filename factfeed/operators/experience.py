@@ -128,37 +128,37 @@ def shaped_reward(
     return reward - F.lit(max(float(kl_coef), 0.0)) * kl
 
 
+def _masked(name: str, mask: str | None) -> Column:
+    return F.col(name) * F.col(mask) if mask else F.col(name)
+
+
 def gae(
-    df: DataFrame, gamma: float, lambd: float, value: str = "value", reward: str = "shaped",
-    mask: str | None = "mask", chunk: int = 1024,
+    df: DataFrame,
+    gamma: float,
+    lambd: float,
+    value: str = "value",
+    reward: str = "shaped",
+    mask: str | None = "mask",
+    chunk: int = 256,
 ) -> DataFrame:
     """Add advantage and return per token of (seq_id, tok_no).
 
-    The next value comes from an equi-join on the position, not from a window
-    over the whole sequence; the sum runs as a chunked reverse scan.
+    advantage[t] = r[t] + gamma * v[t+1] - v[t] + gamma * lambd * advantage[t+1]
+    with v = 0 behind the end; the return is advantage + value.
     """
-    m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    df = df.withColumn("_v", F.col(value) * m).withColumn("_r", F.col(reward) * m)
-    after = df.select("seq_id", (F.col("tok_no") - 1).alias("tok_no"), F.col("_v").alias("_next"))
-    deltas = df.select("seq_id", "tok_no", "_v", "_r").join(after, ["seq_id", "tok_no"], "left").withColumn(
-        "_d", F.col("_r") + gamma * F.coalesce("_next", F.lit(0.0)) - F.col("_v")
-    )
-    scan = reverse_scan(deltas, "seq_id", "tok_no", "_d", gamma * lambd, "advantage", chunk)
-    return (
-        df.join(scan, ["seq_id", "tok_no"])
-        .withColumn("return", F.col("advantage") + F.col("_v"))
-        .drop("_v", "_r")
+    r, v = _masked(reward, mask), _masked(value, mask)
+    scanned = reverse_scan(
+        df, "seq_id", "tok_no", r - v, gamma * lambd, "advantage", ahead=v, weight=gamma, chunk=chunk
     )
+    return scanned.withColumn("return", F.col("advantage") + v)
 
 
 def cumulative_returns(
-    df: DataFrame, gamma: float, reward: str = "shaped", mask: str | None = "mask", chunk: int = 1024
+    df: DataFrame, gamma: float, reward: str = "shaped", mask: str | None = "mask", chunk: int = 256
 ) -> DataFrame:
     """Discounted reward to go; the advantage is the same number."""
-    m = F.col(mask).cast("double") if mask else F.lit(1.0)
-    xs = df.withColumn("_r", F.col(reward) * m)
-    scan = reverse_scan(xs, "seq_id", "tok_no", "_r", gamma, "return", chunk)
-    return df.join(scan, ["seq_id", "tok_no"]).withColumn("advantage", F.col("return"))
+    scanned = reverse_scan(df, "seq_id", "tok_no", _masked(reward, mask), gamma, "return", chunk=chunk)
+    return scanned.withColumn("advantage", F.col("return"))
 
 
 def sequence_summary(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import bind
+
 
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
     """First n rows by a unique order column.
@@ -104,60 +106,86 @@ def number_by_hash(df: DataFrame, out: str, key: str, seed: int, digits: int = 3
 
 
 def reverse_scan(
-    df: DataFrame, seq: str, pos: str, x: str, decay: float, out: str, chunk: int = 1024
+    df: DataFrame,
+    seq: str,
+    pos: str,
+    x: Column,
+    decay: float,
+    out: str,
+    ahead: Column | None = None,
+    weight: float = 0.0,
+    chunk: int = 256,
 ) -> DataFrame:
-    """y[t] = x[t] + decay * y[t+1] along every sequence.
+    """Add y[t] = x[t] + weight * ahead[t+1] + decay * y[t+1] per sequence.
 
-    Sequences are cut into chunks of `chunk` positions (pos is 0-based and
-    dense). Chunks are folded independently, a second fold over one number per
-    chunk carries the values across, so long or hot sequences are spread out.
+    pos is 0-based and dense. Sequences are cut into chunks of `chunk`
+    positions, and the rows are shuffled once, by (sequence, chunk): a long or
+    hot sequence is spread over its chunks. What a chunk needs from all later
+    ones is a single number, found from plain sums per chunk.
     """
-    chunks = (
-        df.withColumn("_chunk", F.floor(F.col(pos) / chunk))
-        .groupBy(seq, "_chunk")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(x).alias("x")))).alias("_xs"))
+    own = df.columns
+    decay_, weight_ = F.lit(float(decay)), F.lit(float(weight))
+    rows = df.withColumn("_x", x.cast("double")).withColumn(
+        "_a", (ahead if ahead is not None else F.lit(0.0)).cast("double")
     )
-
-    def back(acc: Column, item: Column) -> Column:
-        y = item["x"] + F.lit(decay) * acc["y"]
-        row = F.struct(item["p"].alias("p"), y.alias("y"))
-        return F.struct(y.alias("y"), F.array_append(acc["ys"], row).alias("ys"))
-
-    zero = F.struct(
-        F.lit(0.0).alias("y"),
-        F.array().cast(f"array<struct<p:{dict(df.dtypes)[pos]},y:double>>").alias("ys"),
-    )
-    folded = chunks.withColumn("_f", F.aggregate(F.reverse("_xs"), zero, back)).select(
-        seq, "_chunk", F.col("_f.y").alias("_head"), F.size("_xs").alias("_len"), F.col("_f.ys").alias("_ys")
+    rows = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk))
+
+    # chunk totals as seen from the first position of the chunk
+    step = F.col(pos) - F.col("_chunk") * chunk
+    first = step == 0
+    heads = rows.groupBy(seq, "_chunk").agg(
+        F.sum(F.pow(decay_, step) * F.col("_x")).alias("_hx"),
+        F.sum(F.when(~first, F.pow(decay_, step - 1) * F.col("_a")).otherwise(0.0)).alias("_ha"),
+        F.sum(F.when(first, F.col("_a")).otherwise(0.0)).alias("_first"),
+        F.count(F.lit(1)).alias("_len"),
     )
-
-    # value just after each chunk: one small array per sequence, also folded
-    heads = folded.groupBy(seq).agg(
-        F.array_sort(
-            F.collect_list(F.struct(F.col("_chunk").alias("c"), F.col("_head").alias("h"), F.col("_len").alias("n")))
-        ).alias("_hs")
+    heads = heads.select(
+        seq,
+        F.struct(
+            F.col("_chunk").alias("c"),
+            (F.col("_hx") + weight_ * F.col("_ha")).alias("h"),
+            F.col("_first").alias("a"),
+            F.col("_len").alias("n"),
+        ).alias("_h"),
     )
 
     def carry(acc: Column, item: Column) -> Column:
-        row = F.struct(item["c"].alias("c"), acc["y"].alias("after"))
-        y = item["h"] + F.pow(F.lit(float(decay)), item["n"]) * acc["y"]
-        return F.struct(y.alias("y"), F.array_append(acc["cs"], row).alias("cs"))
+        after = weight_ * acc["a"] + decay_ * acc["y"]
+        y = item["h"] + F.pow(decay_, item["n"] - 1) * after
+        row = F.struct(item["c"].alias("c"), after.alias("after"))
+        return F.struct(y.alias("y"), item["a"].alias("a"), F.array_append(acc["out"], row).alias("out"))
 
     none = F.struct(
-        F.lit(0.0).alias("y"), F.array().cast("array<struct<c:bigint,after:double>>").alias("cs")
+        F.lit(0.0).alias("y"),
+        F.lit(0.0).alias("a"),
+        F.array().cast("array<struct<c:bigint,after:double>>").alias("out"),
     )
     after = (
-        heads.withColumn("_c", F.aggregate(F.reverse("_hs"), none, carry))
-        .select(seq, F.inline("_c.cs"))
+        heads.groupBy(seq)
+        .agg(F.reverse(F.array_sort(F.collect_list("_h"))).alias("_hs"))
+        .select(seq, F.inline(F.aggregate("_hs", none, carry)["out"]))
         .withColumnRenamed("c", "_chunk")
     )
-    last = (F.col("_chunk") * chunk + F.col("_len")).cast("double")
-    return (
-        folded.join(after, [seq, "_chunk"])
-        .select(seq, last.alias("_end"), "after", F.inline("_ys"))
-        .select(
-            seq,
-            F.col("p").alias(pos),
-            (F.col("y") + F.pow(F.lit(float(decay)), F.col("_end") - F.col("p")) * F.col("after")).alias(out),
-        )
+
+    # fold every chunk from its end, starting with that number
+    names = [c for c in own if c != seq]
+    item = F.struct(F.col(pos).alias("_pos"), "_x", "_a", *[F.col(c) for c in names])
+    chunks = (
+        rows.groupBy(seq, "_chunk")
+        .agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rows"))
+        .join(after, [seq, "_chunk"])
     )
+
+    def back(acc: Column, item: Column) -> Column:
+        y = item["_x"] + acc["next"]
+        return F.struct(
+            (weight_ * item["_a"] + decay_ * y).alias("next"),
+            F.array_append(acc["ys"], y).alias("ys"),
+        )
+
+    zero = F.struct(F.col("after").alias("next"), F.array().cast("array<double>").alias("ys"))
+    ys = F.aggregate("_rows", zero, back)["ys"]
+    chunks = bind(chunks, "_ys", ys)
+    return chunks.select(
+        seq, F.explode(F.arrays_zip("_rows", "_ys")).alias("_z")
+    ).select(*[F.col(seq) if c == seq else F.col(f"_z._rows.{c}") for c in own], F.col("_z._ys").alias(out))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..config import ExperienceConfig
+from ..session import materialize
 from ..operators.experience import (
     cumulative_returns,
     gae,
@@ -24,7 +25,8 @@ def token_experience(rollouts: DataFrame, config: ExperienceConfig = ExperienceC
         df = cumulative_returns(df, config.gamma, chunk=config.chunk)
     else:
         raise ValueError(f"unknown advantage estimator {config.estimator!r}")
-    return normalize_advantages(df, config.eps)
+    # the normalization reads the advantages twice: for the mean and the rows
+    return normalize_advantages(materialize(df, "advantages"), config.eps)
 
 
 def sequence_info(rollouts: DataFrame, config: ExperienceConfig = ExperienceConfig()) -> DataFrame:

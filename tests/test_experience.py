@@ -38,7 +38,7 @@ def brute_gae(rows, gamma, lambd):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1024, 8, 1])
+@pytest.mark.parametrize("chunk", [256, 8, 1])
 @pytest.mark.parametrize(("gamma", "lambd"), [(1.0, 1.0), (0.9, 0.95), (0.5, 0.0), (0.0, 0.9)])
 def test_gae_against_loop(spark, chunk, gamma, lambd):
     rows = world()
@@ -61,7 +61,7 @@ def test_gae_without_decay_is_suffix_sum_minus_value(spark):
         assert r["advantage"] == pytest.approx(sum(x[2] for x in seq[t:]) - seq[t][3], abs=1e-9)
 
 
-@pytest.mark.parametrize("chunk", [1024, 7])
+@pytest.mark.parametrize("chunk", [256, 7])
 def test_returns_against_loop(spark, chunk):
     rows = world(3)
     got = ex.cumulative_returns(spark.createDataFrame(rows, ROWS), 0.8, chunk=chunk).collect()
