@@ -70,6 +70,7 @@ def hex_digit(col: Column, at: int) -> Column:
 
 
 # ---- questions, answers, evidence ------------------------------------------
+@stored
 def qa(spark: SparkSession, sf: str) -> DataFrame:
     """User turns with the assistant turn that follows."""
     conv = table(spark, sf, "conversations")
@@ -148,6 +149,7 @@ def doc_title(doc_id: Column) -> Column:
     return F.concat(F.lit("Doc & "), k.cast("string"))
 
 
+@stored
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat(F.lit("<s>"), F.replace("text", F.lit("\n"), F.lit(PARAGRAPH_SENTINEL)), F.lit("</s>"))
     return table(spark, sf, "documents").select(
@@ -159,6 +161,7 @@ def _question(first: Column, doc_id: Column) -> Column:
     return F.concat(strip(first), F.when(doc_id % 3 != 0, "?").otherwise(""))
 
 
+@stored
 def qa_span(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     word = F.regexp_extract("text", r"^([^\s]+)", 1)
@@ -173,6 +176,7 @@ def qa_span(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@stored
 def qa_context(spark: SparkSession, sf: str) -> DataFrame:
     """Three neighbouring documents as context, two of them supporting."""
     d = table(spark, sf, "documents").select(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import RewardConfig
 from ..functions.numbers import lookup
+from ..functions.rows import bind
 from .alignment import anchor_statements, last_char, locate_sentences, token_at, with_offsets
 from .annotation import drop_refusals
 
@@ -61,11 +62,8 @@ def _fill_spine(outputs: DataFrame, points: DataFrame, default: float = 0.0) ->
         F.sequence(F.lit(0), n - 1),
         lambda i: F.coalesce(F.try_element_at("_scores", i), F.lit(float(default))),
     )
-    return (
-        outputs.join(summed, "answer_id", "left")
-        .withColumn("scores", F.when(n > 0, scores).otherwise(F.array().cast("array<double>")))
-        .select("answer_id", "scores")
-    )
+    filled = F.when(n > 0, scores).otherwise(F.array().cast("array<double>"))
+    return bind(outputs.join(summed, "answer_id", "left"), "scores", filled).select("answer_id", "scores")
 
 
 def token_points(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
