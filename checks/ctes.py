@@ -227,15 +227,14 @@ cte("spine", ("outputs",), """SELECT answer_id, no - 1 AS tok_no, tok,
 FROM (SELECT answer_id, len(tokens) AS n, unnest(tokens) AS tok, unnest(range(1, len(tokens) + 1)) AS no FROM outputs)""")
 
 # ---- rollouts, vectors -----------------------------------------------------
-cte("rollouts", (), """SELECT user_id AS seq_id,
-  row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS tok_no,
+cte("rollouts", (), """SELECT user_id * 1000000 + no // 64 AS seq_id, no % 64 AS tok_no,
   (event_id % 32000)::INTEGER AS token, (-(floor(value)::BIGINT % 5))::DOUBLE AS logp,
   (-(event_id % 5))::DOUBLE AS ref_logp, (event_id % 11) / 10.0::DOUBLE AS value,
   (floor(value)::BIGINT % 7 - 3)::DOUBLE AS reward,
   CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS mask, (user_id % 5 + 1)::INTEGER AS prompt_len
-FROM events""")
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS no FROM events)""")
 cte("seqs", ("rollouts",), """SELECT seq_id,
-  list_transform(range(1, any_value(prompt_len) + 1), lambda i: (seq_id * 10 + i)::INTEGER) AS prompt_ids,
+  list_transform(range(1, any_value(prompt_len) + 1), lambda i: (seq_id % 30000 * 10 + i)::INTEGER) AS prompt_ids,
   list(token ORDER BY tok_no) AS output_ids, list(reward ORDER BY tok_no) AS rewards
 FROM rollouts GROUP BY seq_id""")
 cte("batched", ("seqs",), """SELECT *, (no // 8) AS batch_id, (no % 8)::INTEGER AS pos

@@ -11,6 +11,7 @@ from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from factfeed.config import PARAGRAPH_SENTINEL, REFUSAL_PHRASES, VERDICTS, AnnotateConfig
 from factfeed.functions.text import escape_html, raw_sentences, sentences, strip
@@ -22,7 +23,7 @@ from factfeed.operators.annotation import (
 )
 from factfeed.operators.ordering import number_rows
 from factfeed.operators.sections import build_sections
-from factfeed.session import materialize
+from factfeed.session import write_table
 
 CONFIG = AnnotateConfig()
 HEX = "0123456789abcdef"
@@ -43,7 +44,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 Fixture = Callable[[SparkSession, str], DataFrame]
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def stored(fn: Fixture) -> Fixture:
@@ -55,8 +56,10 @@ def stored(fn: Fixture) -> Fixture:
         key = (spark.sparkContext.applicationId, sf, fn.__name__)
         if key not in _written:
             files = spark.sparkContext.defaultParallelism
-            _written[key] = materialize(fn(spark, sf).repartition(files), fn.__name__)
-        return _written[key]
+            rows = fn(spark, sf).repartition(files)
+            _written[key] = write_table(rows, fn.__name__), rows.schema
+        path, schema = _written[key]
+        return spark.read.schema(schema).parquet(path)
 
     return read
 
@@ -325,12 +328,15 @@ def outputs(spark: SparkSession, sf: str) -> DataFrame:
 # ---- rollouts, vectors -----------------------------------------------------
 @stored
 def rollouts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user in order, cut into sequences of at most 64 tokens, as
+    the length of a model output is limited too."""
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    e = number_rows(e, "tok_no", ["event_id"], F.expr("event_id DIV 4096"), ["user_id"])
+    e = number_rows(e, "no", ["event_id"], F.expr("event_id DIV 4096"), ["user_id"])
     v = F.floor("value")
+    seq = F.col("user_id") * 1_000_000 + F.expr("no DIV 64")
     return e.select(
-        F.col("user_id").alias("seq_id"),
-        "tok_no",
+        seq.alias("seq_id"),
+        (F.col("no") % 64).alias("tok_no"),
         (F.col("event_id") % 32000).cast("int").alias("token"),
         (-(v % 5)).cast("double").alias("logp"),
         (-(F.col("event_id") % 5)).cast("double").alias("ref_logp"),
@@ -343,14 +349,14 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 @stored
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per user: prompt, output tokens and rewards as arrays."""
+    """One row per sequence: prompt, output tokens and rewards as arrays."""
     rows = rollouts(spark, sf).groupBy("seq_id", "prompt_len").agg(
         F.array_sort(F.collect_list(F.struct("tok_no", "token", "reward"))).alias("_r")
     )
     return rows.select(
         "seq_id",
         F.transform(
-            F.sequence(F.lit(1), F.col("prompt_len")), lambda i: (F.col("seq_id") * 10 + i).cast("int")
+            F.sequence(F.lit(1), F.col("prompt_len")), lambda i: (F.col("seq_id") % 30000 * 10 + i).cast("int")
         ).alias("prompt_ids"),
         F.col("_r.token").alias("output_ids"),
         F.col("_r.reward").alias("rewards"),

@@ -57,11 +57,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a costly stage once and go on from the written table."""
+def write_table(df: DataFrame, name: str) -> str:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a costly stage once and go on from the written table."""
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
 
 
 BROADCAST_ROWS = 100_000
