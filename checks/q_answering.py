@@ -6,7 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from factfeed.operators.inference import batch_predict, fan_out_samples, keep_evidence
+from factfeed.operators.inference import batch_predict, fan_out_samples, keep_evidence, sampling_settings
 
 from . import fixtures as fx
 from .ctes import query
@@ -52,3 +52,22 @@ def evidence_columns(spark, sf):
         F.array_join("titles", "|").alias("titles"),
         F.get("answers", F.lit(0)).alias("answer"),
     )
+
+
+@check(
+    "attempt_sampling",
+    query(
+        """SELECT answer_id::VARCHAR AS task_id, attempt, 1 + attempt / 4.0::DOUBLE AS temperature, 1.0::DOUBLE AS top_p, 4096 AS max_tokens
+FROM extractions
+UNION ALL
+SELECT task_id, attempt, 0.3::DOUBLE, 0.3::DOUBLE, CASE WHEN task = 'verify' THEN 32 ELSE 48 END FROM completions""",
+        "extractions",
+        "completions",
+    ),
+)
+def attempt_sampling(spark, sf):
+    """Settings a model would get for every attempt of every task."""
+    first = fx.extractions(spark, sf).select(F.col("answer_id").cast("string").alias("task_id"), F.lit("extract").alias("task"), "attempt")
+    rows = first.unionByName(fx.completions(spark, sf).select("task_id", "task", "attempt"))
+    settings = sampling_settings(F.col("task"), F.col("attempt"), fx.CONFIG.retry_times)
+    return rows.select("task_id", "attempt", settings.alias("s")).select("task_id", "attempt", "s.*")

@@ -45,6 +45,14 @@ CONTEXT_PHRASES = (
 PARAGRAPH_SENTINEL = "####SPECIAL####SEPARATOR####"
 EVIDENCE_COLUMNS = ("question", "materials", "titles", "extra_materials")
 
+# ---- fixed values: sampling of the label model per task --------------------
+# task -> (temperature, top_p, max_tokens)
+SAMPLING = {
+    "extract": (1.0, 1.0, 4096),
+    "verify": (0.3, 0.3, 32),
+    "assess": (0.3, 0.3, 48),
+}
+
 # ---- fixed values: stop words of the query side (case-sensitive) -----------
 STOP_WORDS = tuple(
     """

@@ -18,6 +18,17 @@ def slug(verdict: str) -> str:
 COUNTS = [f"n_{slug(v)}" for v in VERDICTS] + [f"n_valid_{slug(v)}" for v in VERDICTS] + ["n_helpless", "n_statements"]
 SHARES = ["accuracy", "valid_accuracy", "ground", "info", "info_reward"]
 METRICS = COUNTS + SHARES
+# fixed values: names of the metrics in reports
+REPORT_NAMES = (
+    {f"n_{slug(v)}": f"#{v}" for v in VERDICTS}
+    | {f"n_valid_{slug(v)}": f"#Valid {v}" for v in VERDICTS}
+    | {"n_helpless": "#helpless", "n_statements": "#statements"}
+    | {"valid_accuracy": "valid accuracy", "refuse": "%refuse"}
+)
+
+
+def with_report_names(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed(REPORT_NAMES)
 
 
 def answer_metrics(answers: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:

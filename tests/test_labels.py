@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from factfeed.config import AnnotateConfig, RetrieveConfig, RewardConfig
 from factfeed.operators import annotation as an
 from factfeed.operators import rewards as rw
 from factfeed.operators.inference import batch_predict, fan_out_samples
-from factfeed.operators.metrics import answer_metrics, corpus_metrics
+from factfeed.operators.metrics import answer_metrics, corpus_metrics, with_report_names
 from factfeed.plans.annotate import annotate_with_model
 from factfeed.plans.score import score_answers, strip_texts
 from factfeed.session import ship
@@ -107,6 +108,8 @@ def test_metrics(spark):
     none = corpus_metrics(answer_metrics(outputs(spark).filter("answer_id = 3"), labels(spark))).first()
     assert none["accuracy"] == 1.0 and none["refuse"] == 1.0
     assert corpus_metrics(scored.metrics.filter("false")).first()["refuse"] is None
+    named = with_report_names(corpus_metrics(scored.metrics)).columns
+    assert {"#Correct", "#Valid Hedged wrong", "#statements", "valid accuracy", "%refuse", "info"} <= set(named)
 
 
 def test_nested(spark):
@@ -214,3 +217,18 @@ def test_annotation_with_a_model(spark):
     # without evidence the answer never parses, so the default counts
     assert rows[1, "other"][1] == "Vague" and rows[3, "sky"][1] == "Vague"
     assert all(r[2] in "12345" for r in rows.values())
+
+    def heated():
+        """Reads its settings: the first attempts are too cold to answer."""
+
+        def predict(prompts, settings):
+            plain = scripted_model()(prompts)
+            cold = [p.startswith("E") and s["temperature"] < 1.5 for p, s in zip(prompts, settings, strict=True)]
+            return ["???" if c else t for c, t in zip(cold, plain, strict=True)]
+
+        return predict
+
+    again = annotate_with_model(answers, evidence, heated, config, workers=2, sampling=True)
+    assert again.exceptAll(got).isEmpty() and got.exceptAll(again).isEmpty()
+    once = annotate_with_model(answers, evidence, heated, replace(config, retry_times=1), workers=2, sampling=True)
+    assert once.isEmpty()
