@@ -71,7 +71,7 @@ def label_value_maps(spark, sf):
     return _rounded(rw.sentence_totals(fx.labels(spark, sf), _OTHER))
 
 
-@check("locate_sentences", query("SELECT answer_id, sentence, sent_at, ans_at, n FROM locs", "locs"))
+@check("locate_sentences", query("SELECT answer_id, sentence, sent_at::INTEGER AS sent_at, ans_at::INTEGER AS ans_at, n::INTEGER AS n FROM locs", "locs"))
 def locate_sentences(spark, sf):
     rows = _located(spark, sf, _claims(spark, sf).select("answer_id", "sentence").distinct())
     return rows.select("answer_id", "sentence", "place.sent_at", "place.ans_at", "place.n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factfeed.config import SourceSpec
+from factfeed.operators.annotation import nest_labels
 from factfeed.session import fresh_path
 from factfeed.sources.adapters import load_questions
 from factfeed.sources.docstore import lookup_titles
@@ -29,8 +30,6 @@ def jsonl_read(spark, sf):
 )
 def jsonl_write_nested(spark, sf):
     """Nested label maps written as JSON and read back in long form."""
-    from factfeed.operators.annotation import nest_labels
-
     nested = nest_labels(fx.answers(spark, sf).select("answer_id"), fx.labels(spark, sf))
     path = write_jsonl(nested, fresh_path(spark, "labels"))
     back = read_jsonl(spark, path, "answer_id long, labels map<string,map<string,array<string>>>")
@@ -49,7 +48,7 @@ def record_count(spark, sf):
 @check(
     "document_lookup",
     query(
-        f"""SELECT d.title, len(string_split(any_value(text), '####SPECIAL####SEPARATOR####')) AS n_paragraphs,
+        f"""SELECT d.title, len(string_split(any_value(text), '####SPECIAL####SEPARATOR####'))::INTEGER AS n_paragraphs,
   replace(any_value(text), '####SPECIAL####SEPARATOR####', {NL}) AS body
 FROM docs d WHERE d.title IN (SELECT {escape(DOC_TITLE)} FROM documents)
 GROUP BY d.title HAVING count(*) = 1""",

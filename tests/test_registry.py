@@ -40,8 +40,54 @@ def test_entry(spark):
     assert df.count() > 0 and "answer_id" in df.columns
 
 
-@pytest.mark.parametrize("name", ["answer_quality", "bm25_passages", "token_rewards", "attach_documents", "experience_tokens"])
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "name", ["answer_quality", "bm25_passages", "token_rewards", "attach_documents", "experience_tokens", "micro_batches"]
+)
 def test_plans_have_no_cross_product(spark, sf, name):
-    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = plan_of(entry.queries()[name](spark, sf))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "SinglePartition" not in plan.replace("Subquery", "") or "HashAggregate(keys=[]" in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_score_pairs_are_not_shuffled(spark, sf, no_broadcast):
+    """Between the term join and the ranking of its sums there is no exchange."""
+    plan = plan_of(entry.queries()["topk_mask"](spark, sf))
+    above_join = plan[: plan.index("SortMergeJoin")]
+    assert "Exchange" not in above_join and "Window" in above_join
+
+
+def test_rows_of_sequences_are_shuffled_once(spark, sf, no_broadcast):
+    plan = plan_of(entry.queries()["gae_advantages"](spark, sf))
+    wide = [x for x in plan.split("\n") if "collect_list(struct(_pos" in x and "partial" not in x]
+    assert len(wide) == 1 and plan.count("Exchange") == 4
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf):
+    plan = plan_of(entry.queries()["html_escape"](spark, sf))
+    assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
+    plan = plan_of(entry.queries()["answer_quality"](spark, sf))
+    assert "LessThan(attempt,4)" in plan
+
+
+@pytest.mark.parametrize("name", ["answer_quality", "token_rewards", "bm25_passages", "prompt_batches"])
+def test_results_do_not_depend_on_partitions(spark, sf, name):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(repr, entry.queries()[name](spark, sf).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found[0] == found[1] and found[0]
