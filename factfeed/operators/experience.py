@@ -148,7 +148,7 @@ def gae(
     """
     r, v = _masked(reward, mask), _masked(value, mask)
     scanned = reverse_scan(
-        df, "seq_id", "tok_no", r - v, gamma * lambd, "advantage", ahead=v, weight=gamma, chunk=chunk
+        df, "seq_id", "tok_no", r, gamma * lambd, "advantage", value=v, weight=gamma, chunk=chunk
     )
     return scanned.withColumn("return", F.col("advantage") + v)
 

@@ -112,21 +112,22 @@ def reverse_scan(
     x: Column,
     decay: float,
     out: str,
-    ahead: Column | None = None,
+    value: Column | None = None,
     weight: float = 0.0,
     chunk: int = 256,
 ) -> DataFrame:
-    """Add y[t] = x[t] + weight * ahead[t+1] + decay * y[t+1] per sequence.
+    """Add y[t] = x[t] + weight * v[t+1] - v[t] + decay * y[t+1] per sequence;
+    without a value column v is 0.
 
     pos is 0-based and dense. Sequences are cut into chunks of `chunk`
     positions, and the rows are shuffled once, by (sequence, chunk): a long or
     hot sequence is spread over its chunks. What a chunk needs from all later
-    ones is a single number, found from plain sums per chunk.
+    ones is v and y of the next position, found from plain sums per chunk.
     """
     own = df.columns
     decay_, weight_ = F.lit(float(decay)), F.lit(float(weight))
     rows = df.withColumn("_x", x.cast("double")).withColumn(
-        "_a", (ahead if ahead is not None else F.lit(0.0)).cast("double")
+        "_v", (value if value is not None else F.lit(0.0)).cast("double")
     )
     rows = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk))
 
@@ -134,31 +135,31 @@ def reverse_scan(
     step = F.col(pos) - F.col("_chunk") * chunk
     first = step == 0
     heads = rows.groupBy(seq, "_chunk").agg(
-        F.sum(F.pow(decay_, step) * F.col("_x")).alias("_hx"),
-        F.sum(F.when(~first, F.pow(decay_, step - 1) * F.col("_a")).otherwise(0.0)).alias("_ha"),
-        F.sum(F.when(first, F.col("_a")).otherwise(0.0)).alias("_first"),
+        F.sum(F.pow(decay_, step) * (F.col("_x") - F.col("_v"))).alias("_hx"),
+        F.sum(F.when(~first, F.pow(decay_, step - 1) * F.col("_v")).otherwise(0.0)).alias("_hv"),
+        F.sum(F.when(first, F.col("_v")).otherwise(0.0)).alias("_first"),
         F.count(F.lit(1)).alias("_len"),
     )
     heads = heads.select(
         seq,
         F.struct(
             F.col("_chunk").alias("c"),
-            (F.col("_hx") + weight_ * F.col("_ha")).alias("h"),
-            F.col("_first").alias("a"),
+            (F.col("_hx") + weight_ * F.col("_hv")).alias("h"),
+            F.col("_first").alias("v"),
             F.col("_len").alias("n"),
         ).alias("_h"),
     )
 
     def carry(acc: Column, item: Column) -> Column:
-        after = weight_ * acc["a"] + decay_ * acc["y"]
-        y = item["h"] + F.pow(decay_, item["n"] - 1) * after
-        row = F.struct(item["c"].alias("c"), after.alias("after"))
-        return F.struct(y.alias("y"), item["a"].alias("a"), F.array_append(acc["out"], row).alias("out"))
+        later = weight_ * acc["v"] + decay_ * acc["y"]
+        y = item["h"] + F.pow(decay_, item["n"] - 1) * later
+        row = F.struct(item["c"].alias("c"), acc["v"].alias("v1"), acc["y"].alias("y1"))
+        return F.struct(y.alias("y"), item["v"].alias("v"), F.array_append(acc["out"], row).alias("out"))
 
     none = F.struct(
         F.lit(0.0).alias("y"),
-        F.lit(0.0).alias("a"),
-        F.array().cast("array<struct<c:bigint,after:double>>").alias("out"),
+        F.lit(0.0).alias("v"),
+        F.array().cast("array<struct<c:bigint,v1:double,y1:double>>").alias("out"),
     )
     after = (
         heads.groupBy(seq)
@@ -167,9 +168,9 @@ def reverse_scan(
         .withColumnRenamed("c", "_chunk")
     )
 
-    # fold every chunk from its end, starting with that number
+    # fold every chunk from its end, starting with those two numbers
     names = [c for c in own if c != seq]
-    item = F.struct(F.col(pos).alias("_pos"), "_x", "_a", *[F.col(c) for c in names])
+    item = F.struct(F.col(pos).alias("_pos"), "_x", "_v", *[F.col(c) for c in names])
     chunks = (
         rows.groupBy(seq, "_chunk")
         .agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_rows"))
@@ -177,13 +178,12 @@ def reverse_scan(
     )
 
     def back(acc: Column, item: Column) -> Column:
-        y = item["_x"] + acc["next"]
-        return F.struct(
-            (weight_ * item["_a"] + decay_ * y).alias("next"),
-            F.array_append(acc["ys"], y).alias("ys"),
-        )
+        y = item["_x"] + weight_ * acc["v"] - item["_v"] + decay_ * acc["y"]
+        return F.struct(y.alias("y"), item["_v"].alias("v"), F.array_append(acc["ys"], y).alias("ys"))
 
-    zero = F.struct(F.col("after").alias("next"), F.array().cast("array<double>").alias("ys"))
+    zero = F.struct(
+        F.col("y1").alias("y"), F.col("v1").alias("v"), F.array().cast("array<double>").alias("ys")
+    )
     ys = F.aggregate("_rows", zero, back)["ys"]
     chunks = bind(chunks, "_ys", ys)
     return chunks.select(
