@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, language, packing, token_counts
+from . import decontamination, language, main_text, packing, quality_rules, token_counts
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -20,6 +20,15 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return main_text.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(decontamination.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
@@ -37,7 +46,7 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_decontamination, op8_token_counts, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_main_text, op4_quality_rules, op6_decontamination, op8_token_counts, op9_language)}
 
 
 def queries():
