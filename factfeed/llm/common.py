@@ -40,9 +40,12 @@ def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
 
 
 def _several(result):
+    """The column lists of a result: None, one list of columns, or many."""
     if result is None:
         return []
-    return [result] if isinstance(result, list) else result
+    if isinstance(result, list) and result and isinstance(result[0], pa.Array):
+        return [result]
+    return result
 
 
 def texts(column: pa.Array) -> list[str]:

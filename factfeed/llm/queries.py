@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, language, main_text, packing, quality_rules, token_counts
+from . import decontamination, language, lsh_forest, main_text, packing, quality_rules, token_counts
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -33,6 +33,11 @@ def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(decontamination.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
 
+def op7_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = lsh_forest.near_duplicates(table(spark, sf, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -46,7 +51,7 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_main_text, op4_quality_rules, op6_decontamination, op8_token_counts, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language)}
 
 
 def queries():
