@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, language, lsh_forest, main_text, packing, quality_rules, token_counts
+from . import decontamination, language, lsh_forest, main_text, packing, passages, quality_rules, token_counts
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -20,6 +20,10 @@ def op1_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.shared_passages(table(spark, sf, "documents"))
+
+
 def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return main_text.extract(table(spark, sf, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
@@ -51,7 +55,7 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language)}
 
 
 def queries():
