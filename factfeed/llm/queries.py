@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, language, lsh_forest, main_text, packing, passages, quality_rules, token_counts
+from . import decontamination, interpolation, language, lsh_forest, main_text, packing, passages, quality_rules, token_counts
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -55,7 +55,16 @@ def op9_language(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language)}
+def op10_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    training = fold(F.col("doc_id"), 10) != 0
+    scored = interpolation.score(docs, training, interpolation.train(docs.where(training)))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language, op10_interpolation)}
 
 
 def queries():
