@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, interpolation, language, lsh_forest, main_text, packing, passages, quality_rules, token_counts
+from . import decontamination, interpolation, language, lsh_forest, main_text, noisy_channel, packing, passages, quality_rules, token_counts
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -33,6 +33,13 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Label 1 is likely from a score of 0.7 on."""
+    held_out = fold(F.col("doc_id"), 3) == 1
+    scored = noisy_channel.judged(table(spark, sf, "documents"), table(spark, sf, "labels"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.report(decontamination.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
 
@@ -64,11 +71,18 @@ def op10_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language, op10_interpolation)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op5_toxicity, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language, op10_interpolation)}
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
 
 
 def queries():
-    return {name: (lambda spark, sf, f=f: f(tune(spark), sf)) for name, f in QUERIES.items()}
+    all_queries = QUERIES | {"pipeline": pipeline}
+    return {name: (lambda spark, sf, f=f: f(tune(spark), sf)) for name, f in all_queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
