@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfeed.session import materialize
+from factfeed.session import materialize, small_or_none
 
 from .common import map_batches
 from .components import components
@@ -191,10 +191,10 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("guess").alias("guess"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def full_sets(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
+    """doc_id, shingles of every document in a pair, written once."""
 
-    def make_sets():
+    def make():
         def step(batch):
             out = []
             for a in range(0, batch.num_rows, 1000):
@@ -203,7 +203,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int = K) -> Da
 
         return step
 
-    def make_check():
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # a short list of ids spares the texts a shuffle; a long one is joined by shuffle
+    ids = small_or_none(materialize(ids, "wanted"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = rows.limit(0) if ids is None else rows.join(ids, "doc_id", "left_semi")
+    return materialize(map_batches(rows, make, "doc_id: long, shingles: binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+
+    def make():
         def step(batch):
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -215,13 +226,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, k: int = K) -> Da
 
         return step
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-    sets = materialize(map_batches(rows, make_sets, "doc_id: long, shingles: binary"), "sets")
     first = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     second = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "x", "y")
-    return map_batches(joined, make_check, "a: long, b: long").distinct()
+    return map_batches(joined, make, "a: long, b: long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
@@ -238,13 +246,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     # first the best candidate of every document
     ends = pairs.select(F.col("a").alias("u"), "guess", "a", "b").union(pairs.select(F.col("b").alias("u"), "guess", "a", "b"))
     best = ends.groupBy("u").agg(F.max(F.struct("guess", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
-    links = materialize(confirmed(materialize(best, "best"), docs, percent, k), "links")
+    best = materialize(best, "best")
+    sets = full_sets(pairs, docs, k)
+    links = materialize(confirmed(best, sets, percent), "links")
     groups = materialize(components(links), "groups")
     # then those that would still join two components
     left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest, "rest"), docs, percent, k), "links")
+    more = materialize(confirmed(materialize(rest, "rest"), sets, percent), "links")
     groups = materialize(components(links.union(more)), "groups")
     out = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
