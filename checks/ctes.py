@@ -258,7 +258,7 @@ cte("sec_fold", ("mat_sents",), """SELECT qid, mat_no, title, 1 AS no, sent, 0 A
   SELECT m.qid, m.mat_no, m.title, f.no + 1, m.sent, f.i + CASE WHEN f.full_here THEN 1 ELSE 0 END,
     CASE WHEN f.total + m.words > 64 THEN 0 ELSE f.total + m.words END, f.total + m.words > 64
   FROM sec_fold f JOIN mat_sents m ON m.qid = f.qid AND m.mat_no = f.mat_no AND m.no = f.no + 1""")
-cte("secs", ("sec_fold",), f"""SELECT qid, mat_no::BIGINT * 1000000 + i AS sec_no,
+cte("secs", ("sec_fold",), f"""SELECT qid, mat_no::BIGINT * 4294967296 + i AS sec_no,
   CASE WHEN done AND title <> '' THEN '<' || title || '> ' || body ELSE body END AS section,
   CASE WHEN done AND title <> '' THEN list_concat({no_stops(tokens('title'))}, {tokens('body')})
     ELSE {tokens('body')} END AS tokens

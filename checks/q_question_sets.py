@@ -208,7 +208,7 @@ def decontaminated_train(spark, sf):
     """Copies of test documents carry the same question and go as well."""
     rows = fx.qa_span(spark, sf).filter("question IS NOT NULL").select("qid", "question")
     test = rows.join(split_test(fx.qa_span(spark, sf), TEST_SIZE, SEED), "qid", "left_semi")
-    return qs.decontaminate(rows, test, TEST_SIZE).select("qid", "question")
+    return qs.decontaminate(rows, test).select("qid", "question")
 
 
 @check(

@@ -74,7 +74,7 @@ def sections(spark, sf):
     query(
         """SELECT qid, sec_no, section FROM secs
 UNION ALL
-SELECT e.qid, e.mat_no::BIGINT * 1000000 + coalesce(l.n, 0), ''
+SELECT e.qid, e.mat_no::BIGINT * 4294967296 + coalesce(l.n, 0), ''
 FROM evidence e
 LEFT JOIN (SELECT qid, mat_no, max(i) + 1 AS n, arg_max(full_here, no) AS ends_full FROM sec_fold GROUP BY ALL) l
   ON l.qid = e.qid AND l.mat_no = e.mat_no

@@ -40,6 +40,15 @@ def jsonl_write_nested(spark, sf):
     )
 
 
+@check("jsonl_rewrite", query("SELECT answer_id, question, answer FROM answers WHERE answer_id % 2 = 1", "answers"))
+def jsonl_rewrite(spark, sf):
+    """A second write replaces the first; only its rows are read back."""
+    answers = fx.answers(spark, sf).select("answer_id", "question", "answer")
+    path = write_jsonl(answers, fresh_path(spark, "twice"))
+    write_jsonl(answers.where("answer_id % 2 = 1"), path, mode="overwrite")
+    return read_jsonl(spark, path, ANSWERS)
+
+
 @check("record_count", query("SELECT count(*) AS n FROM answers", "answers"))
 def record_count(spark, sf):
     return count_records(spark, write_jsonl(fx.answers(spark, sf), fresh_path(spark, "count")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PARAGRAPH_SENTINEL, ChatTemplate
 from ..functions.text import escape_html, strip, token_count, unescape_html
+from ..session import small_or_none
 from ..sources.docstore import unique_documents
 
 
@@ -108,12 +109,11 @@ def chat_prompt(
     return F.when(answer.isNull(), F.concat(user, F.lit(t.generation_prefix))).otherwise(closed)
 
 
-def decontaminate(train: DataFrame, test: DataFrame, test_size: int, limit: int = 100_000) -> DataFrame:
+def decontaminate(train: DataFrame, test: DataFrame, limit: int = 100_000) -> DataFrame:
     """Drop training questions whose text is a test question.
 
-    The test side is broadcast only while its declared size is within limit.
+    The distinct test questions are counted; up to limit they are broadcast,
+    beyond it the tables are joined by shuffle.
     """
-    texts = test.select("question").distinct()
-    if test_size <= limit:
-        texts = F.broadcast(texts)
-    return train.join(texts, "question", "left_anti")
+    texts = small_or_none(test.select("question").distinct(), limit)
+    return train if texts is None else train.join(texts, "question", "left_anti")

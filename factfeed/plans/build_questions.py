@@ -39,9 +39,9 @@ def select_questions(loaded: DataFrame, spec: SourceSpec) -> DataFrame:
     return df
 
 
-def training_set(loaded: DataFrame, test: DataFrame, test_size: int, cap: int = 10_000) -> DataFrame:
+def training_set(loaded: DataFrame, test: DataFrame, cap: int = 10_000) -> DataFrame:
     """Questions that are no test questions, the first `cap` of them."""
-    return first_n(decontaminate(loaded, test, test_size), cap, "qid")
+    return first_n(decontaminate(loaded, test), cap, "qid")
 
 
 def build_question_sets(
@@ -60,8 +60,7 @@ def build_question_sets(
             continue
         loaded = materialize(loaded, f"{name}-loaded")
         out[name] = materialize(select_questions(loaded, source.spec), f"{name}-test")
-        size = source.spec.test_size or 0
-        out[f"{name}_train"] = training_set(loaded, out[name], size, cap)
+        out[f"{name}_train"] = training_set(loaded, out[name], cap)
     return out
 
 

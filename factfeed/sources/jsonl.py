@@ -23,18 +23,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def target_path(spark: SparkSession, path: str, default_name: str = "qa.jsonl") -> str:
-    """A folder as target gets the default file name below it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    is_folder = fs.exists(target) and fs.getFileStatus(target).isDirectory()
-    return f"{path.rstrip('/')}/{default_name}" if is_folder else path
+def target_path(path: str, default_name: str = "qa.jsonl") -> str:
+    """A target that ends in a slash is a folder and gets the default file name.
+
+    What is on the file system does not matter: an earlier output is a folder too.
+    """
+    return f"{path}{default_name}" if path.endswith("/") else path
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write one JSON object per row and return where they went."""
-    path = target_path(df.sparkSession, path)
+    path = target_path(path)
     df.write.mode(mode).json(path)
     return path
 

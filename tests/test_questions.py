@@ -90,7 +90,7 @@ def test_decontaminate_beyond_broadcast_limit(spark):
     train = spark.createDataFrame([(i, f"q{i % 5}") for i in range(20)], "qid long, question string")
     test = train.filter("qid < 2")
     for limit in (100, 0):
-        rows = qs.decontaminate(train, test, 2, limit)
+        rows = qs.decontaminate(train, test, limit)
         assert sorted({r["question"] for r in rows.collect()}) == ["q2", "q3", "q4"]
 
 
@@ -147,7 +147,14 @@ def test_split_sides_of_a_source(spark):
 
 def test_folder_target_gets_a_file_name(spark):
     folder = fresh_path(spark, "folder")
-    spark.range(2).write.json(folder)
-    path = write_jsonl(spark.range(3), folder)
-    assert path == target_path(spark, folder) == f"{folder}/qa.jsonl"
+    path = write_jsonl(spark.range(3), f"{folder}/")
+    assert path == target_path(f"{folder}/") == f"{folder}/qa.jsonl"
+    assert count_records(spark, path).first()["n"] == 3
+
+
+def test_second_write_replaces_or_raises(spark):
+    path = write_jsonl(spark.range(5), fresh_path(spark, "twice"))
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        write_jsonl(spark.range(3), path)
+    assert write_jsonl(spark.range(3), path, mode="overwrite") == path
     assert count_records(spark, path).first()["n"] == 3

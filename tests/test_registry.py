@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from checks import registry
 from tools.compare import compare, connect
 
 FAST = [
@@ -26,7 +27,8 @@ def con(sf):
 
 def test_every_query_has_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not set(entry.queries()) - set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", FAST)
