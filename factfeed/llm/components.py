@@ -16,14 +16,13 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component for every node of `edges` (a, b), whose order is free.
 
     Each task first replaces its edges by stars (a union-find over one partition).
-    Then large-star and small-star steps alternate until nothing changes: every
-    node's larger neighbours, then its smaller ones, are linked to its smallest
-    neighbour. A node's minimum is aggregated before the join, so that a centre
-    with very many neighbours is a join Spark can split, never one group.
+    Then large-star and small-star steps alternate until all links form stars:
+    every node's larger neighbours, then its smaller ones, are linked to its
+    smallest neighbour. A node's minimum is aggregated before the join, so that a
+    centre with very many neighbours is a join Spark can split, never one group.
     """
     now = materialize(_stars(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))).distinct(), "links")
-    state = _state(now)
-    while state[0]:
+    while _tangled(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v > m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
@@ -32,16 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(least, "hi")
         small = joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo")))
         now = materialize(small.distinct(), "links")
-        before, state = state, _state(now)
-        if before == state:
-            break
     centres = now.select("lo").distinct().select(F.col("lo").alias("node"), F.col("lo").alias("component"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(centres)
 
 
-def _state(links: DataFrame) -> tuple:
-    """Number of links and a checksum of them."""
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(30,0)"))).first())
+def _tangled(links: DataFrame) -> bool:
+    """Whether some node has two smaller neighbours, or a smaller and a larger one."""
+    ends = links.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(links.select(F.col("lo").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] is True
 
 
 def _stars(edges: DataFrame) -> DataFrame:

@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     rest = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
     more = materialize(confirmed(materialize(rest, "rest"), sets, percent), "links")
-    groups = materialize(components(links.union(more)), "groups")
+    stars = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    groups = materialize(components(stars.union(more)), "groups")
     out = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.union(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
