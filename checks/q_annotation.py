@@ -9,7 +9,7 @@ from factfeed.operators import annotation as an
 from factfeed.operators.retrieval import attach_passages, retrieve
 from factfeed.plans.annotate import label_prompts, labels_from_completions
 from factfeed.session import fresh_path
-from factfeed.streaming.label_merge import pair_stream, read_arrivals, write_pairs
+from factfeed.streaming.label_merge import missed_pairs, pair_stream, read_arrivals, write_pairs
 
 from . import fixtures as fx
 from .ctes import digit, lit, query, refusal, strip
@@ -260,14 +260,16 @@ def label_task_prompts(spark, sf):
     ),
 )
 def label_stream_merge(spark, sf):
-    """Labels written as files in scattered order, paired by a stream join."""
+    """Labels written as files in scattered order, hours apart, paired by a stream
+    join; pairs beyond its time bounds are added at the end."""
     done = an.resolve_labels(fx.tasks(spark, sf), fx.completions(spark, sf), CONFIG)
-    minutes = fx.hex_digit(F.col("task_id"), 3) * 60
+    hours = fx.hex_digit(F.col("task_id"), 3) * 1200
     arrivals = done.select(
-        *an.STATEMENT_KEYS, "task", "label", F.timestamp_seconds(F.lit(1_700_000_000) + minutes).alias("done_at")
+        *an.STATEMENT_KEYS, "task", "label", F.timestamp_seconds(F.lit(1_700_000_000) + hours).alias("done_at")
     )
     source, out = fresh_path(spark, "arrivals"), fresh_path(spark, "pairs")
     arrivals.repartition(4, "label").write.parquet(source)
     run = write_pairs(pair_stream(read_arrivals(spark, source, 2)), out, fresh_path(spark, "stream"))
     run.awaitTermination()
-    return spark.read.parquet(out).select(*an.STATEMENT_KEYS, "verify", "assess")
+    paired = spark.read.parquet(out).select(*an.STATEMENT_KEYS, "verify", "assess")
+    return paired.unionByName(missed_pairs(spark.read.parquet(source), paired))

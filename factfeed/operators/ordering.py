@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,13 +81,22 @@ def quantile_bucket(df: DataFrame, key: str, buckets: int) -> Column:
     """Bucket of a unique numeric key by quantiles, equal-sized for any spread.
 
     The cut points (at most `buckets` numbers) are found by one small job, as
-    range partitioning does, and enter the plan as constants.
+    range partitioning does, and enter the plan as constants. A row is compared
+    with the first cut of each block of them, then with the cuts of its block.
     """
     steps = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(key, steps, 1.0 / (4 * buckets)))) if steps else []
     if not cuts:
         return F.lit(0)
-    return F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(key)))
+    width = math.isqrt(len(cuts) - 1) + 1
+    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+
+    def reached(points: Column) -> Column:
+        return F.size(F.filter(points, lambda c: c <= F.col(key)))
+
+    block = reached(F.lit([b[0] for b in blocks]))
+    own = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.greatest(block, F.lit(1)))
+    return F.greatest(block - 1, F.lit(0)) * width + reached(own)
 
 
 def number_by_key(df: DataFrame, out: str, key: str, buckets: int | None = None) -> DataFrame:
@@ -95,11 +105,15 @@ def number_by_key(df: DataFrame, out: str, key: str, buckets: int | None = None)
     return number_rows(df, out, [key], quantile_bucket(df, key, n))
 
 
-def number_by_hash(df: DataFrame, out: str, key: str, seed: int, digits: int = 3) -> DataFrame:
+def number_by_hash(df: DataFrame, out: str, key: str, seed: int, digits: int | None = None) -> DataFrame:
     """Dense 0-based number in a seeded shuffled order.
 
-    The leading hex digits of the hash are ordered buckets of equal size.
+    The leading hex digits of the hash are ordered buckets of equal size, by
+    default at least 16 to a shuffle partition.
     """
+    if digits is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        digits = 1 + math.ceil(math.log(max(partitions, 2), 16))
     tagged = df.withColumn("_hash", seeded_hash(seed, F.col(key)))
     bucket = F.substring("_hash", 1, digits)
     return number_rows(tagged, out, ["_hash", key], bucket).drop("_hash")

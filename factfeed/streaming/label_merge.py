@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.annotation import pair_labels
+
 ARRIVAL = "answer_id long, sentence string, statement string, task string, label string, done_at timestamp"
 KEYS = ("answer_id", "sentence", "statement")
 
@@ -22,7 +24,8 @@ def pair_stream(arrivals: DataFrame, wait: str = "1 hour", late: str = "1 hour")
     """Stream-stream join of the two label kinds on the statement.
 
     `wait` bounds how far apart the two labels of a statement may finish and
-    `late` how late a row may come; both bound the join state.
+    `late` how late a row may come; both bound the join state. Pairs beyond
+    them are found by `missed_pairs`.
     """
 
     def side(task: str, prefix: str) -> DataFrame:
@@ -51,3 +54,14 @@ def write_pairs(pairs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         .trigger(availableNow=True)
         .start()
     )
+
+
+def missed_pairs(arrivals: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs that the stream's time bounds left out, once all labels are there.
+
+    Both arguments are tables: all arrivals as written, and the pairs found so far.
+    A statement that has one label only comes out with null for the other.
+    """
+    every = pair_labels(arrivals.select(*KEYS, "task", "label"))
+    same = [every[k].eqNullSafe(pairs[k]) for k in KEYS]
+    return every.join(pairs.select(*KEYS), same, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factfeed.operators.annotation import STATEMENT_KEYS, pair_labels
 from factfeed.session import fresh_path
-from factfeed.streaming.label_merge import ARRIVAL, pair_stream, read_arrivals, write_pairs
+from factfeed.streaming.label_merge import ARRIVAL, missed_pairs, pair_stream, read_arrivals, write_pairs
 
 
 def arrivals(spark, n=60, gap=0):
@@ -39,3 +39,13 @@ def test_stream_equals_batch_in_any_order(spark):
 def test_labels_too_far_apart_are_not_paired(spark):
     assert run(spark, arrivals(spark, gap=7200), wait="1 hour", late="3 hours").isEmpty()
     assert run(spark, arrivals(spark, gap=1800), wait="1 hour", late="3 hours").count() == 60
+
+
+def test_missed_pairs_complete_the_stream(spark):
+    far, soon = arrivals(spark, gap=7200), arrivals(spark, n=200, gap=5)
+    for df, files in ((far, 8), (soon, 40)):
+        found = run(spark, df, files, wait="10 minutes", late="1 second")
+        want = pair_labels(df.select(*STATEMENT_KEYS, "task", "label"))
+        assert found.count() < want.count()
+        got = found.unionByName(missed_pairs(df, found))
+        assert got.count() == want.count() and got.exceptAll(want).isEmpty()
