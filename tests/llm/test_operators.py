@@ -141,6 +141,21 @@ def test_near_duplicates_against_all_pairs(odd, odd_rows, empty):
     assert lsh_forest.near_duplicates(empty).count() == 0
 
 
+def test_components_of_random_edges(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (230, 2))]
+    edges += edges[:40] + [(b, a) for a, b in edges[:20]] + [(7, 7)]
+    want = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in want:
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    df = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    got = components.components(df).collect()
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert components.components(df.limit(0)).isEmpty()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     n = 300
     chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
