@@ -14,6 +14,13 @@ Candidates are confirmed on full shingle sets. Each document's most promising
 candidate goes first; of the others only those that join two components are still
 needed. Components take the smallest doc_id as their name.
 
+A region (the signatures that agree in SHALLOW values of a tree) of more than
+REACH + 1 rows has pairs that are no neighbours. If all of it is one component by
+then, no such pair matters. Otherwise every row outside the region's largest
+component is compared with all rows of the region, in blocks of at most about
+BLOCK x BLOCK sketches; pairs of two components that may be similar enough are
+confirmed as well. So REACH decides the cost of a region, not its links.
+
 Recall: a pair of similarity s agrees in a prefix of SHALLOW values in a tree with
 probability s**SHALLOW; the chance to be no candidate in any of 16 trees is
 (1 - 0.85**4)**16 = 0.00001 at s = 0.85.
@@ -40,6 +47,7 @@ K = 5
 TREES, DEPTH, SHALLOW, REACH = 16, 8, 4, 4
 SKETCH_BITS = 2  # of each MinHash value, kept beside a tree's label
 SURE_BELOW = 0.62  # estimates this low are no candidates: 6 deviations below 0.85
+BLOCK = 2000  # rows of a crowded region compared by one group
 _SLICE = 4096
 
 
@@ -96,6 +104,14 @@ def sketches(docs: DataFrame, k: int = K) -> DataFrame:
     return map_batches(rows, make, "doc_id: long, n_shingles: long, set_a: long, set_b: long, labels: binary, sketch: binary")
 
 
+def _estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of the sets of two sketches, estimated from the values that agree."""
+    both = ~(x ^ y)
+    pair = both & (both >> np.uint64(1)) & np.uint64(0x5555555555555555)  # both bits agree
+    agree = np.bitwise_count(pair).sum(axis=-1) / (TREES * DEPTH)
+    return (agree - 0.25) / 0.75
+
+
 def _neighbours(share: float, edges: bool):
     """Candidate pairs of rows in (tree, label, id) order; with `edges`, the first
     and last rows of the part as well."""
@@ -129,10 +145,7 @@ def _neighbours(share: float, edges: bool):
                 same &= np.minimum(sizes[at], sizes[at + d]) >= share * np.maximum(sizes[at], sizes[at + d])
                 same &= ids[at] != ids[at + d]
                 at = at[same]
-                both = ~(bits[at] ^ bits[at + d])
-                pair = both & (both >> np.uint64(1)) & np.uint64(0x5555555555555555)  # both bits agree
-                agree = np.bitwise_count(pair).sum(axis=1) / (TREES * DEPTH)
-                guess = (agree - 0.25) / 0.75
+                guess = _estimate(bits[at], bits[at + d])
                 keep = guess >= SURE_BELOW
                 at = at[keep]
                 a_out.append(np.minimum(ids[at], ids[at + d]))
@@ -172,14 +185,19 @@ def _border(rows) -> list[list]:
     return [none + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _BORDER, strict=True)]]
 
 
-def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs a < b with the highest estimate of their similarity."""
+def _in_trees(reps: DataFrame, depth: int, *others: str) -> DataFrame:
+    """tree, label (its first `depth` values there), id, n, sketch of every row in every tree."""
     trees = F.sequence(F.lit(0), F.lit(TREES - 1))
     rows = reps.select(
-        F.explode(trees).alias("tree"), "labels", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"
+        F.explode(trees).alias("tree"), "labels", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", *others
     )
-    label = F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
-    rows = rows.select(F.col("tree").cast("short"), label.alias("label"), "id", "n", "sketch")
+    label = F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * depth})")
+    return rows.select(F.col("tree").cast("short"), label.alias("label"), "id", "n", "sketch", *others)
+
+
+def candidates(reps: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs a < b with the highest estimate of their similarity."""
+    rows = _in_trees(reps, DEPTH)
     order = ("tree", "label", "id")
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(map_batches(sorted_rows, _neighbours(percent / 100, True), _OUT), "forest")
@@ -191,6 +209,58 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("guess").alias("guess"))
 
 
+def _across(share: float):
+    """Pairs of a group's queries and members that differ in component."""
+
+    def pairs(group: pa.Table) -> pa.Table:
+        ids, sizes = group["id"].to_numpy(), group["n"].to_numpy()
+        parts, query = group["component"].to_numpy(), group["query"].to_numpy()
+        bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+        of = np.flatnonzero(~query)
+        a, b, guess = [], [], []
+        for i in np.flatnonzero(query):
+            at = of[parts[of] != parts[i]]
+            at = at[np.minimum(sizes[at], sizes[i]) >= share * np.maximum(sizes[at], sizes[i])]
+            found = _estimate(bits[at], bits[i])
+            at, found = at[found >= SURE_BELOW], found[found >= SURE_BELOW]
+            a.append(np.minimum(ids[at], ids[i]))
+            b.append(np.maximum(ids[at], ids[i]))
+            guess.append(found)
+        columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in ((a, np.int64), (b, np.int64), (guess, np.float64))]
+        return pa.table(dict(zip(("a", "b", "guess"), columns, strict=True)))
+
+    return pairs
+
+
+def crowded(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
+    """a, b, guess: the candidates across components in regions that neighbours do
+    not cover; None if there is no such region."""
+    placed = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    rows = _in_trees(placed, SHALLOW, "component")
+    parts = rows.groupBy("tree", "label", "component").agg(F.count("*").alias("rows"))
+    regions = parts.groupBy("tree", "label").agg(
+        F.sum("rows").alias("total"), F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top")
+    )
+    mixed = regions.where((F.col("total") > REACH + 1) & (F.col("parts") > 1))
+    mixed = mixed.select("tree", "label", "total", (F.col("total") - F.col("top.rows")).alias("outside"), F.col("top.component").alias("top"))
+    mixed = small_or_none(materialize(mixed, "mixed"))
+    if mixed is None:
+        return None
+    rows = materialize(rows.join(mixed, ["tree", "label"]), "crowd")
+    rows = rows.withColumn("blocks", F.ceil(F.col("total") / BLOCK)).withColumn("turns", F.ceil(F.col("outside") / BLOCK))
+    block, turn = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id"), "turns")
+
+    def spread(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    kept = ("tree", "label", "id", "n", "sketch", "component")
+    members = rows.select(*kept, F.lit(False).alias("query"), block.alias("block"), spread("turns").alias("turn"))
+    queries = rows.where("component != top").select(*kept, F.lit(True).alias("query"), spread("blocks").alias("block"), turn.alias("turn"))
+    found = members.union(queries).groupBy("tree", "label", "block", "turn").applyInArrow(_across(percent / 100), "a long, b long, guess double")
+    return found.groupBy("a", "b").agg(F.max("guess").alias("guess"))
+
+
 def full_sets(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, shingles of every document in a pair, written once."""
 
@@ -232,31 +302,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, make, "a: long, b: long").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
-    made = materialize(sketches(docs, k), "sketches")
-    named = made.where("n_shingles > 0")
-    same = ("set_a", "set_b", "n_shingles")
-    # the representative of each set, aggregated before any join on hot sets
-    heads = materialize(named.groupBy(*same).agg(F.min("doc_id").alias("rep")), "heads")
-    members = materialize(named.select("doc_id", *same).join(heads, list(same)).select("doc_id", "n_shingles", "rep"), "members")
-    reps = named.join(heads.where("rep is not null").select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    reps = materialize(reps.select("doc_id", "n_shingles", "labels", "sketch").dropDuplicates(["doc_id", "n_shingles"]), "reps")
-    pairs = materialize(candidates(reps, percent), "pairs")
+def linked(pairs: DataFrame, groups: DataFrame | None, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """node, component of the graph of `groups` and the confirmed ones of the pairs."""
     # first the best candidate of every document
     ends = pairs.select(F.col("a").alias("u"), "guess", "a", "b").union(pairs.select(F.col("b").alias("u"), "guess", "a", "b"))
     best = ends.groupBy("u").agg(F.max(F.struct("guess", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
     best = materialize(best, "best")
     sets = full_sets(pairs, docs, k)
-    links = materialize(confirmed(best, sets, percent), "links")
+    links = confirmed(best, sets, percent)
+    links = materialize(links if groups is None else links.union(_as_links(groups)), "links")
     groups = materialize(components(links), "groups")
     # then those that would still join two components
     left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
     more = materialize(confirmed(materialize(rest, "rest"), sets, percent), "links")
-    stars = groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    groups = materialize(components(stars.union(more)), "groups")
+    return materialize(components(_as_links(groups).union(more)), "groups")
+
+
+def _as_links(groups: DataFrame) -> DataFrame:
+    return groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    made = materialize(sketches(docs, k), "sketches")
+    named = made.where("n_shingles > 0")
+    same = ("set_a", "set_b", "n_shingles")
+    # the representative of each set, aggregated before any join on hot sets
+    heads = materialize(named.groupBy(*same).agg(F.min("doc_id").alias("rep")), "heads")
+    members = materialize(named.select("doc_id", *same).join(heads, list(same)).select("doc_id", "n_shingles", "rep"), "members")
+    reps = named.join(heads.where("rep is not null").select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+    reps = materialize(reps.select("doc_id", "n_shingles", "labels", "sketch").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    pairs = materialize(candidates(reps, percent), "pairs")
+    groups = linked(pairs, None, docs, percent, k)
+    rest = crowded(reps, groups, percent)
+    if rest is not None:
+        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        groups = linked(rest, groups, docs, percent, k)
     out = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.union(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -141,6 +141,39 @@ def test_near_duplicates_against_all_pairs(odd, odd_rows, empty):
     assert lsh_forest.near_duplicates(empty).count() == 0
 
 
+def test_links_in_a_crowded_region(spark, monkeypatch):
+    """Every text is like all others, but linked with one: neighbours alone miss links."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 150)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(text, at, n):
+        return text[:at] + [f"x{rng.integers(1 << 40)}" for _ in range(n)] + text[at + n :]
+
+    rows = []
+    for i in range(250):
+        text = changed(base, int(rng.integers(0, 270)), 20)
+        rows += [(i, text), (1000 + i, changed(text, int(rng.integers(0, 270)), 19))]
+    sets = {i: {tuple(t[a : a + 5]) for a in range(296)} for i, t in rows}
+    ids = sorted(sets)
+    name = {i: i for i in ids}
+
+    def root(i):
+        while name[i] != i:
+            i = name[i]
+        return i
+
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                name[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(docs).collect()}
+    assert len(set(got.values())) > 100
+    assert got == {i: root(i) for i in ids}
+
+
 def test_components_of_random_edges(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (230, 2))]
