@@ -17,9 +17,9 @@ needed. Components take the smallest doc_id as their name.
 A region (the signatures that agree in SHALLOW values of a tree) of more than
 REACH + 1 rows has pairs that are no neighbours. If all of it is one component by
 then, no such pair matters. Otherwise every row outside the region's largest
-component is compared with all rows of the region, in blocks of at most about
-BLOCK x BLOCK sketches; pairs of two components that may be similar enough are
-confirmed as well. So REACH decides the cost of a region, not its links.
+component is compared with all rows of the region on full sets, in blocks of about
+BLOCK rows and BLOCK_SHINGLES shingles; a block gives only links that join two
+components, never its pairs. So REACH decides the cost of a region, not its links.
 
 Recall: a pair of similarity s agrees in a prefix of SHALLOW values in a tree with
 probability s**SHALLOW; the chance to be no candidate in any of 16 trees is
@@ -47,7 +47,8 @@ K = 5
 TREES, DEPTH, SHALLOW, REACH = 16, 8, 4, 4
 SKETCH_BITS = 2  # of each MinHash value, kept beside a tree's label
 SURE_BELOW = 0.62  # estimates this low are no candidates: 6 deviations below 0.85
-BLOCK = 2000  # rows of a crowded region compared by one group
+BLOCK = 500  # rows of a crowded region on each side of a block
+BLOCK_SHINGLES = 2_000_000  # and their shingles
 _SLICE = 4096
 
 
@@ -209,60 +210,87 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.max("guess").alias("guess"))
 
 
-def _across(share: float):
-    """Pairs of a group's queries and members that differ in component."""
+def _across(percent: int):
+    """Links of a block's queries and members that join components of the block."""
 
-    def pairs(group: pa.Table) -> pa.Table:
-        ids, sizes = group["id"].to_numpy(), group["n"].to_numpy()
-        parts, query = group["component"].to_numpy(), group["query"].to_numpy()
-        bits = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
+    def links(block: pa.Table) -> pa.Table:
+        ids, sizes = block["id"].to_numpy(), block["n"].to_numpy()
+        parts, query = block["component"].to_numpy(), block["query"].to_numpy()
+        bits = np.frombuffer(b"".join(block["sketch"].to_pylist()), np.uint64).reshape(len(ids), -1)
         of = np.flatnonzero(~query)
-        a, b, guess = [], [], []
-        for i in np.flatnonzero(query):
-            at = of[parts[of] != parts[i]]
-            at = at[np.minimum(sizes[at], sizes[i]) >= share * np.maximum(sizes[at], sizes[i])]
-            found = _estimate(bits[at], bits[i])
-            at, found = at[found >= SURE_BELOW], found[found >= SURE_BELOW]
-            a.append(np.minimum(ids[at], ids[i]))
-            b.append(np.maximum(ids[at], ids[i]))
-            guess.append(found)
-        columns = [np.concatenate(c) if c else np.empty(0, t) for c, t in ((a, np.int64), (b, np.int64), (guess, np.float64))]
-        return pa.table(dict(zip(("a", "b", "guess"), columns, strict=True)))
-
-    return pairs
-
-
-def crowded(reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """a, b, guess: the candidates across components in regions that neighbours do
-    not cover; None if there is no such region."""
+        raw = block["shingles"].to_pylist()
+        sets = [np.frombuffer(raw[i], np.uint64) for i in of]
+        name: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while name.get(x, x) != x:
+                x = name[x]
+            return x
+
+        a, b = [], []
+        if sets:
+            words, entries = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
+        for i in np.flatnonzero(query) if sets else ():
+            near = (parts[of] != parts[i]) & (100 * np.minimum(sizes[of], sizes[i]) >= percent * np.maximum(sizes[of], sizes[i]))
+            near[near] = _estimate(bits[of[near]], bits[i]) >= SURE_BELOW
+            if not near.any():
+                continue
+            own = np.frombuffer(raw[i], np.uint64)
+            both = np.add.reduceat(np.isin(words, own, assume_unique=True)[entries], starts, dtype=np.int64)
+            near &= 100 * both >= percent * (sizes[of] + sizes[i] - both)
+            for j in of[near]:
+                x, y = root(int(parts[i])), root(int(parts[j]))
+                if x != y:
+                    name[max(x, y)] = min(x, y)
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
+
+
+def crowded(reps: DataFrame, groups: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """a, b: links that join components in regions that neighbours do not cover;
+    None if there is no such region."""
     placed = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = materialize(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
     rows = _in_trees(placed, SHALLOW, "component")
-    parts = rows.groupBy("tree", "label", "component").agg(F.count("*").alias("rows"))
+    parts = rows.groupBy("tree", "label", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     regions = parts.groupBy("tree", "label").agg(
-        F.sum("rows").alias("total"), F.count("*").alias("parts"), F.max(F.struct("rows", "component")).alias("top")
+        F.sum("rows").alias("total"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("rows", "component", "n")).alias("top")
+    )
+
+    def blocks(of_rows, of_shingles):
+        return F.ceil(F.greatest(of_rows / BLOCK, of_shingles / BLOCK_SHINGLES))
+
+    mixed = regions.where((F.col("total") > REACH + 1) & (F.col("parts") > 1)).select(
+        "tree",
+        "label",
+        F.col("top.component").alias("top"),
+        blocks(F.col("total"), F.col("n")).alias("blocks"),
+        blocks(F.col("total") - F.col("top.rows"), F.col("n") - F.col("top.n")).alias("turns"),
     )
-    mixed = regions.where((F.col("total") > REACH + 1) & (F.col("parts") > 1))
-    mixed = mixed.select("tree", "label", "total", (F.col("total") - F.col("top.rows")).alias("outside"), F.col("top.component").alias("top"))
     mixed = small_or_none(materialize(mixed, "mixed"))
     if mixed is None:
         return None
     rows = materialize(rows.join(mixed, ["tree", "label"]), "crowd")
-    rows = rows.withColumn("blocks", F.ceil(F.col("total") / BLOCK)).withColumn("turns", F.ceil(F.col("outside") / BLOCK))
-    block, turn = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id"), "turns")
+    rows = rows.join(full_sets(rows.select(F.col("id").alias("doc_id")), docs, k).withColumnRenamed("doc_id", "id"), "id")
+    # a repeated doc_id may have several sets
+    rows = rows.where(F.octet_length("shingles") == 8 * F.col("n"))
 
     def spread(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
-    kept = ("tree", "label", "id", "n", "sketch", "component")
+    block, turn = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id"), "turns")
+    kept = ("tree", "label", "id", "n", "sketch", "component", "shingles")
     members = rows.select(*kept, F.lit(False).alias("query"), block.alias("block"), spread("turns").alias("turn"))
     queries = rows.where("component != top").select(*kept, F.lit(True).alias("query"), spread("blocks").alias("block"), turn.alias("turn"))
-    found = members.union(queries).groupBy("tree", "label", "block", "turn").applyInArrow(_across(percent / 100), "a long, b long, guess double")
-    return found.groupBy("a", "b").agg(F.max("guess").alias("guess"))
+    return members.union(queries).groupBy("tree", "label", "block", "turn").applyInArrow(_across(percent), "a long, b long").distinct()
 
 
-def full_sets(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, shingles of every document in a pair, written once."""
+def full_sets(ids: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
+    """doc_id, shingles of the documents named in `ids`, written once."""
 
     def make():
         def step(batch):
@@ -273,9 +301,8 @@ def full_sets(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
 
         return step
 
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # a short list of ids spares the texts a shuffle; a long one is joined by shuffle
-    ids = small_or_none(materialize(ids, "wanted"))
+    ids = small_or_none(materialize(ids.distinct(), "wanted"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.limit(0) if ids is None else rows.join(ids, "doc_id", "left_semi")
     return materialize(map_batches(rows, make, "doc_id: long, shingles: binary"), "sets")
@@ -302,24 +329,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, make, "a: long, b: long").distinct()
 
 
-def linked(pairs: DataFrame, groups: DataFrame | None, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, component of the graph of `groups` and the confirmed ones of the pairs."""
-    # first the best candidate of every document
-    ends = pairs.select(F.col("a").alias("u"), "guess", "a", "b").union(pairs.select(F.col("b").alias("u"), "guess", "a", "b"))
-    best = ends.groupBy("u").agg(F.max(F.struct("guess", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
-    best = materialize(best, "best")
-    sets = full_sets(pairs, docs, k)
-    links = confirmed(best, sets, percent)
-    links = materialize(links if groups is None else links.union(_as_links(groups)), "links")
-    groups = materialize(components(links), "groups")
-    # then those that would still join two components
-    left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
-    more = materialize(confirmed(materialize(rest, "rest"), sets, percent), "links")
-    return materialize(components(_as_links(groups).union(more)), "groups")
-
-
 def _as_links(groups: DataFrame) -> DataFrame:
     return groups.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -335,11 +344,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame
     reps = named.join(heads.where("rep is not null").select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
     reps = materialize(reps.select("doc_id", "n_shingles", "labels", "sketch").dropDuplicates(["doc_id", "n_shingles"]), "reps")
     pairs = materialize(candidates(reps, percent), "pairs")
-    groups = linked(pairs, None, docs, percent, k)
-    rest = crowded(reps, groups, percent)
-    if rest is not None:
-        rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        groups = linked(rest, groups, docs, percent, k)
+    # first the best candidate of every document
+    ends = pairs.select(F.col("a").alias("u"), "guess", "a", "b").union(pairs.select(F.col("b").alias("u"), "guess", "a", "b"))
+    best = ends.groupBy("u").agg(F.max(F.struct("guess", "a", "b")).alias("top")).select("top.a", "top.b").distinct()
+    best = materialize(best, "best")
+    sets = full_sets(ends.select(F.col("u").alias("doc_id")), docs, k)
+    links = materialize(confirmed(best, sets, percent), "links")
+    groups = materialize(components(links), "groups")
+    # then those that would still join two components
+    left, right = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = pairs.select("a", "b").join(left, "a", "left").join(right, "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = materialize(confirmed(materialize(rest, "rest"), sets, percent), "links")
+    groups = materialize(components(_as_links(groups).union(more)), "groups")
+    # then the regions that neighbours did not cover
+    last = crowded(reps, groups, docs, percent, k)
+    if last is not None:
+        groups = materialize(components(_as_links(groups).union(materialize(last, "links"))), "groups")
     out = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.union(made.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -143,7 +143,7 @@ def test_near_duplicates_against_all_pairs(odd, odd_rows, empty):
 
 def test_links_in_a_crowded_region(spark, monkeypatch):
     """Every text is like all others, but linked with one: neighbours alone miss links."""
-    monkeypatch.setattr(lsh_forest, "BLOCK", 150)
+    monkeypatch.setattr(lsh_forest, "BLOCK", 80)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
 
