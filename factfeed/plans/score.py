@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import AnnotateConfig, RewardConfig
 from ..functions.text import strip
+from ..operators.inference import Predict
 from ..operators.metrics import answer_metrics
 from ..operators.rewards import labels_to_rewards
-from .annotate import labels_from_completions
+from .annotate import annotate_with_model, labels_from_completions
 
 
 class Scored(NamedTuple):
@@ -44,3 +46,18 @@ def score_from_completions(
     annotate: AnnotateConfig = AnnotateConfig(),
 ) -> Scored:
     return score_answers(outputs, labels_from_completions(extractions, completions, annotate), reward)
+
+
+def score_with_model(
+    outputs: DataFrame,
+    answers: DataFrame,
+    evidence: DataFrame,
+    make_predict: Callable[[], Predict],
+    reward: RewardConfig = RewardConfig(),
+    annotate: AnnotateConfig = AnnotateConfig(),
+    workers: int | None = None,
+    sampling: bool = False,
+) -> Scored:
+    """The whole job: stripped answers are labeled by the model, then scored."""
+    labels = annotate_with_model(strip_texts(answers), evidence, make_predict, annotate, workers, sampling)
+    return score_answers(outputs, labels, reward)

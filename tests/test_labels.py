@@ -16,7 +16,7 @@ from factfeed.operators import rewards as rw
 from factfeed.operators.inference import batch_predict, fan_out_samples
 from factfeed.operators.metrics import answer_metrics, corpus_metrics, with_report_names
 from factfeed.plans.annotate import annotate_with_model
-from factfeed.plans.score import score_answers, strip_texts
+from factfeed.plans.score import score_answers, score_with_model, strip_texts
 from factfeed.session import ship
 
 ship(__name__)
@@ -232,3 +232,7 @@ def test_annotation_with_a_model(spark):
     assert again.exceptAll(got).isEmpty() and got.exceptAll(again).isEmpty()
     once = annotate_with_model(answers, evidence, heated, replace(config, retry_times=1), workers=2, sampling=True)
     assert once.isEmpty()
+    wide = answers.withColumn("answer", F.concat(F.lit(" \n"), "answer", F.lit("\t ")))
+    scored = score_with_model(outputs(spark), wide, evidence, scripted_model, annotate=config, workers=2)
+    assert scored.labels.exceptAll(got).isEmpty() and got.exceptAll(scored.labels).isEmpty()
+    assert scored.scores.count() == 3
