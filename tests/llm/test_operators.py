@@ -234,6 +234,40 @@ def test_a_fuzzy_passage_is_aligned(spark):
     assert (row.doc_id, row.other_id) == (2, 1) and row.n_words > 110 and 0.9 < row.similarity < 1
 
 
+@pytest.mark.parametrize(
+    ("parts", "gap_a", "gap_b"), [((60, 60), 40, 40), ((100, 60), 100, 40), ((100, 100), 100, 100), ((300, 300), 200, 200), ((300, 300), 0, 200)]
+)
+def test_passages_with_a_gap_between_them(spark, parts, gap_a, gap_b):
+    """Two exact passages, other words between them: both are reported, and no span below 0.8."""
+
+    def text(side, gap):
+        own = [[f"{side}{part}x{i}" for i in range(n)] for part, n in enumerate((30, gap, 30))]
+        return own[0] + [f"p{i}" for i in range(parts[0])] + own[1] + [f"q{i}" for i in range(parts[1])] + own[2]
+
+    a, b = text("a", gap_a), text("b", gap_b)
+    docs = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "doc_id long, text string")
+    got = sorted((r.start_word, r.n_words, r.other_start, r.similarity) for r in passages.shared_passages(docs).collect())
+    assert got == [(30, parts[0], 30, 1.0), (30 + parts[0] + gap_b, parts[1], 30 + parts[0] + gap_a, 1.0)]
+
+
+def test_passing_spans_against_all_spans():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n, gaps = rng.integers(1, 40, 8), rng.integers(0, 30, (8, 2))
+        gaps[:, 0] += gaps.sum(axis=1) == 0
+        begin = np.cumsum(gaps, axis=0) + np.concatenate([[0], np.cumsum(n)[:-1]])[:, None]
+        blocks = np.column_stack([begin, n])
+        want = set()
+        for p in range(8):
+            for q in range(p, 8):
+                size = begin[q] + n[q] - begin[p]
+                if size.min() >= 50 and n[p : q + 1].sum() >= 0.8 * size.max():
+                    want.add((begin[p, 0], begin[q, 0] + n[q]))
+        got = {(a, b) for a, b, *_ in passages.passing(blocks, 50, 0.8)}
+        assert got <= want and bool(got) == bool(want)
+        assert all(any(a < y and x < b for x, y in got) for a, b in want)  # each span that passes meets a row
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>";</script></head><body><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies on this site and you may like them a lot indeed.</div>
 <article><h1>A &amp; B</h1><p>First  text<br>goes on.<p><b>Second &lt;one&gt;</b></p><div class="comments"><p>Me too, says a reader.</p></div></article>
