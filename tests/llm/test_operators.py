@@ -268,6 +268,21 @@ def test_passing_spans_against_all_spans():
         assert all(any(a < y and x < b for x, y in got) for a, b in want)  # each span that passes meets a row
 
 
+def test_a_loose_chain_does_not_hide_an_exact_copy(spark):
+    """The longer chain to the first document fails; the copy inside its span is reported."""
+    one = [f"w{i}" for i in range(200)]
+    two = [w if i % 20 < 15 else f"y{i}" for i, w in enumerate(one)]  # 75% the same
+    copied = ["l1", "l2"] + two[55:150] + ["r1", "r2"]
+    a = [f"a{i}" for i in range(160)]
+    b = [f"b{i}" for i in range(60)]
+    in_gap = a[:60] + ["g1"] + b + ["g2"] + a[122:]  # the first chain's gap holds 60 words of another document
+    rows = [(1, one), (2, two), (3, copied), (4, a), (5, ["h"] * 3 + b + ["t"] * 3), (6, in_gap)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id, r.start_word, r.n_words, r.similarity) for r in passages.shared_passages(docs).collect()}
+    assert (3, 2, 2, 95, 1.0) in got
+    assert {(6, 4, 0, 60, 1.0), (6, 5, 61, 60, 1.0)} <= got
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>";</script></head><body><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies on this site and you may like them a lot indeed.</div>
 <article><h1>A &amp; B</h1><p>First  text<br>goes on.<p><b>Second &lt;one&gt;</b></p><div class="comments"><p>Me too, says a reader.</p></div></article>
