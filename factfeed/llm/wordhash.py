@@ -119,3 +119,17 @@ def windows(words: Words, k: int) -> Words:
             total[there] += h[place[there] + j] * factors[j]
     total += np.minimum(left, k).astype(np.uint64)
     return Words(mix(total), at)
+
+
+def long_windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words, their word positions and the index of their
+    text, from prefix sums: the cost of one does not grow with n."""
+    h, bounds = words
+    counts = np.maximum(np.diff(bounds) - n + 1, 0)
+    text = np.repeat(np.arange(len(counts)), counts)
+    pos = np.arange(counts.sum(), dtype=np.int64) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = pos + bounds[text]
+    inverse = np.full(len(h), pow(int(_ODD), -1, 1 << 64), np.uint64)
+    inverse[:1] = 1
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(len(h)), dtype=np.uint64)])
+    return mix((total[at + n] - total[at]) * np.multiply.accumulate(inverse)[at] + np.uint64(n)), pos, text

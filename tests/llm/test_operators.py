@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -283,6 +284,40 @@ def test_a_loose_chain_does_not_hide_an_exact_copy(spark):
     assert {(6, 4, 0, 60, 1.0), (6, 5, 61, 60, 1.0)} <= got
 
 
+@pytest.mark.parametrize(("partitions", "block"), [(1, 1_000_000), (5, 1_000_000), (3, 200)])
+def test_passages_whose_parts_others_hold(spark, monkeypatch, partitions, block):
+    """Mosaics: earlier documents hold parts of a passage, two later ones hold all of it."""
+    monkeypatch.setattr(passages, "BLOCK_WORDS", block)
+    rng = random.Random(11)
+    docs = {}
+    for n, cuts in enumerate([[(0, 25), (25, 50)], [(0, 49), (1, 50)], [(i, i + 9) for i in range(0, 54, 9)], [(0, 40), (20, 60), (40, 80)]]):
+        p = [f"m{n}x{i}" for i in range(max(e for _, e in cuts))]
+        for s, e in cuts:
+            docs[len(docs)] = p[s:e]
+        for _ in range(3):
+            docs[len(docs)] = p
+    own = {d: [f"d{d}x{i}" for i in range(160)] for d in docs}
+    full = {}
+    for d, p in docs.items():
+        a = rng.randint(10, 80)
+        full[d] = own[d][:a] + p + own[d][a : a + 70]
+    rows = [(d, " ".join(t)) for d, t in full.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    got = passages.shared_passages(df).collect()
+    said = defaultdict(set)
+    for r in got:
+        assert r.other_id < r.doc_id and r.n_words >= 50 and r.similarity >= 0.8
+        said[r.doc_id].update(range(r.start_word, r.start_word + r.n_words))
+    seen = {}
+    for d in sorted(full):  # all pairs, by every window of 50 words
+        windows = {tuple(full[d][i : i + 50]): i for i in range(len(full[d]) - 49)}
+        want = {j for w, i in windows.items() if w in seen for j in range(i, i + 50)}
+        assert want <= said[d], d
+        for w in windows:
+            seen.setdefault(w, d)
+    assert sum(map(bool, said.values())) >= 8
+
+
 PAGE = """<html><head><title>t</title><script>var a="</p><p>";</script></head><body><nav><a href=x>Home</a></nav>
 <div class="cookie-notice">We use cookies on this site and you may like them a lot indeed.</div>
 <article><h1>A &amp; B</h1><p>First  text<br>goes on.<p><b>Second &lt;one&gt;</b></p><div class="comments"><p>Me too, says a reader.</p></div></article>
