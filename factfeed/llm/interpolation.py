@@ -6,18 +6,18 @@ token before w, the model is
     P(w | v) = l2(b) * f2(w | v) + l1(b) * c(w) / N + l0(b) / (V + 1)
 
 where f2 is the maximum-likelihood bigram estimate c(v, w) / c(v), and b the bucket
-of v's frequency (powers of two). Words beyond the `FREQUENT` most frequent ones
-form one rare class: as a context they share their counts, and as w they are
-estimated by the class given the context's bucket, times the word's share of the
-class. The weights of each bucket are learned by expectation-maximisation on
-deleted counts: every training occurrence is scored with itself taken out of all
-its counts. All counts cover all training documents.
+of v's frequency (powers of two; 0 for a context that training does not have). The
+weights of each bucket are learned by expectation-maximisation on deleted counts:
+every training occurrence is scored with itself taken out of all its counts. Bigrams
+of all words count, and all counts cover all training documents.
 
 Plan: words are 64-bit hashes. Tasks add up their block before anything is
 shuffled; frequent words (at most FREQUENT) and the most frequent bigrams (at most
 HOT) are broadcast and scored where the text is, which also takes every hot key out
-of the shuffle. Occurrences of all other bigrams and of rare words go, as compact
-arrays, to the task that counts them, and per-document sums come back by block.
+of the shuffle and changes no probability. Occurrences of all other bigrams go, as
+compact arrays, to the task that counts them: those of two frequent words by bigram;
+those after another context first to that context's task, which adds c(v), and if w
+is not frequent either, on to w's task. Per-document sums come back by block.
 
 Null and empty texts have the end token only. Repeated rows count and are scored
 each. With no training documents P(w | v) is 1 for every token, the share of the
@@ -44,16 +44,17 @@ FREQUENT = 65_000  # (FREQUENT + 2) ** 2 < 2 ** 32
 HOT = 200_000
 CANDIDATE = 8  # least count of a bigram that may be broadcast
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
-BUCKETS = 33  # of context frequency: 0 is the rare class
+BUCKETS = 33  # of context frequency: 0 is a context without training
 STEPS = 4  # of an octave, in the histograms that the weights are learned from
 ZERO = -1_000_000
 END = np.uint64(0xE5D0000000000001)
+COLD, CONTEXT, WORD, DONE, SUMS = 1, 2, 3, 4, 5  # rows of the two rounds
 BASE_ADD = 0.1
 
 
 class Counts(NamedTuple):
     hashes: np.ndarray  # frequent words, sorted
-    counts: np.ndarray  # 0: rare class, 1..n: frequent words, n + 1: start of text
+    counts: np.ndarray  # 0: all other words, 1..n: frequent words, n + 1: start of text
     total: int  # N
     distinct: int  # V
 
@@ -61,7 +62,6 @@ class Counts(NamedTuple):
 class Model(NamedTuple):
     counts: Counts
     weights: np.ndarray  # bucket x (l2, l1, l0)
-    rare: np.ndarray  # probability of the rare class by bucket
     ids: np.ndarray  # most frequent bigrams, sorted
     n: np.ndarray
 
@@ -162,19 +162,41 @@ def _counts(train: DataFrame) -> Counts:
 
 
 def _codes(tokens: np.ndarray, bounds: np.ndarray, c: Counts) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the contexts and of the tokens: 0 is the rare class."""
-    at = np.minimum(np.searchsorted(c.hashes, tokens), len(c.hashes) - 1)
-    code = np.where(c.hashes[at] == tokens, at + 1, 0)
+    """Codes of the contexts and of the tokens: 0 is a word that is not frequent."""
+    code = _code(tokens, c)
     before = np.empty_like(code)
     before[1:] = code[:-1]
     before[bounds[:-1]] = len(c.hashes) + 1
     return before, code
 
 
-def _context_bucket(c: Counts) -> np.ndarray:
-    out = np.floor(np.log2(np.maximum(c.counts, 1))).astype(np.int64) + 1
-    out[0] = 0
-    return np.minimum(out, BUCKETS - 1)
+def _context_bucket(n: np.ndarray) -> np.ndarray:
+    out = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
+    return np.where(n > 0, np.minimum(out, BUCKETS - 1), 0)
+
+
+def _code(words: np.ndarray, c: Counts) -> np.ndarray:
+    at = np.minimum(np.searchsorted(c.hashes, words), len(c.hashes) - 1)
+    return np.where(c.hashes[at] == words, at + 1, 0)
+
+
+def _previous(tokens: np.ndarray) -> np.ndarray:
+    """The token before each; at the start of a text its code tells, not this."""
+    return np.concatenate([tokens[:1], tokens[:-1]])
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(v) * np.uint64(0xD6E8FEB86659FD93) + w)
+
+
+def _times(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sum of n over all rows with the same key, for each row."""
+    _, at = np.unique(keys, return_inverse=True)
+    return np.bincount(at, n)[at].astype(np.int64) if len(keys) else np.empty(0, np.int64)
+
+
+def _of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column("kind"), kind))
 
 
 def _quantum(p: np.ndarray) -> np.ndarray:
@@ -186,83 +208,99 @@ def _statistics(train: DataFrame, c: Counts) -> DataFrame:
     """Histograms of deleted estimates and the more frequent bigrams.
 
     kind 0: x, q: quanta of the deleted f2 and c(w) / N, n occurrences in bucket b
-    kind 1: the same for rare words; q: their deleted count
-    kind 2: bigram x has the count n
+    kind 2: bigram x of two frequent words has the count n
     """
     shared = train.sparkSession.sparkContext.broadcast(c)
     buckets = _buckets(train)
+    types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+
+    def rows_of(kind, place, *columns):
+        bucket = _spread(place, buckets)
+        for b, parts in _by_bucket(bucket, np.argsort(bucket, kind="stable"), columns, buckets):
+            yield (b, kind, *map(_planes, parts), *[b""] * (5 - len(parts)))
+
+    def histogram(c, n_vw, n_v, n_w):
+        """Of distinct bigrams."""
+        f2 = (n_vw - 1) / np.maximum(n_v - 1, 1)
+        return _summed(0, _context_bucket(n_v), _quantum(f2), _quantum((n_w - 1) / max(c.total - 1, 1)), n_vw)
 
     def make():
         c = shared.value
         side = len(c.hashes) + 2
-        context = _context_bucket(c)
         kept: list[tuple] = []
         size = {"n": 0}
 
         def flush():
-            before, code, tokens = (np.concatenate(x) for x in zip(*kept, strict=True))
+            before, code, tokens, previous = (np.concatenate(x) for x in zip(*kept, strict=True))
             kept.clear()
             size["n"] = 0
-            rows = []
-            common = code > 0
+            common = (code > 0) & (before > 0)
             ids, n = np.unique((before[common] * side + code[common]).astype(np.uint32), return_counts=True)
-            bucket = _spread(ids, buckets)
-            for b, (x, k) in _by_bucket(bucket, np.argsort(bucket, kind="stable"), (ids, n), buckets):
-                rows.append((b, False, _planes(x), _planes(k.astype(np.uint32)), b""))
-            words, where = tokens[~common], context[before[~common]]
-            order = np.lexsort((where, words))
-            words, where = words[order], where[order]
-            new = np.ones(len(words), bool)
-            new[1:] = (words[1:] != words[:-1]) | (where[1:] != where[:-1])
-            first = np.flatnonzero(new)
-            n = np.diff(np.append(first, len(words)))
-            words, where = words[first], where[first].astype(np.uint8)
-            bucket = _spread(words, buckets)
-            for b, (x, k, v) in _by_bucket(bucket, np.argsort(bucket, kind="stable"), (words, n, where), buckets):
-                rows.append((b, True, _planes(x), _planes(k.astype(np.uint32)), v.tobytes()))
-            types = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            rows = list(rows_of(COLD, ids, ids, n.astype(np.uint32)))
+            before, v, w = before[~common], previous[~common], tokens[~common]
+            # a frequent context is told by its code, which also names the start of a text
+            pair = _pair(np.where(before > 0, before.astype(np.uint64), v), w)
+            pair, first, n = np.unique(pair, return_index=True, return_counts=True)
+            before, v, w, n = before[first], v[first], w[first], n.astype(np.uint32)
+            a = before == 0
+            rows += rows_of(CONTEXT, v[a], v[a], w[a], pair[a], n[a])
+            rows += rows_of(WORD, w[~a], w[~a], pair[~a], c.counts[before[~a]], n[~a])
             return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
 
         def step(batch):
             for a in range(0, batch.num_rows, 1000):
                 tokens, bounds = _tokens(batch.column(0).slice(a, 1000))
-                kept.append((*_codes(tokens, bounds, c), tokens))
+                kept.append((*_codes(tokens, bounds, c), tokens, _previous(tokens)))
                 size["n"] += len(tokens)
                 if size["n"] >= BLOCK_TOKENS:
                     yield flush()
 
         return step, lambda: [flush()] if kept else []
 
-    def count(table: pa.Table) -> pa.Table:
+    def by_context(table: pa.Table) -> pa.Table:
         c = shared.value
         side = len(c.hashes) + 2
-        context = _context_bucket(c)
-        is_rare = table.column("rare")
-        out = []
-        common = table.filter(pa.compute.invert(is_rare))
-        if common.num_rows:
-            ids, at = np.unique(_joined(common, "x", np.uint32), return_inverse=True)
-            n = np.bincount(at, _joined(common, "n", np.uint32)).astype(np.int64)
-            v, w = ids // np.uint32(side), ids % np.uint32(side)
-            f2 = (n - 1) / np.maximum(c.counts[v] - 1, 1)
-            f1 = (c.counts[w] - 1) / max(c.total - 1, 1)
-            out.append(_summed(0, context[v], _quantum(f2), _quantum(f1), n))
+        rows, done = list(zip(*[x.to_pylist() for x in _of_kind(table, WORD).columns], strict=True)), []
+        cold = _of_kind(table, COLD)
+        if cold.num_rows:
+            ids, at = np.unique(_joined(cold, "c0", np.uint32), return_inverse=True)
+            n = np.bincount(at, _joined(cold, "c1", np.uint32)).astype(np.int64)
+            done.append(histogram(c, n, c.counts[ids // np.uint32(side)], c.counts[ids % np.uint32(side)]))
             high = n >= CANDIDATE
-            out.append([np.full(high.sum(), 2), np.zeros(high.sum(), np.int64), ids[high].astype(np.int64), np.zeros(high.sum(), np.int64), n[high]])
-        rare = table.filter(is_rare)
-        if rare.num_rows:
-            words, at = np.unique(_joined(rare, "x", np.uint64), return_inverse=True)
-            n = _joined(rare, "n", np.uint32).astype(np.int64)
-            where = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in rare.column("context")])
-            whole = np.bincount(at, n)[at]
-            out.append(_summed(1, where.astype(np.int64), np.zeros(len(n), np.int64), _quantum(whole - 1), n))
-        columns = [np.concatenate([np.asarray(o[i], np.int64) for o in out]) for i in range(5)]
-        return pa.table(columns, names=["kind", "b", "x", "q", "n"])
-
-    blocks = map_batches(
-        train.select(F.col("text").cast("string")), make, "bucket: int, rare: boolean, x: binary, n: binary, context: binary"
-    )
-    return blocks.groupBy("bucket").applyInArrow(count, "kind long, b long, x long, q long, n long")
+            none = np.zeros(high.sum(), np.int64)
+            done.append([none + 2, none, ids[high].astype(np.int64), none, n[high]])
+        other = _of_kind(table, CONTEXT)
+        if other.num_rows:
+            v, w, pair = (_joined(other, f"c{j}", np.uint64) for j in range(3))
+            n = _joined(other, "c3", np.uint32)
+            n_v, n_vw = _times(v, n), _times(pair, n)
+            code = _code(w, c)
+            rows += rows_of(WORD, w[code == 0], w[code == 0], pair[code == 0], n_v[code == 0], n[code == 0])
+            first = np.unique(pair, return_index=True)[1]
+            first = first[code[first] > 0]
+            done.append(histogram(c, n_vw[first], n_v[first], c.counts[code[first]]))
+        if done:
+            b = table.column("bucket")[0].as_py()
+            rows.append((b, DONE, *[_planes(np.concatenate([np.asarray(x[i], np.int64) for x in done])) for i in range(5)]))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=table.column_names)
+
+    def by_word(table: pa.Table) -> pa.Table:
+        c = shared.value
+        done = _of_kind(table, DONE)
+        out = [[_joined(done, f"c{i}", np.int64) for i in range(5)]]
+        asked = _of_kind(table, WORD)
+        if asked.num_rows:
+            w, pair = _joined(asked, "c0", np.uint64), _joined(asked, "c1", np.uint64)
+            n_v, n = _joined(asked, "c2", np.int64), _joined(asked, "c3", np.uint32)
+            n_w, n_vw = _times(w, n), _times(pair, n)
+            first = np.unique(pair, return_index=True)[1]
+            out.append(histogram(c, n_vw[first], n_v[first], n_w[first]))
+        return pa.table([np.concatenate([x[i] for x in out]) for i in range(5)], names=["kind", "b", "x", "q", "n"])
+
+    schema = "bucket: int, kind: int, " + ", ".join(f"c{j}: binary" for j in range(5))
+    blocks = map_batches(train.select(F.col("text").cast("string")), make, schema)
+    known = blocks.groupBy("bucket").applyInArrow(by_context, schema.replace(":", ""))
+    return known.groupBy("bucket").applyInArrow(by_word, "kind long, b long, x long, q long, n long")
 
 
 def _summed(kind: int, b, x, q, n) -> list[np.ndarray]:
@@ -288,7 +326,7 @@ def train(docs: DataFrame) -> Model:
     c = _counts(docs)
     if not c.total:
         rest = np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
-        return Model(c, rest, np.zeros(BUCKETS), np.empty(0, np.uint32), np.empty(0, np.int64))
+        return Model(c, rest, np.empty(0, np.uint32), np.empty(0, np.int64))
     found = materialize(_statistics(docs, c), "bigrams")
     # at most BUCKETS x (quanta of two probabilities) rows
     rows = found.where("kind < 2").groupBy("kind", "b", "x", "q").agg(F.sum("n").alias("n")).toArrow()
@@ -301,18 +339,15 @@ def train(docs: DataFrame) -> Model:
     def value(quantum):
         return np.where(quantum == ZERO, 0.0, 2.0 ** (np.maximum(quantum, ZERO // 1000) / STEPS))
 
-    per_bucket = np.bincount(b, n, minlength=BUCKETS)
-    rare = np.bincount(b[kind == 1], n[kind == 1], minlength=BUCKETS) / np.maximum(per_bucket, 1)
-    n_rare = max(int(c.counts[0]) - 1, 1)
-    is_rare = kind == 1
-    p2 = np.where(is_rare, rare[b] * value(q) / n_rare, value(x))
-    p1 = np.where(is_rare, value(q) / max(c.total - 1, 1), value(q))
+    p2, p1 = value(x), value(q)
     p0 = 1 / (c.distinct + 1)
     weights = np.tile(learned_weights(p2, p1, p0, n.astype(float)), (BUCKETS, 1))
     for i in np.unique(b):
         own = b == i
         weights[i] = learned_weights(p2[own], p1[own], p0, n[own].astype(float))
-    return Model(c, weights, rare, ids[order], times[order])
+    weights[0, 0] = 0.0  # nothing was seen after this context
+    weights[0] /= weights[0].sum()
+    return Model(c, weights, ids[order], times[order])
 
 
 def _probability(m: Model, b, f2, n_w) -> np.ndarray:
@@ -333,12 +368,36 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     buckets = _buckets(docs)
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
+
+    def rows_of(block, trained, kind, place, which, *columns):
+        bucket = _spread(place[which], buckets)
+        for b, parts in _by_bucket(bucket, np.argsort(bucket, kind="stable"), [x[which] for x in columns], buckets):
+            yield (b, block, kind, trained, *map(_planes, parts), *[b""] * (5 - len(parts)))
+
+    def sums_of(block, d, p, *more):
+        """Sums by document of a block, to be added where its head is."""
+        docs_here, at = np.unique(d, return_inverse=True)
+        sums = [np.bincount(at, np.log10(p)).astype(np.float32).tobytes()]
+        if more:
+            base, known = more
+            sums += [np.bincount(at, base).tobytes(), np.bincount(at, known).astype(np.int64).tobytes()]
+        return (int(block % buckets), int(block), SUMS, 0, _planes(docs_here), *sums, *[b""] * (4 - len(sums)))
+
+    def occurrences(rows: pa.Table, *kinds):
+        """Arrays of all rows, the slice of each, and which occurrences are of training."""
+        found = [[_unplaned(x.as_py(), kind) for x in rows.column(f"c{j}")] for j, kind in enumerate(kinds)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in found[0]])]).astype(np.int64)
+        columns = [np.concatenate(x) for x in found]
+        trained = np.repeat(rows.column("trained").to_numpy(), np.diff(at))
+        parts = [slice(a, b) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return columns, list(zip(rows.column("block").to_pylist(), rows.column("trained").to_pylist(), parts, strict=True)), columns[-1] < trained
 
     def make():
         m = shared.value
         c = m.counts
         side = len(c.hashes) + 2
-        context = _context_bucket(c)
+        context = _context_bucket(c.counts)
         kept: list[tuple] = []
         size = {"n": 0, "block": TaskContext.get().partitionId() << 32}
 
@@ -358,12 +417,13 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
             size["block"] += 1
             size["n"] = 0
             common = code > 0
+            both = common & (before > 0)
             n_w = c.counts[code]
             base = np.bincount(doc[common], _base(m, n_w[common]), n_docs)
             known = np.bincount(doc[common], n_w[common] > 0, n_docs)
             ids = (before * side + code).astype(np.uint32)
             at = np.minimum(np.searchsorted(m.ids, ids), max(len(m.ids) - 1, 0))
-            here = common & (m.ids[at] == ids) if len(m.ids) else np.zeros(len(ids), bool)
+            here = both & (m.ids[at] == ids) if len(m.ids) else np.zeros(len(ids), bool)
             n_v = np.maximum(c.counts[before[here]], 1)
             p = _probability(m, context[before[here]], m.n[at[here]] / n_v, n_w[here])
             model_sum = np.bincount(doc[here], np.log10(p), n_docs)
@@ -372,16 +432,15 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
             rows = [
                 (int(block % buckets), block, 0, trained, _ids(table), n_tokens[back].astype(np.int64).tobytes(), model_sum.tobytes(), base.tobytes(), known.astype(np.int64).tobytes())
             ]
-            ask = common & ~here
+            ask = both & ~here
             x, d = ids[ask], doc[ask].astype(np.uint16)
             bucket = _spread(x, buckets)
             for b, (i, j) in _by_bucket(bucket, np.lexsort((d, x, bucket)), (x, d), buckets):
-                rows.append((b, block, 1, trained, _planes(i), _planes(j), b"", b"", b""))
-            x, d, v = tokens[~common], doc[~common].astype(np.uint16), context[before[~common]].astype(np.uint8)
-            bucket = _spread(x, buckets)
-            for b, (i, j, k) in _by_bucket(bucket, np.lexsort((d, x, bucket)), (x, d, v), buckets):
-                rows.append((b, block, 2, trained, _planes(i), _planes(j), k.tobytes(), b"", b""))
-            types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
+                rows.append((b, block, COLD, trained, _planes(i), _planes(j), b"", b"", b""))
+            v, w, d = _previous(tokens), tokens, doc.astype(np.uint16)
+            pair = _pair(np.where(before > 0, before.astype(np.uint64), v), w)
+            rows += rows_of(block, trained, CONTEXT, v, before == 0, v, w, pair, d)
+            rows += rows_of(block, trained, WORD, w, (before > 0) & ~common, w, pair, c.counts[before], d)
             return [pa.array(col, t) for col, t in zip(zip(*rows, strict=True), types, strict=True)]
 
         def step(batch):
@@ -396,43 +455,50 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
 
         return step, lambda: [flush()] if kept else []
 
-    def answer(table: pa.Table) -> pa.Table:
-        """Sums per document and block of what this bucket counts."""
+    def as_table(rows) -> pa.Table:
+        names = ["bucket", "block", "kind", "trained", *[f"c{j}" for j in range(5)]]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    def by_context(table: pa.Table) -> pa.Table:
+        """Sums of what this bucket counts, and what goes on to the task of its word."""
         m = shared.value
         c = m.counts
         side = len(c.hashes) + 2
-        context = _context_bucket(c)
-        kind, trained = table.column("kind").to_numpy(), table.column("trained").to_numpy()
-        out = []
-        for i in np.flatnonzero(kind == 0):
-            out.append((table.column("block")[i].as_py(), 0, *[table.column(f"c{j}")[i].as_py() for j in range(5)]))
-        for own, width in ((1, np.uint32), (2, np.uint64)):
-            rows = np.flatnonzero(kind == own)
-            if not len(rows):
-                continue
-            x = [_unplaned(table.column("c0")[i].as_py(), width) for i in rows]
-            d = [_unplaned(table.column("c1")[i].as_py(), np.uint16) for i in rows]
-            seen = np.concatenate([k[j < trained[i]] for k, j, i in zip(x, d, rows, strict=True)])
-            values, times = np.unique(seen, return_counts=True)
-            for i, k, j in zip(rows, x, d, strict=True):
-                at = np.minimum(np.searchsorted(values, k), max(len(values) - 1, 0))
-                n = np.where(values[at] == k, times[at], 0) if len(values) else np.zeros(len(k), np.int64)
-                if own == 1:
-                    v, w = k // np.uint32(side), k % np.uint32(side)
-                    p = _probability(m, context[v], n / np.maximum(c.counts[v], 1), c.counts[w])
-                else:
-                    v = np.frombuffer(table.column("c2")[i].as_py(), np.uint8)
-                    p = _probability(m, v, m.rare[v] * n / max(int(c.counts[0]), 1), n)
-                docs_here, at = np.unique(j, return_inverse=True)
-                sums = [np.bincount(at, np.log10(p)).astype(np.float32)]
-                sums += [np.bincount(at, _base(m, n)), np.bincount(at, n > 0).astype(np.uint16)] if own == 2 else []
-                blobs = [_planes(docs_here), *[s.tobytes() for s in sums]]
-                out.append((table.column("block")[i].as_py(), own, *blobs, *[b""] * (5 - len(blobs))))
-        types = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
-        return pa.table([pa.array(col, t) for col, t in zip(zip(*out, strict=True), types, strict=True)], names=["block", "kind", *[f"c{j}" for j in range(5)]])
+        on = table.filter(pa.compute.is_in(table.column("kind"), pa.array([0, WORD], pa.int32())))
+        rows = list(zip(*[x.to_pylist() for x in on.columns], strict=True))
+        cold = _of_kind(table, COLD)
+        if cold.num_rows:
+            (ids, d), parts, seen = occurrences(cold, np.uint32, np.uint16)
+            n_v, n_w = c.counts[ids // np.uint32(side)], c.counts[ids % np.uint32(side)]
+            p = _probability(m, _context_bucket(n_v), _times(ids, seen) / np.maximum(n_v, 1), n_w)
+            rows += [sums_of(block, d[s], p[s]) for block, _, s in parts]
+        other = _of_kind(table, CONTEXT)
+        if other.num_rows:
+            (v, w, pair, d), parts, seen = occurrences(other, np.uint64, np.uint64, np.uint64, np.uint16)
+            n_v, code = _times(v, seen), _code(w, c)
+            common = code > 0
+            p = _probability(m, _context_bucket(n_v), _times(pair, seen) / np.maximum(n_v, 1), c.counts[code])
+            for block, trained, s in parts:
+                if common[s].any():
+                    rows.append(sums_of(block, d[s][common[s]], p[s][common[s]]))
+                rows += rows_of(block, trained, WORD, w[s], ~common[s], w[s], pair[s], n_v[s], d[s])
+        return as_table(rows)
+
+    def by_word(table: pa.Table) -> pa.Table:
+        m = shared.value
+        on = table.filter(pa.compute.is_in(table.column("kind"), pa.array([0, SUMS], pa.int32())))
+        rows = list(zip(*[x.to_pylist() for x in on.columns], strict=True))
+        asked = _of_kind(table, WORD)
+        if asked.num_rows:
+            (w, pair, n_v, d), parts, seen = occurrences(asked, np.uint64, np.uint64, np.int64, np.uint16)
+            n_w = _times(w, seen)
+            p = _probability(m, _context_bucket(n_v), _times(pair, seen) / np.maximum(n_v, 1), n_w)
+            base = _base(m, n_w)
+            rows += [sums_of(block, d[s], p[s], base[s], n_w[s] > 0) for block, _, s in parts]
+        return as_table(rows)
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = list(zip(*[table.column(i).to_pylist() for i in range(1, 7)], strict=True))
+        rows = list(zip(*[table.column(n).to_pylist() for n in ("kind", "c0", "c1", "c2", "c3", "c4")], strict=True))
         head = next(r for r in rows if r[0] == 0)
         ids = pa.ipc.open_stream(head[1]).read_all().column(0)
         n_tokens = np.frombuffer(head[2], np.int64)
@@ -442,15 +508,17 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
             if kind:
                 at = _unplaned(docs_here, np.uint16)
                 total[at] += np.frombuffer(sums, np.float32)
-                if kind == 2:
+                if more:
                     base[at] += np.frombuffer(more, np.float64)
-                    known[at] += np.frombuffer(seen, np.uint16)
+                    known[at] += np.frombuffer(seen, np.int64)
         return pa.table([ids, pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(training, F.lit(False)), F.col("text").cast("string"))
     blobs = ", ".join(f"c{j}: binary" for j in range(5))
-    asked = map_batches(rows, make, f"bucket: int, block: long, kind: int, trained: int, {blobs}")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "block long, kind int, " + blobs.replace(":", ""))
+    schema = f"bucket: int, block: long, kind: int, trained: int, {blobs}"
+    asked = map_batches(rows, make, schema)
+    known = asked.groupBy("bucket").applyInArrow(by_context, schema.replace(":", ""))
+    answers = known.groupBy("bucket").applyInArrow(by_word, schema.replace(":", ""))
     scored = answers.groupBy("block").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return scored.withColumn("train_tokens", F.lit(model.counts.total).cast("long"))
 

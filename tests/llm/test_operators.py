@@ -410,6 +410,38 @@ def test_cold_path_gives_the_scores_of_the_hot_one(odd):
     assert all(abs(x[1] - y[1]) < 0.01 for x, y in zip(a, b, strict=True))
 
 
+@pytest.mark.parametrize(("frequent", "hot"), [(4, 200_000), (65_000, 200_000), (30, 5)])
+def test_interpolation_counts_bigrams_of_all_words(spark, monkeypatch, frequent, hot):
+    """Scores against counts of all bigrams, however few words are broadcast."""
+    monkeypatch.setattr(interpolation, "FREQUENT", frequent)
+    monkeypatch.setattr(interpolation, "HOT", hot)
+    monkeypatch.setattr(interpolation, "CANDIDATE", 2)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(150)]
+    texts = {i: [vocabulary[min(int(rng.expovariate(0.03)), 149)] for _ in range(rng.randint(0, 60))] for i in range(90)}
+    texts[90] = ["unseen", "w1", "unheard", "unseen"]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    training = F.col("doc_id") % 10 != 0
+    model = interpolation.train(df.where(training))
+    got = {r.doc_id: r for r in interpolation.score(df, training, model).collect()}
+    one, two, before = Counter(), Counter(), Counter()
+    for i, t in texts.items():
+        pairs = list(zip([None, *t], [*t, ""], strict=True))
+        if i % 10:
+            one.update(w for _, w in pairs)
+            two.update(pairs)
+            before.update(v for v, _ in pairs)
+    n = sum(one.values())
+    for i, t in texts.items():
+        want = 0.0
+        for v, w in zip([None, *t], [*t, ""], strict=True):
+            l2, l1, l0 = model.weights[before[v].bit_length()]
+            want += math.log10(l2 * two[v, w] / max(before[v], 1) + l1 * one[w] / n + l0 / (len(one) + 1))
+        assert got[i].score == pytest.approx(want, abs=1e-4), i
+        assert got[i].n_known == sum(one[w] > 0 for w in [*t, ""])
+    assert model.weights[0, 0] == 0 and np.allclose(model.weights.sum(axis=1), 1)
+
+
 def test_weights_recover_a_mixture():
     p2, p1 = np.array([0.9, 0.0]), np.array([0.1, 0.1])
     weights = interpolation.learned_weights(p2, p1, 1e-6, np.array([60.0, 40.0]), 500)
