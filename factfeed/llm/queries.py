@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over their whole tables."""
+"""Registered queries of the operators, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,21 @@ from pyspark.sql import functions as F
 
 from factfeed.session import tune
 
-from . import decontamination, interpolation, language, lsh_forest, main_text, noisy_channel, packing, passages, quality_rules, token_counts
+from . import (
+    content_sort,
+    decontamination,
+    filter_audit,
+    interpolation,
+    language,
+    lsh_forest,
+    main_text,
+    noisy_channel,
+    packing,
+    passages,
+    quality_rules,
+    resampling,
+    token_counts,
+)
 from .common import fold, table
 
 TOKEN_LIMIT = 4096
@@ -71,7 +85,25 @@ def op10_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_passages, op3_main_text, op4_quality_rules, op5_toxicity, op6_decontamination, op7_near_duplicates, op8_token_counts, op9_language, op10_interpolation)}
+def op11_content_sort(spark: SparkSession, sf: str) -> DataFrame:
+    return content_sort.exact_duplicates(table(spark, sf, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resampling.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_passages, op3_main_text, op4_quality_rules, op5_toxicity, op6_decontamination, op7_near_duplicates,
+        op8_token_counts, op9_language, op10_interpolation, op11_content_sort, op12_resampling, op13_filter_audit,
+    )
+}
 
 
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
