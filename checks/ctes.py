@@ -303,13 +303,16 @@ SELECT qid, query_id, sec_no, NULL, place FROM (SELECT q.qid, q.query_id, s.sec_
 WHERE place <= 2""")
 
 
-def query(body: str, *needs: str) -> str:
-    """Full SQL: the needed CTEs in order, then the body."""
+def query(body: str, *needs: str, **other: tuple[tuple[str, ...], str]) -> str:
+    """Full SQL: the needed CTEs in order, then the body.
+
+    `other` puts (needs, sql) in the place of a CTE, or adds one."""
+    ctes = CTES | other
     done: list[str] = []
 
     def add(name: str) -> None:
         if name not in done:
-            for need in CTES[name][0]:
+            for need in ctes[name][0]:
                 add(need)
             done.append(name)
 
@@ -317,7 +320,7 @@ def query(body: str, *needs: str) -> str:
         add(name)
     if not done:
         return body
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({ctes[n][1]})" for n in done) + "\n" + body
 
 
 # ---- alignment -------------------------------------------------------------

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from factfeed.config import ASSESS_TEMPLATE, EXTRACT_TEMPLATE, VERIFY_TEMPLATE
 from factfeed.operators import annotation as an
 from factfeed.operators.retrieval import attach_passages, retrieve
+from factfeed.plans.annotate import annotate_with_model as annotate
 from factfeed.plans.annotate import label_prompts, labels_from_completions
 from factfeed.session import fresh_path
 from factfeed.streaming.label_merge import missed_pairs, pair_stream, read_arrivals, write_pairs
 
 from . import fixtures as fx
-from .ctes import digit, lit, query, refusal, strip
+from .ctes import SENTENCE, digit, items, lit, query, refusal, sents, strip
 from .registry import check
 
 CONFIG = fx.CONFIG
@@ -241,6 +245,72 @@ def refusal_filter_any_case(spark, sf):
     return an.drop_refusals(fx.labels(spark, sf), ignore_case=True)
 
 
+# ---- the job with a model --------------------------------------------------
+def _spoken(prompt: str, settings: dict) -> str:
+    """Stands for a model: a text that follows from the prompt's digest alone, and
+    for one prompt in sixteen from the temperature as well."""
+    d = int(hashlib.md5(prompt.encode()).hexdigest()[0], 16)
+    begin, end = EXTRACT_TEMPLATE.split("{response}")
+    if not prompt.startswith(begin):
+        verify = prompt.startswith(VERIFY_TEMPLATE.split("{")[0])
+        return (fx.VERIFY_TEXTS if verify else fx.ASSESS_TEXTS)[d]
+    if d == 0:
+        return "No statements"
+    if d == 2 or (d == 1 and settings["temperature"] == 1):
+        return "???"
+    found = [s.strip() for s in re.findall(SENTENCE, prompt[len(begin) : len(prompt) - len(end)])]
+    claims = [(i, s) for i, s in enumerate(filter(None, found), 1)]
+    return "".join(f">> Sentence {i}: {s}\n* {s}\n" + (f"* {s.split(',')[0]}\n" if "," in s else "") for i, s in claims)
+
+
+def _speaker():
+    return lambda prompts, settings: [_spoken(p, s) for p, s in zip(prompts, settings, strict=True)]
+
+
+_NL = "chr(10)"
+_claims = f"""array_to_string(list_transform(ss, lambda s, i: '>> Sentence ' || i || ': ' || s || {_NL} || '* ' || s || {_NL}
+  || CASE WHEN contains(s, ',') THEN '* ' || split_part(s, ',', 1) || {_NL} ELSE '' END), '')"""
+_MODEL = query(
+    "SELECT * FROM paired",
+    "paired",
+    extractions=(
+        ("answers",),
+        f"""SELECT answer_id, attempt::INTEGER AS attempt,
+  CASE WHEN d = 0 THEN 'No statements' WHEN d = 2 OR (d = 1 AND attempt = 0) THEN '???' ELSE {_claims} END AS text
+FROM (SELECT answer_id, {sents('answer')} AS ss, unnest(range(4)) AS attempt,
+        {digit(f"md5(replace({sql_text(EXTRACT_TEMPLATE)}, '{{response}}', answer))", 1)} AS d FROM answers)""",
+    ),
+    queries=(
+        ("tasks", "answers"),
+        """SELECT a.qid, t.task_id AS query_id, t.statement, a.question
+FROM tasks t JOIN answers a ON a.answer_id = t.answer_id WHERE t.task = 'verify'""",
+    ),
+    asked=(
+        ("tasks", "answers", "queries", "passages", "secs"),
+        f"""SELECT t.task_id, 'assess' AS task, replace(replace(replace({sql_text(ASSESS_TEMPLATE)}, '{{question}}', a.question),
+  '{{response}}', a.answer), '{{statement}}', t.statement) AS prompt
+FROM tasks t JOIN answers a ON a.answer_id = t.answer_id WHERE t.task = 'assess'
+UNION ALL
+SELECT q.query_id, 'verify', replace(replace({sql_text(VERIFY_TEMPLATE)}, '{{materials}}', coalesce(e.txt, '')), '{{statement}}', q.statement)
+FROM queries q LEFT JOIN (SELECT p.query_id, string_agg('- ' || {strip('s.section')}, chr(10) ORDER BY p.place) AS txt
+  FROM passages p JOIN secs s ON s.qid = p.qid AND s.sec_no = p.sec_no GROUP BY p.query_id) e ON e.query_id = q.query_id""",
+    ),
+    completions=(
+        ("asked",),
+        f"""SELECT task_id, task, 0 AS attempt, CASE WHEN task = 'verify' THEN ({items(fx.VERIFY_TEXTS)})[d + 1]
+  ELSE ({items(fx.ASSESS_TEXTS)})[d + 1] END AS text FROM (SELECT *, {digit('md5(prompt)', 1)} AS d FROM asked)""",
+    ),
+)
+
+
+@check("annotate_with_model", _MODEL)
+def annotate_with_model(spark, sf):
+    """Prompts, model, readings and second asks in one job, in waves of 4 x 2000."""
+    return annotate(
+        fx.answers(spark, sf), fx.evidence(spark, sf), _speaker, CONFIG, workers=4, sampling=True, rows_per_task=2000
+    )
+
+
 @check("annotation_job", query("SELECT * FROM paired", "paired"))
 def annotation_job(spark, sf):
     return labels_from_completions(fx.extractions(spark, sf), fx.completions(spark, sf), CONFIG)

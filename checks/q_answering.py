@@ -6,7 +6,15 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from factfeed.operators.inference import batch_predict, fan_out_samples, keep_evidence, sampling_settings
+from factfeed.operators.inference import (
+    batch_predict,
+    fan_out_samples,
+    keep_evidence,
+    planned,
+    predict_in_waves,
+    sampling_settings,
+)
+from factfeed.runs import Run
 
 from . import fixtures as fx
 from .ctes import query
@@ -24,6 +32,14 @@ def batch_inference(spark, sf):
     return batch_predict(prompts, _digest_model, ["qid"], batch_size=8, workers=4)
 
 
+@check("batch_inference_waves", query("SELECT qid, 'answer ' || md5(question) AS text FROM qa", "qa"))
+def batch_inference_waves(spark, sf):
+    """The same answers from jobs of a bounded number of prompts, each on record."""
+    run = Run(spark)
+    asked = run.stage("prompts", lambda: planned(fx.qa(spark, sf).select("qid", F.col("question").alias("prompt")), ["qid"]))
+    return predict_in_waves(run, "texts", asked, _digest_model, ["qid"], workers=4, rows_per_task=1000)
+
+
 @check(
     "sample_fan_out",
     query("SELECT qid, sample_no::INTEGER AS sample_no, question FROM qa, range(3) t(sample_no)", "qa"),

@@ -57,7 +57,8 @@ def score_with_model(
     annotate: AnnotateConfig = AnnotateConfig(),
     workers: int | None = None,
     sampling: bool = False,
+    run: str | None = None,
 ) -> Scored:
     """The whole job: stripped answers are labeled by the model, then scored."""
-    labels = annotate_with_model(strip_texts(answers), evidence, make_predict, annotate, workers, sampling)
+    labels = annotate_with_model(strip_texts(answers), evidence, make_predict, annotate, workers, sampling, run)
     return score_answers(outputs, labels, reward)
