@@ -12,7 +12,7 @@ from factfeed.operators.annotation import drop_refusals
 from factfeed.plans.score import score_from_completions
 
 from . import fixtures as fx
-from .ctes import INFO, INFO_VALUE, TRUTH, query
+from .ctes import INFO, INFO_VALUE, TRUTH, digit, drop_stop, query
 from .registry import check
 
 CONFIG = RewardConfig()
@@ -83,6 +83,63 @@ def anchor_statements(spark, sf):
     return rows.select("answer_id", "sentence", "statement", "anchor")
 
 
+# statements that are no subsequence of their sentence: one in sixteen is reversed, one
+# has other vowels. The SQL form fills the whole table of common lengths row by row.
+_CHANGED = """CASE WHEN d = 0 THEN reverse(statement) WHEN d = 1 THEN replace(replace(statement, 'a', 'u'), 'e', 'o') ELSE statement END"""
+_ANCHORS = query(
+    "SELECT answer_id, sentence, claim, statement, CASE WHEN hit > 0 THEN (hit - 1 - sent_at + ans_at)::INTEGER END AS anchor FROM walk WHERE k = length(letters)",
+    "walk",
+    changed=(
+        ("claims",),
+        f"""SELECT answer_id, sentence, statement AS claim, {_CHANGED} AS statement, d
+FROM (SELECT *, {digit("md5(answer_id || chr(31) || sentence || chr(31) || statement)", 3)} AS d FROM claims)""",
+    ),
+    common=(
+        ("changed",),
+        f"""SELECT DISTINCT s, t, 0 AS i, list_resize([]::INTEGER[], length(t) + 1, 0) AS r, [list_resize([]::INTEGER[], length(t) + 1, 0)] AS rs
+  FROM (SELECT {drop_stop('statement')} AS s, {drop_stop('sentence')} AS t FROM changed WHERE d < 2)
+  UNION ALL
+  SELECT s, t, i + 1, r2, list_append(rs, r2)
+  FROM (SELECT s, t, i, rs, list_concat([0], list_transform(range(1, length(t) + 1), lambda j: list_max(best[1:j]))) AS r2
+    FROM (SELECT *, list_transform(range(1, length(t) + 1), lambda k: greatest(r[k + 1],
+            CASE WHEN substr(t, k, 1) = substr(s, i + 1, 1) THEN r[k] + 1 ELSE 0 END)) AS best
+          FROM common WHERE i < length(s)))""",
+    ),
+    back=(
+        ("common",),
+        """SELECT s, t, rs, i, list_position(r, list_max(r)) - 1 AS j, '' AS letters FROM common WHERE i = length(s)
+  UNION ALL
+  SELECT s, t, rs, CASE WHEN up OR NOT side THEN i - 1 ELSE i END, CASE WHEN NOT up THEN j - 1 ELSE j END,
+    CASE WHEN NOT up AND NOT side THEN substr(s, i, 1) || letters ELSE letters END
+  FROM (SELECT *, rs[i + 1][j + 1] = rs[i][j + 1] AS up, rs[i + 1][j + 1] = rs[i + 1][j] AS side FROM back WHERE i > 0 AND j > 0)""",
+    ),
+    walk=(
+        ("changed", "back", "locs"),
+        f"""SELECT c.answer_id, c.sentence, c.claim, c.statement, coalesce(b.letters, {drop_stop('c.statement')}) AS letters,
+    {drop_stop('c.sentence')} AS sent, l.sent_at, l.ans_at, l.n, 0 AS k, 0::BIGINT AS pos, 0::BIGINT AS hit
+  FROM changed c JOIN locs l ON l.answer_id = c.answer_id AND l.sentence = c.sentence
+  LEFT JOIN (SELECT * FROM back WHERE i = 0 OR j = 0) b
+    ON c.d < 2 AND b.s = {drop_stop('c.statement')} AND b.t = {drop_stop('c.sentence')}
+  UNION ALL
+  SELECT answer_id, sentence, claim, statement, letters, sent, sent_at, ans_at, n, k + 1, nxt,
+    CASE WHEN nxt BETWEEN sent_at + 1 AND sent_at + n THEN nxt ELSE hit END
+  FROM (SELECT *, pos + strpos(substr(sent, pos + 1), substr(letters, k + 1, 1)) AS nxt FROM walk WHERE k < length(letters))""",
+    ),
+)
+
+
+@check("anchor_changed_statements", _ANCHORS)
+def anchor_changed_statements(spark, sf):
+    """Statements that only a common subsequence can place."""
+    h = F.md5(F.concat_ws("\x1f", F.col("answer_id").cast("string"), "sentence", "statement"))
+    d, said = fx.hex_digit(h, 3), F.col("statement")
+    other = F.replace(F.replace(said, F.lit("a"), F.lit("u")), F.lit("e"), F.lit("o"))
+    claims = _claims(spark, sf).select("answer_id", "sentence", said.alias("claim"), F.when(d == 0, F.reverse(said)).when(d == 1, other).otherwise(said).alias("statement"))
+    placed = rw.place_sentences(fx.outputs(spark, sf), claims.select("answer_id", "sentence").distinct(), special=True)
+    rows = al.anchor_statements(claims.join(placed, ["answer_id", "sentence"]))
+    return rows.select("answer_id", "sentence", "claim", "statement", "anchor")
+
+
 @check(
     "char_to_token",
     query(

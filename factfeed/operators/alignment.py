@@ -1,93 +1,114 @@
 """Finding sentences and statements again in the answer text.
 
-Lengths and positions are in characters. A sentence found word for word is
-placed by the JVM; only the other rows reach the two small NumPy helpers, which
-see one sentence and one answer at a time.
+Lengths and positions are in characters. All of it are column expressions: folds
+over one sentence and one answer at a time, so a row's work follows its own texts.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.rows import bind
 from ..functions.text import chars
 
-PLACE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("sent_at", "ans_at", "n")])
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-
-
-def common_run(sentence: str, answer: str) -> tuple[int, int, int]:
-    """(start in sentence, start in answer, length) of the longest common
-    substring; leftmost in the answer, then leftmost in the sentence."""
-    a = _codes(answer)
-    ending = np.zeros(len(a) + 1, dtype=np.int32)  # run length ending before j
-    best = (0, 0, 0)
-    for i, code in enumerate(_codes(sentence)):
-        ending[1:] = np.where(a == code, ending[:-1] + 1, 0)
-        ending[0] = 0
-        j = int(ending.argmax())
-        n = int(ending[j])
-        if n > best[2] or (n == best[2] > 0 and j - n < best[1]):
-            best = (i + 1 - n, j - n, n)
-    return best
-
-
-def common_letters(statement: str, sentence: str) -> str:
-    """A longest common subsequence, read back from its earliest end."""
-    s, t = _codes(statement), _codes(sentence)
-    rows = [np.zeros(len(t) + 1, dtype=np.int32)]
-    for code in s:
-        above = rows[-1]
-        row = above.copy()
-        row[1:] = np.maximum(row[1:], np.where(t == code, above[:-1] + 1, 0))
-        rows.append(np.maximum.accumulate(row))
-    i, j = len(s), int(rows[-1].argmax())
-    picked = []
-    while i and j:
-        if rows[i][j] == rows[i - 1][j]:
-            i -= 1
-        elif rows[i][j] == rows[i][j - 1]:
-            j -= 1
-        else:
-            picked.append(statement[i - 1])
-            i, j = i - 1, j - 1
-    return "".join(reversed(picked))
-
-
-@F.pandas_udf(PLACE)
-def _common_run(sentence: pd.Series, answer: pd.Series) -> pd.DataFrame:
-    found = [
-        (None, None, None) if s is None or a is None else common_run(s, a)
-        for s, a in zip(sentence, answer, strict=True)
-    ]
-    return pd.DataFrame(found, columns=["sent_at", "ans_at", "n"]).astype("Int32")
-
-
-@F.pandas_udf(T.StringType())
-def _common_letters(statement: pd.Series, sentence: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if a is None or b is None else common_letters(a, b) for a, b in zip(statement, sentence, strict=True)],
-        dtype="object",
-    )
+_FAR = 2**31 - 1
+
+
+def common_run(sentence: Column, answer: Column) -> Column:
+    """(sent_at, ans_at, n) of the longest common substring; leftmost in the
+    answer, then leftmost in the sentence.
+
+    A window moves over the sentence: it grows by a character as long as the answer
+    contains it, else it moves on and is one shorter, for what follows a substring
+    of the answer without its first character is one as well. So a sentence of n
+    characters takes at most 2 n searches. A second pass finds the leftmost place of
+    the windows that are as long as the longest.
+    """
+    n = F.length(sentence)
+    zero = F.struct(F.lit(1).alias("i"), F.lit(0).alias("l"), F.lit(0).alias("best"))
+
+    def move(s: Column, _: Column) -> Column:
+        i, l = s["i"], s["l"]
+        grows = (i + l <= n) & F.contains(answer, F.substring(sentence, i, l + 1))
+        return (
+            F.when(i + s["best"] > n, s)  # what is left of the sentence cannot beat the best
+            .when(grows, F.struct(i.alias("i"), (l + 1).alias("l"), F.greatest(s["best"], l + 1).alias("best")))
+            .otherwise(F.struct((i + 1).alias("i"), F.greatest(l - 1, F.lit(0)).alias("l"), s["best"].alias("best")))
+        )
+
+    steps = F.when(n > 0, F.sequence(F.lit(1), 2 * n)).otherwise(F.array().cast("array<int>"))
+    best = F.aggregate(steps, zero, move, lambda s: s["best"])
+
+    def leftmost(longest: Column) -> Column:
+        starts = F.sequence(F.lit(1), n - longest + 1)
+        found = F.filter(starts, lambda i: F.contains(answer, F.substring(sentence, i, longest)))
+        places = F.transform(
+            found,
+            lambda i: F.struct(
+                (F.position(F.substring(sentence, i, longest), answer) - 1).alias("ans_at"), (i - 1).alias("sent_at")
+            ),
+        )
+        first = F.array_min(places)
+        return F.struct(first["sent_at"].alias("sent_at"), first["ans_at"].alias("ans_at"), longest.alias("n"))
+
+    nothing = F.struct(F.lit(0).alias("sent_at"), F.lit(0).alias("ans_at"), F.lit(0).alias("n"))
+    # the fold's result is bound to a name by a one-element transform
+    return F.get(F.transform(F.array(best), lambda b: F.when(b > 0, leftmost(b)).otherwise(nothing)), F.lit(0))
+
+
+def common_letters(statement: Column, sentence: Column) -> Column:
+    """A longest common subsequence, read back from its earliest end.
+
+    For every prefix of the statement and every length k the fold keeps the earliest
+    sentence position at which a common subsequence of k letters can end: with one
+    more letter it is the old one, or that letter's next place behind the end of
+    k - 1 letters. Reading back, each letter is the first one of the statement with
+    which its length is reached in time.
+    """
+    letters = F.filter(chars(statement), lambda c: c != "")
+    row = F.array(F.lit(0))
+
+    def extend(rows: Column, c: Column) -> Column:
+        ends = F.element_at(rows, -1)
+
+        def better(e: Column, k: Column) -> Column:
+            at = F.position(c, sentence, F.get(ends, k - 1) + 1)
+            return F.when((k > 0) & (at > 0) & (at < e), at).otherwise(e)
+
+        longer = F.position(c, sentence, F.element_at(ends, -1) + 1)
+        kept = F.transform(ends, better)
+        return F.array_append(rows, F.when(longer > 0, F.array_append(kept, longer)).otherwise(kept))
+
+    rows = F.aggregate(letters, F.array(row), extend)
+
+    def read_back(rows: Column) -> Column:
+        last = F.element_at(rows, -1)
+        zero = F.struct(F.element_at(last, -1).alias("until"), F.lit("").alias("text"))
+
+        def pick(s: Column, k: Column) -> Column:
+            def late(r: Column) -> Column:
+                return F.coalesce(F.get(r, k), F.lit(_FAR)) > s["until"]
+
+            i = F.size(F.filter(rows, late))  # prefixes that are too short: a run from the first
+            end = F.get(F.get(rows, i), k)
+            return F.struct((end - 1).alias("until"), F.concat(F.get(letters, i - 1), s["text"]).alias("text"))
+
+        ks = F.reverse(F.sequence(F.lit(1), F.size(last) - 1))
+        return F.when(F.size(last) > 1, F.aggregate(ks, zero, pick, lambda s: s["text"])).otherwise("")
+
+    return F.get(F.transform(F.array(rows), read_back), F.lit(0))
 
 
 def locate_sentences(df: DataFrame, sentence: str = "sentence", answer: str = "answer") -> DataFrame:
-    """Add place: (sent_at, ans_at, n) of the longest common substring."""
+    """Add place: (sent_at, ans_at, n) of the longest common substring; null if one
+    of the texts is null."""
     df = bind(df, "_at", F.position(F.col(sentence), F.col(answer)))
-    missing = F.col("_at") == 0
-    run = _common_run(F.when(missing, F.col(sentence)), F.when(missing, F.col(answer)))
     verbatim = F.struct(
         F.lit(0).alias("sent_at"), (F.col("_at") - 1).alias("ans_at"), F.length(sentence).alias("n")
     )
-    df = bind(df.withColumn("_run", run), "place", F.when(missing, F.col("_run")).otherwise(verbatim))
-    return df.drop("_at", "_run")
+    place = F.when(F.col("_at") > 0, verbatim).when(F.col("_at") == 0, common_run(F.col(sentence), F.col(answer)))
+    return bind(df, "place", place).drop("_at")
 
 
 def last_char(place: Column) -> Column:
@@ -125,7 +146,8 @@ def anchor_statements(df: DataFrame) -> DataFrame:
     aligned with a placed character of the sentence; null if there is none.
 
     Needs statement, sentence and place. One final full stop of either text is
-    left out. Statements whose letters all occur in order need no helper.
+    left out. Statements whose letters do not all occur in order are matched by a
+    longest common subsequence.
     """
     place = F.col("place")
     df = df.withColumn("_stat", _drop_stop(F.col("statement"))).withColumn(
@@ -133,8 +155,7 @@ def anchor_statements(df: DataFrame) -> DataFrame:
     )
     df = bind(df, "_full", _walk(F.col("_stat"), F.col("_sent"), place))
     lost = F.col("_full.lost")
-    letters = _common_letters(F.when(lost, F.col("_stat")), F.when(lost, F.col("_sent")))
-    df = df.withColumn("_letters", letters)
+    df = bind(df, "_letters", F.when(lost, common_letters(F.col("_stat"), F.col("_sent"))))
     part = F.when(lost, _walk(F.col("_letters"), F.col("_sent"), place)["hit"]).otherwise(F.col("_full.hit"))
     df = bind(df, "_hit", part)
     anchor = F.when(F.col("_hit") > 0, F.col("_hit") - 1 - place["sent_at"] + place["ans_at"])

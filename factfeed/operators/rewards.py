@@ -39,64 +39,64 @@ def statement_truth(labels: DataFrame, config: RewardConfig = RewardConfig()) ->
     return labels.withColumn("truth", truth_score(config, F.col("verify"), F.col("assess")))
 
 
-def _text(outputs: DataFrame, special: bool) -> DataFrame:
+def _spine(outputs: DataFrame, special: bool) -> DataFrame:
+    """(answer_id, ends, n_tokens): where the tokens of an answer end."""
+    return with_offsets(outputs, special).select("answer_id", "ends", "n_tokens")
+
+
+def place_sentences(outputs: DataFrame, sentences: DataFrame, special: bool) -> DataFrame:
+    """(answer_id, sentence, place) of distinct (answer_id, sentence) rows: the only
+    step that sees the answer text, once for each sentence however many statements
+    it has."""
     tokens = F.col("tokens")
     if not special:
         tokens = F.filter(tokens, lambda t, i: ~F.get("special", i))
-    return with_offsets(outputs, special).withColumn("answer", F.array_join(tokens, ""))
+    texts = outputs.select("answer_id", F.array_join(tokens, "").alias("answer"))
+    return locate_sentences(sentences.join(texts, "answer_id")).select("answer_id", "sentence", "place")
 
 
-def _fill_spine(outputs: DataFrame, points: DataFrame, default: float = 0.0) -> DataFrame:
-    """One score array per output from (answer_id, tok_no, score) points.
+def _fill_spine(outputs: DataFrame, points: DataFrame, special: bool, default: float = 0.0) -> DataFrame:
+    """One score array per output from (answer_id, char, score) points.
 
-    Points of an answer are at most one per token after the sum.
+    Points are summed per character first; an answer has no more of them than
+    characters. Which token holds a character is looked up here, once an answer.
     """
-    summed = (
-        points.groupBy("answer_id", "tok_no")
-        .agg(F.sum("score").alias("score"))
-        .groupBy("answer_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("tok_no", "score"))).alias("_scores"))
+    summed = points.groupBy("answer_id", "char").agg(F.sum("score").alias("score"))
+    lists = summed.groupBy("answer_id").agg(F.array_sort(F.collect_list(F.struct("char", "score"))).alias("_points"))
+    rows = _spine(outputs, special).join(lists, "answer_id", "left")
+    at_tokens = F.transform(
+        "_points", lambda p: F.struct(token_at(F.col("ends"), F.col("n_tokens"), p["char"]).alias("tok"), p["score"].alias("score"))
     )
-    n = F.size("tokens")
-    scores = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.coalesce(F.try_element_at("_scores", i), F.lit(float(default))),
-    )
-    filled = F.when(n > 0, scores).otherwise(F.array().cast("array<double>"))
-    return bind(outputs.join(summed, "answer_id", "left"), "scores", filled).select("answer_id", "scores")
+    rows = bind(rows, "_at", F.coalesce(at_tokens, F.array().cast("array<struct<tok:int,score:double>>")))
+
+    def score(i: Column) -> Column:
+        own = F.filter("_at", lambda p: p["tok"] == i)
+        total = F.aggregate(own, F.lit(0.0), lambda acc, p: acc + p["score"])
+        return F.when(F.size(own) > 0, total).otherwise(F.lit(float(default)))
+
+    n = F.col("n_tokens")
+    filled = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), score)).otherwise(F.array().cast("array<double>"))
+    return bind(rows, "scores", filled).select("answer_id", "scores")
 
 
 def token_points(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
-    """(answer_id, tok_no, score): info at the last token of each sentence,
-    truth at the last aligned token of each statement."""
-    texts = _text(outputs, special=True).select("answer_id", "answer", "ends", "n_tokens")
-    rows = anchor_statements(locate_sentences(labels.join(texts, "answer_id")))
-    at_sentence = token_at(F.col("ends"), F.col("n_tokens"), last_char(F.col("place")))
-    at_statement = token_at(F.col("ends"), F.col("n_tokens"), F.col("anchor"))
-    info = info_value(config, F.col("assess"))
-    truth = truth_score(config, F.col("verify"), F.col("assess"))
-    # each labeled statement gives two parts, summed in one pass below
-    parts = F.array(
-        F.struct(F.col("sentence").alias("part_of"), at_sentence.alias("tok_no"), info.alias("info"), F.lit(0.0).alias("truth")),
-        F.struct(
-            F.lit(None).cast("string").alias("part_of"),
-            F.when(F.col("anchor").isNotNull(), at_statement).alias("tok_no"),
-            F.lit(0.0).alias("info"),
-            truth.alias("truth"),
-        ),
+    """(answer_id, char, score): info at the last placed character of each sentence,
+    truth at the last aligned character of each statement."""
+    graded = labels.groupBy("answer_id", "sentence").agg(
+        info_score(config, F.sum(info_value(config, F.col("assess")))).alias("info")
     )
-    score = F.when(F.col("part_of").isNull(), F.col("_truth")).otherwise(info_score(config, F.col("_info")))
-    return (
-        rows.select("answer_id", F.inline(parts))
-        .filter("tok_no IS NOT NULL")
-        .groupBy("answer_id", "part_of", "tok_no")
-        .agg(F.sum("info").alias("_info"), F.sum("truth").alias("_truth"))
-        .select("answer_id", "tok_no", score.alias("score"))
+    placed = place_sentences(outputs, graded.select("answer_id", "sentence"), special=True)
+    info = graded.join(placed, ["answer_id", "sentence"]).select(
+        "answer_id", last_char(F.col("place")).alias("char"), F.col("info").alias("score")
+    )
+    truth = anchor_statements(labels.join(placed, ["answer_id", "sentence"])).where("anchor IS NOT NULL").select(
+        "answer_id", F.col("anchor").alias("char"), truth_score(config, F.col("verify"), F.col("assess")).alias("score")
     )
+    return info.unionByName(truth)
 
 
 def token_rewards(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
-    return _fill_spine(outputs, token_points(outputs, labels, config))
+    return _fill_spine(outputs, token_points(outputs, labels, config), special=True)
 
 
 def sentence_totals(labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
@@ -110,17 +110,16 @@ def sentence_totals(labels: DataFrame, config: RewardConfig = RewardConfig()) ->
 
 
 def sentence_points(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
-    texts = _text(outputs, special=False).select("answer_id", "answer", "ends", "n_tokens")
-    rows = locate_sentences(sentence_totals(labels, config).join(texts, "answer_id"))
-    return rows.select(
-        "answer_id",
-        token_at(F.col("ends"), F.col("n_tokens"), last_char(F.col("place"))).alias("tok_no"),
-        "score",
+    """(answer_id, char, score): a sentence's score at its last placed character."""
+    totals = sentence_totals(labels, config)
+    placed = place_sentences(outputs, totals.select("answer_id", "sentence"), special=False)
+    return totals.join(placed, ["answer_id", "sentence"]).select(
+        "answer_id", last_char(F.col("place")).alias("char"), "score"
     )
 
 
 def sentence_rewards(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
-    return _fill_spine(outputs, sentence_points(outputs, labels, config))
+    return _fill_spine(outputs, sentence_points(outputs, labels, config), special=False)
 
 
 def answer_rewards(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:

@@ -13,6 +13,7 @@ from factfeed.operators.alignment import (
     token_at,
     with_offsets,
 )
+from factfeed.operators.rewards import place_sentences, token_rewards
 
 
 def brute_run(sentence: str, answer: str):
@@ -46,20 +47,59 @@ def word(rng, n):
     return "".join(rng.choice("abcé😀") for _ in range(n))
 
 
-def test_longest_run_against_all_substrings():
-    rng = random.Random(5)
-    for _ in range(300):
-        s, a = word(rng, rng.randint(0, 12)), word(rng, rng.randint(0, 25))
-        assert common_run(s, a) == brute_run(s, a), (s, a)
+def both_texts(rng, n, left, right):
+    return [(word(rng, rng.randint(0, left)), word(rng, rng.randint(0, right))) for _ in range(n)]
 
 
-def test_common_letters_are_a_longest_subsequence():
-    rng = random.Random(6)
-    for _ in range(300):
-        s, t = word(rng, rng.randint(0, 10)), word(rng, rng.randint(0, 15))
-        got = common_letters(s, t)
-        assert len(got) == lcs_len(s, t)
-        assert is_subsequence(got, s) and is_subsequence(got, t)
+def test_longest_run_against_all_substrings(spark):
+    rows = both_texts(random.Random(5), 600, 12, 25) + [("aaaa", "a" * 9), ("a" * 9, "aaaa"), ("", ""), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "s string, a string")
+    for r in df.select("s", "a", common_run(F.col("s"), F.col("a")).alias("run")).collect():
+        if r.s is not None and r.a is not None:
+            assert tuple(r.run) == brute_run(r.s, r.a), (r.s, r.a)
+
+
+def read_back(a: str, b: str) -> str:
+    """From the earliest end of the table's last row: up, else left, else take."""
+    table = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b, 1):
+            row.append(max(table[-1][j], row[-1], table[-1][j - 1] + 1 if x == y else 0))
+        table.append(row)
+    i, j, out = len(a), table[-1].index(max(table[-1])), ""
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            out, i, j = a[i - 1] + out, i - 1, j - 1
+    return out
+
+
+def test_common_letters_are_a_longest_subsequence(spark):
+    df = spark.createDataFrame(both_texts(random.Random(6), 600, 10, 15) + [("", "a"), ("a", "")], "s string, t string")
+    for r in df.select("s", "t", common_letters(F.col("s"), F.col("t")).alias("got")).collect():
+        assert len(r.got) == lcs_len(r.s, r.t)
+        assert is_subsequence(r.got, r.s) and is_subsequence(r.got, r.t)
+        assert r.got == read_back(r.s, r.t)
+
+
+def test_placing_runs_once_a_sentence_without_python(spark):
+    outputs = spark.createDataFrame(
+        [(1, ["One", " fox", " ran", "."], [False] * 4)], "answer_id long, tokens array<string>, special array<boolean>"
+    )
+    labels = spark.createDataFrame(
+        [(1, "One fox so ran.", f"fox {i}", "Correct", "5") for i in range(9)],
+        "answer_id long, sentence string, statement string, verify string, assess string",
+    )
+    scored = token_rewards(outputs, labels)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    placed = place_sentences(outputs, labels.select("answer_id", "sentence").distinct(), special=True).collect()
+    assert [tuple(r.place) for r in placed] == [(0, 0, 8)]
+    assert sum(scored.first().scores) > 9
 
 
 def place(spark, rows):
