@@ -349,9 +349,10 @@ def rollouts(spark: SparkSession, sf: str) -> DataFrame:
 
 @stored
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per sequence: prompt, output tokens and rewards as arrays."""
+    """One row per sequence: prompt, output tokens, rewards and the models' numbers
+    as arrays."""
     rows = rollouts(spark, sf).groupBy("seq_id", "prompt_len").agg(
-        F.array_sort(F.collect_list(F.struct("tok_no", "token", "reward"))).alias("_r")
+        F.array_sort(F.collect_list(F.struct("tok_no", "token", "reward", "logp", "ref_logp", "value"))).alias("_r")
     )
     return rows.select(
         "seq_id",
@@ -360,6 +361,9 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("prompt_ids"),
         F.col("_r.token").alias("output_ids"),
         F.col("_r.reward").alias("rewards"),
+        F.col("_r.logp").alias("logp"),
+        F.col("_r.ref_logp").alias("ref_logp"),
+        F.col("_r.value").alias("value"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factfeed.config import ExperienceConfig
 from factfeed.operators import experience as ex
-from factfeed.plans.experience import sequence_info, token_experience
+from factfeed.plans.experience import packed_job, padded_job, sequence_info, token_experience
 
 from . import fixtures as fx
 from .ctes import CTES, cte, query
@@ -232,3 +232,114 @@ def experience_sequences(spark, sf):
     for c in ("reward", "return", "kl"):
         rows = rows.withColumn(c, F.round(c, 6))
     return rows
+
+
+# ---- whole jobs over micro-batches -----------------------------------------
+_ENDS = f"output_ids[olen] <> {EOS}"
+_LAID = dict(
+    ended=(
+        ("padded",),
+        f"""SELECT seq_id, batch_id, pos, len(prompt_ids) AS own, p,
+  CASE WHEN {_ENDS} THEN list_transform(o, lambda x, i: CASE WHEN i - 1 = {_SLOT} THEN {EOS} ELSE x END) ELSE o END AS o,
+  CASE WHEN {_ENDS} THEN list_transform(r, lambda x, i: CASE WHEN i - 1 = {_SLOT} THEN x - 1 ELSE x END) ELSE r END AS r FROM padded""",
+    ),
+    # attention by position: behind the first and before the last real token, and one more
+    attended=(
+        ("ended",),
+        f"""SELECT seq_id, list(CASE WHEN i BETWEEN a AND b + 1 THEN 1 ELSE 0 END ORDER BY i) AS attention
+FROM (SELECT *, min(i) FILTER (tok NOT IN ({PAD}, {EOS})) OVER w AS a, max(i) FILTER (tok NOT IN ({PAD}, {EOS})) OVER w AS b
+  FROM (SELECT seq_id, unnest(list_concat(p, o)) AS tok, unnest(range(1, len(p) + len(o) + 1)) AS i FROM ended)
+  WINDOW w AS (PARTITION BY seq_id)) GROUP BY seq_id""",
+    ),
+    laid=(
+        ("ended", "rollouts"),
+        f"""SELECT e.seq_id, e.tok_no, coalesce(x.logp, 0) AS logp, coalesce(x.ref_logp, 0) AS ref_logp, coalesce(x.value, 0) AS value, e.reward, e.mask
+FROM (SELECT seq_id, i - 1 AS tok_no, r[i] AS reward,
+        CASE WHEN i = 1 OR o[i - 1] NOT IN ({PAD}, {EOS}) THEN 1 ELSE 0 END AS mask
+      FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM ended)) e
+LEFT JOIN rollouts x ON x.seq_id = e.seq_id AND x.tok_no = e.tok_no""",
+    ),
+    shaped=(("laid",), CTES["shaped"][1].replace("FROM rollouts", "FROM laid")),
+)
+_ALL = dict(shaped=(("rollouts",), CTES["shaped"][1].replace("FROM rollouts", "FROM (SELECT * REPLACE (1 AS mask) FROM rollouts)")))
+_TOKENS = _NORM.format(more=', round(ret, 6) AS "return", round(kl, 6) AS kl, round(shaped, 6) AS shaped')
+_TOKEN_COLUMNS = ("advantage", "return", "kl", "shaped")
+
+
+@check(
+    "padded_masks",
+    query(
+        """SELECT e.seq_id, array_to_string(t.attention, '') AS attention_mask, m.action_mask,
+  list_sum(t.attention)::INTEGER AS total_length, m.response_length
+FROM ended e JOIN attended t ON t.seq_id = e.seq_id
+JOIN (SELECT seq_id, string_agg(mask::VARCHAR, '' ORDER BY tok_no) AS action_mask, sum(mask)::INTEGER AS response_length
+      FROM laid GROUP BY seq_id) m ON m.seq_id = e.seq_id""",
+        "ended",
+        "attended",
+        "laid",
+        **_LAID,
+    ),
+)
+def padded_masks(spark, sf):
+    rows = ex.padded_samples(_batched(spark, sf), PAD, EOS)
+    joined = lambda name: F.array_join(F.transform(name, lambda x: x.cast("string")), "").alias(name)
+    return rows.select("seq_id", joined("attention_mask"), joined("action_mask"), "total_length", "response_length")
+
+
+@check("experience_padded", query(_TOKENS, "gae", **_LAID))
+def experience_padded(spark, sf):
+    """From sequences to normalized advantages, through the padded layout."""
+    rows, _ = padded_job(fx.sequences(spark, sf), PAD, EOS, CONFIG)
+    return rows.select("seq_id", "tok_no", *[F.round(c, 6).alias(c) for c in _TOKEN_COLUMNS])
+
+
+def _rounded(rows):
+    for c in ("reward", "return", "kl"):
+        rows = rows.withColumn(c, F.round(c, 6))
+    return rows
+
+
+@check(
+    "experience_padded_sequences",
+    query(
+        """SELECT s.seq_id, round(sum(reward), 6) AS reward, round(sum(shaped), 6) AS "return", sum(mask)::BIGINT AS response_length,
+  any_value(list_sum(t.attention))::BIGINT AS total_length, count(*) AS num_actions, round(sum(kl * mask) / sum(mask), 6) AS kl
+FROM shaped s JOIN attended t ON t.seq_id = s.seq_id GROUP BY s.seq_id""",
+        "shaped",
+        "attended",
+        **_LAID,
+    ),
+)
+def experience_padded_sequences(spark, sf):
+    return _rounded(padded_job(fx.sequences(spark, sf), PAD, EOS, CONFIG)[1])
+
+
+@check(
+    "experience_packed",
+    query(
+        f"""SELECT b.batch_id, n.* FROM ({_TOKENS}) n JOIN batched b ON b.seq_id = n.seq_id""",
+        "gae",
+        "batched",
+        **_ALL,
+    ),
+)
+def experience_packed(spark, sf):
+    """From sequences to normalized advantages, through packed batches."""
+    rows = ex.packed_tokens(packed_job(fx.sequences(spark, sf), CONFIG))
+    return rows.select("batch_id", "seq_id", "tok_no", *[F.round(c, 6).alias(c) for c in _TOKEN_COLUMNS])
+
+
+@check(
+    "experience_packed_sequences",
+    query(
+        """SELECT b.batch_id, s.seq_id, round(sum(reward), 6) AS reward, round(sum(shaped), 6) AS "return", round(avg(kl), 6) AS kl,
+  count(*)::INTEGER AS response_length, (max(prompt_len) + count(*))::INTEGER AS total_length
+FROM shaped s JOIN batched b ON b.seq_id = s.seq_id GROUP BY ALL""",
+        "shaped",
+        "batched",
+        **_ALL,
+    ),
+)
+def experience_packed_sequences(spark, sf):
+    rows = packed_job(fx.sequences(spark, sf), CONFIG).select("batch_id", F.inline("info")).drop("n_actions")
+    return _rounded(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ExperienceConfig
+from ..functions.rows import bind
 from .ordering import first_n, number_by_hash, number_by_key, reverse_scan
 
 
@@ -78,10 +79,34 @@ def padded_samples(batched: DataFrame, pad: int, eos: int) -> DataFrame:
         .withColumn("output_ids", _pad_right(F.col("output_ids"), F.col("_out"), F.lit(pad)))
         .withColumn("rewards", _pad_right(F.col("rewards"), F.col("_out"), F.lit(0.0)))
     )
+    df = end_with_eos(df, eos).withColumn("sequence", F.concat("prompt_ids", "output_ids"))
+    return with_masks(df, pad, eos).drop("_in", "_out", "prompt_ids")
+
+
+def with_masks(df: DataFrame, pad: int, eos: int) -> DataFrame:
+    """Add attention_mask, action_mask and their sums, total_ and response_length.
+
+    Attention goes from the first token that is neither padding nor an end token to
+    the end token behind the last one. An action counts if the token before it is
+    neither; the first action of an output always counts. A sequence of nothing but
+    padding has no attention.
+    """
+
+    def real(x: Column) -> Column:
+        return (x != pad) & (x != eos)
+
+    places = F.filter(F.transform("sequence", lambda x, i: F.when(real(x), i)), lambda i: i.isNotNull())
+    df = bind(df, "_span", F.struct(F.array_min(places).alias("first"), F.array_max(places).alias("last")))
+    inside = lambda x, i: F.coalesce(F.col("_span.first") <= i, F.lit(False)) & (i <= F.col("_span.last") + 1)
+    acts = lambda x, i: (i == 0) | real(F.get("output_ids", i - 1))
+    one_if = lambda test: lambda x, i: F.when(test(x, i), 1).otherwise(0)
+    total = lambda name: F.aggregate(name, F.lit(0), lambda acc, m: acc + m)
     return (
-        end_with_eos(df, eos)
-        .withColumn("sequence", F.concat("prompt_ids", "output_ids"))
-        .drop("_in", "_out", "prompt_ids")
+        df.withColumn("attention_mask", F.transform("sequence", one_if(inside)))
+        .withColumn("action_mask", F.transform("output_ids", one_if(acts)))
+        .withColumn("total_length", total("attention_mask"))
+        .withColumn("response_length", total("action_mask"))
+        .drop("_span")
     )
 
 
@@ -172,9 +197,10 @@ def sequence_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def normalize_advantages(df: DataFrame, eps: float = 1e-8) -> DataFrame:
-    """(a - mean) / std over the valid tokens of the whole table."""
-    valid = F.when(F.col("mask") > 0, F.col("advantage"))
+def normalize_advantages(df: DataFrame, eps: float = 1e-8, masked: bool = True) -> DataFrame:
+    """(a - mean) / std over the valid tokens of the whole table: those of the mask,
+    or all of them."""
+    valid = F.when(F.col("mask") > 0, F.col("advantage")) if masked else F.col("advantage")
     stats = df.agg(F.struct(F.avg(valid).alias("mean"), F.var_pop(valid).alias("var")).alias("s"))
     return (
         df.withColumn("_s", stats.scalar())
@@ -191,3 +217,112 @@ def with_kl_and_reward(rollouts: DataFrame, config: ExperienceConfig) -> DataFra
     return rollouts.withColumn("kl", kl).withColumn(
         "shaped", shaped_reward(F.col("reward"), F.col("kl"), config.kl_coef, config.clip)
     )
+
+
+def padded_tokens(padded: DataFrame) -> DataFrame:
+    """Token rows of padded sequences, with their rewards (the end-token penalty is
+    in them), action mask, and the model's numbers where it gave some, else 0.
+
+    padded is what padded_samples gives, with logp, ref_logp and value arrays.
+    """
+    kept = ["seq_id", "batch_id", "pos", "total_length", "response_length", "logp", "ref_logp", "value"]
+    rows = padded.select(*kept, F.posexplode(F.arrays_zip("output_ids", "rewards", "action_mask")).alias("tok_no", "_t"))
+    number = lambda name: F.coalesce(F.get(name, F.col("tok_no")), F.lit(0.0)).alias(name)
+    return rows.select(
+        *kept[:5],
+        "tok_no",
+        F.col("_t.output_ids").alias("token"),
+        F.col("_t.rewards").alias("reward"),
+        F.col("_t.action_mask").alias("mask"),
+        *[number(n) for n in ("logp", "ref_logp", "value")],
+    )
+
+
+def _scan_back(x: Column, v: Column, decay: float, weight: float) -> Column:
+    """y[t] = x[t] + weight * v[t+1] - v[t] + decay * y[t+1] over two arrays of one
+    sequence, from its end."""
+
+    def step(acc: Column, z: Column) -> Column:
+        y = z["x"] + F.lit(float(weight)) * acc["v"] - z["v"] + F.lit(float(decay)) * acc["y"]
+        return F.struct(y.alias("y"), z["v"].alias("v"), F.array_append(acc["ys"], y).alias("ys"))
+
+    zero = F.struct(F.lit(0.0).alias("y"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("ys"))
+    pairs = F.reverse(F.zip_with(x, v, lambda a, b: F.struct(a.alias("x"), b.alias("v"))))
+    return F.reverse(F.aggregate(pairs, zero, step)["ys"])
+
+
+def packed_experience(batched: DataFrame, config: ExperienceConfig) -> DataFrame:
+    """One row per micro-batch, its sequences end to end: kl, shaped rewards,
+    advantages and returns of all actions in one array each, and one struct of
+    totals per sequence in info.
+
+    The scan starts anew at every sequence of the row. Nothing is masked, there is
+    no end-token penalty, and no shuffle follows the one that fills the batches.
+    batched has (batch_id, pos, seq_id, prompt_ids, output_ids, rewards, logp,
+    ref_logp, value); a batch holds batch_size rows.
+    """
+    names = ["pos", "seq_id", "prompt_ids", "output_ids", "rewards", "logp", "ref_logp", "value"]
+    rows = batched.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("_b"))
+
+    def with_kl(r: Column) -> Column:
+        kl = F.zip_with(r["logp"], r["ref_logp"], lambda a, b: approx_kl(a, b, None, config.k3))
+        return F.struct(*[r[n].alias(n) for n in names], kl.alias("kl"))
+
+    def with_reward(r: Column) -> Column:
+        shaped = F.zip_with(r["rewards"], r["kl"], lambda x, k: shaped_reward(x, k, config.kl_coef, config.clip))
+        return F.struct(*[r[n].alias(n) for n in (*names, "kl")], shaped.alias("shaped"))
+
+    def with_advantage(r: Column) -> Column:
+        if config.estimator == "gae":
+            advantage = _scan_back(r["shaped"], r["value"], config.gamma * config.lambd, config.gamma)
+        else:
+            nothing = F.transform(r["shaped"], lambda x: F.lit(0.0))
+            advantage = _scan_back(r["shaped"], nothing, config.gamma, 0.0)
+        return F.struct(*[r[n].alias(n) for n in (*names, "kl", "shaped")], advantage.alias("advantage"))
+
+    for step in (with_kl, with_reward, with_advantage):
+        rows = bind(rows, "_b", F.transform("_b", step))
+
+    def returns(r: Column) -> Column:
+        if config.estimator == "gae":
+            return F.zip_with(r["advantage"], r["value"], lambda a, v: a + v)
+        return r["advantage"]
+
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+
+    def info(r: Column) -> Column:
+        n = F.size(r["output_ids"])
+        return F.struct(
+            r["seq_id"].alias("seq_id"),
+            F.when(n > 0, total(r["kl"]) / n).alias("kl"),
+            total(r["rewards"]).alias("reward"),
+            total(r["shaped"]).alias("return"),
+            F.greatest(n, F.lit(1)).alias("response_length"),
+            (F.size(r["prompt_ids"]) + n).alias("total_length"),
+            n.alias("n_actions"),
+        )
+
+    every = lambda name: F.flatten(F.transform("_b", lambda r: r[name])).alias(name)
+    return rows.select(
+        "batch_id",
+        *[every(n) for n in ("kl", "shaped", "advantage")],
+        F.flatten(F.transform("_b", returns)).alias("return"),
+        F.transform("_b", info).alias("info"),
+    )
+
+
+def normalize_packed(packed: DataFrame, eps: float = 1e-8) -> DataFrame:
+    """(a - mean) / std over all actions of all rows, inside the arrays."""
+    each = packed.select(F.explode("advantage").alias("a"))
+    stats = each.agg(F.struct(F.avg("a").alias("mean"), F.var_pop("a").alias("var")).alias("s"))
+    scaled = F.transform("advantage", lambda a: (a - F.col("_s.mean")) / F.sqrt(F.col("_s.var") + F.lit(eps)))
+    return packed.withColumn("_s", stats.scalar()).withColumn("advantage", scaled).drop("_s")
+
+
+def packed_tokens(packed: DataFrame) -> DataFrame:
+    """Long form: one row per action, with its sequence and place in it."""
+    owner = F.flatten(F.transform("info", lambda i: F.transform(F.sequence(F.lit(0), F.greatest(i["n_actions"], F.lit(1)) - 1), lambda t: F.struct(i["seq_id"].alias("seq_id"), t.alias("tok_no"), (i["n_actions"] > 0).alias("is_action")))))
+    owner = F.filter(owner, lambda o: o["is_action"])
+    fields = ["kl", "shaped", "advantage", "return"]
+    rows = packed.select("batch_id", F.explode(F.arrays_zip(owner.alias("owner"), *fields)).alias("_t"))
+    return rows.select("batch_id", "_t.owner.seq_id", "_t.owner.tok_no", *[f"_t.{f}" for f in fields])

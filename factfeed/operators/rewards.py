@@ -45,14 +45,13 @@ def _spine(outputs: DataFrame, special: bool) -> DataFrame:
 
 
 def place_sentences(outputs: DataFrame, sentences: DataFrame, special: bool) -> DataFrame:
-    """(answer_id, sentence, place) of distinct (answer_id, sentence) rows: the only
-    step that sees the answer text, once for each sentence however many statements
-    it has."""
+    """Add place to distinct (answer_id, sentence) rows: the only step that sees the
+    answer text, once for each sentence however many statements it has."""
     tokens = F.col("tokens")
     if not special:
         tokens = F.filter(tokens, lambda t, i: ~F.get("special", i))
-    texts = outputs.select("answer_id", F.array_join(tokens, "").alias("answer"))
-    return locate_sentences(sentences.join(texts, "answer_id")).select("answer_id", "sentence", "place")
+    texts = outputs.select("answer_id", F.array_join(tokens, "").alias("_answer"))
+    return locate_sentences(sentences.join(texts, "answer_id"), answer="_answer").drop("_answer")
 
 
 def _fill_spine(outputs: DataFrame, points: DataFrame, special: bool, default: float = 0.0) -> DataFrame:
@@ -81,18 +80,24 @@ def _fill_spine(outputs: DataFrame, points: DataFrame, special: bool, default: f
 
 def token_points(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
     """(answer_id, char, score): info at the last placed character of each sentence,
-    truth at the last aligned character of each statement."""
-    graded = labels.groupBy("answer_id", "sentence").agg(
-        info_score(config, F.sum(info_value(config, F.col("assess")))).alias("info")
-    )
-    placed = place_sentences(outputs, graded.select("answer_id", "sentence"), special=True)
-    info = graded.join(placed, ["answer_id", "sentence"]).select(
-        "answer_id", last_char(F.col("place")).alias("char"), F.col("info").alias("score")
+    truth at the last aligned character of each statement.
+
+    The statements of a sentence, which are those of one model text, wait in an array
+    until the sentence is placed, so that the labels are read once.
+    """
+    truth = truth_score(config, F.col("verify"), F.col("assess"))
+    grouped = labels.groupBy("answer_id", "sentence").agg(
+        F.collect_list(F.struct("statement", truth.alias("truth"))).alias("_claims"),
+        info_score(config, F.sum(info_value(config, F.col("assess")))).alias("_info"),
     )
-    truth = anchor_statements(labels.join(placed, ["answer_id", "sentence"])).where("anchor IS NOT NULL").select(
-        "answer_id", F.col("anchor").alias("char"), truth_score(config, F.col("verify"), F.col("assess")).alias("score")
+    placed = place_sentences(outputs, grouped, special=True)
+    rows = placed.select("answer_id", "sentence", "place", "_info", F.posexplode("_claims").alias("_no", "_claim"))
+    rows = anchor_statements(rows.select("*", "_claim.statement", "_claim.truth").drop("_claim"))
+    points = F.array(
+        F.struct(F.col("anchor").alias("char"), F.col("truth").alias("score")),
+        F.struct(F.when(F.col("_no") == 0, last_char(F.col("place"))).alias("char"), F.col("_info").alias("score")),
     )
-    return info.unionByName(truth)
+    return rows.select("answer_id", F.inline(points)).where("char IS NOT NULL")
 
 
 def token_rewards(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
@@ -111,11 +116,8 @@ def sentence_totals(labels: DataFrame, config: RewardConfig = RewardConfig()) ->
 
 def sentence_points(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
     """(answer_id, char, score): a sentence's score at its last placed character."""
-    totals = sentence_totals(labels, config)
-    placed = place_sentences(outputs, totals.select("answer_id", "sentence"), special=False)
-    return totals.join(placed, ["answer_id", "sentence"]).select(
-        "answer_id", last_char(F.col("place")).alias("char"), "score"
-    )
+    placed = place_sentences(outputs, sentence_totals(labels, config), special=False)
+    return placed.select("answer_id", last_char(F.col("place")).alias("char"), "score")
 
 
 def sentence_rewards(outputs: DataFrame, labels: DataFrame, config: RewardConfig = RewardConfig()) -> DataFrame:
