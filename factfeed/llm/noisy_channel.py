@@ -51,15 +51,27 @@ LOOKALIKES = {
 PUT_IN = "*|+#!"  # signs that may also have been put between letters
 COST = 1.0  # of reading a sign as a letter, in nats
 SIGNS = re.escape("".join(LOOKALIKES))
-SUSPICIOUS = re.compile(
-    rf"[^\W\d_]+[{SIGNS}]+[^\W\d_]+(?:[{SIGNS}]*[^\W\d_]+)*"  # letters around signs
-    rf"|(?<![\w{SIGNS}])[{SIGNS}]{{1,3}}[^\W\d_]+(?:[{SIGNS}]*[^\W\d_]+)*"  # signs before letters
-    r"|\w*([^\W\d_])\1\1\w*"  # repetition
-    r"|(?<!\w)(?:[^\W\d_][ .\-_*~]{1,2}){3,}[^\W\d_](?!\w)"  # letters set apart
-)
+LETTER = r"[^\W\d_]"
+# a run of letters is tried from its first letter only, and given up as a whole
+AROUND = rf"(?<!{LETTER}){LETTER}++[{SIGNS}]+{LETTER}+(?:[{SIGNS}]*{LETTER}+)*"  # letters around signs
+BEFORE = rf"(?<![\w{SIGNS}])[{SIGNS}]{{1,3}}{LETTER}+(?:[{SIGNS}]*{LETTER}+)*"  # signs before letters
+REPEATED = rf"\w*({LETTER})\1\1\w*"
+APART = rf"(?<!\w)(?:{LETTER}[ .\-_*~]{{1,2}}){{3,}}{LETTER}(?!\w)"  # letters set apart
+# what a text must hold for a pattern to match; few texts hold any of it
+SIGNED = re.compile(rf"[{SIGNS}]{LETTER}")
+THRICE = re.compile(rf"({LETTER})\1\1")
+SINGLE = re.compile(rf"[ .\-_*~]{LETTER}[ .\-_*~]{{1,2}}{LETTER}[ .\-_*~]")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def suspicious(value: str) -> re.Pattern | None:
+    """The pattern of all stretches this text may hold; None if there are none."""
+    parts = [AROUND, BEFORE] if SIGNED.search(value) else []
+    parts += [REPEATED] if THRICE.search(value) else []
+    parts += [APART] if SINGLE.search(value) else []
+    return re.compile("|".join(parts)) if parts else None  # compiled once: re keeps it
+
+
 class Model(NamedTuple):
     letters: str
     trigrams: np.ndarray  # log-probabilities, ALPHABET ** 3
@@ -76,10 +88,11 @@ class Reader:
         self.known: dict[str, str] = {}
 
     def text(self, value: str) -> str:
-        value = value.lower()
+        """Restoration of a lower-cased text."""
         if self.trigrams is None:
             return value
-        return SUSPICIOUS.sub(lambda m: self.stretch(m[0]), value)
+        found = suspicious(value)
+        return found.sub(lambda m: self.stretch(m[0]), value) if found else value
 
     def stretch(self, raw: str) -> str:
         found = self.known.get(raw)
@@ -111,7 +124,7 @@ class Reader:
 
     def _viterbi(self, raw: str) -> str:
         other, code, logp = self.other, self.code, self.trigrams
-        # state: the last two letters; value: (cost, text)
+        # state: the last two letters, at most ALPHABET ** 2; value: (cost, text)
         states = {(0, 0): (0.0, "")}
         for ways in [*self._lattice(raw), [("\0", 0.0)]]:
             new: dict = {}
@@ -125,8 +138,6 @@ class Reader:
                     had = new.get((x, y))
                     if had is None or total < had[0]:
                         new[(x, y)] = (total, text + emitted)
-            if len(new) > 64:
-                new = dict(sorted(new.items(), key=lambda s: s[1][0])[:64])
             states = new
         return min(states.values())[1].rstrip("\0")
 
@@ -190,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
         def step(batch):
             for value, label in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                mine = {f for w in set(WORD.findall(reader.text(value))) for f in features(w)}
+                mine = {f for w in set(WORD.findall(reader.text(value.lower()))) for f in features(w)}
                 both.update(mine)
                 if label:
                     toxic.update(mine)
@@ -230,10 +241,11 @@ def _trigram_model(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, restored (the text after deobfuscation, null where it is the lower-cased
     text itself), score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a plain tuple: workers need not have the class
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def make():
-        m = shared.value
+        m = Model(*shared.value)
         reader = Reader(m.letters, m.trigrams)
         known: dict[str, float] = {}
 
@@ -243,8 +255,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def step(batch):
             restored, scores = [], []
             for value in texts(batch.column(1)):
+                value = value.lower()
                 clean = reader.text(value)
-                restored.append(clean if clean != value.lower() else None)
+                restored.append(clean if clean != value else None)
                 if len(known) > 400_000:
                     known.clear()
                 rest = 1.0 - FLOOR
