@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -16,14 +17,14 @@ def fold(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % n
 
 
-def map_batches(df: DataFrame, make, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make, schema: str | StructType) -> DataFrame:
     """mapInArrow with a function that is set up once per task.
 
     `make()` runs in the task and returns batch -> columns (in the order of
     `schema`) or None; it may also return a pair (step, finish) where finish()
     gives the last columns once the input has ended.
     """
-    names = [f.split(":")[0].split()[0] for f in schema.split(", ")]
+    names = schema.names if isinstance(schema, StructType) else [f.split(":")[0].split()[0] for f in schema.split(", ")]
 
     def run(batches):
         made = make()

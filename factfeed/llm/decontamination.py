@@ -94,6 +94,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     return rows
 
 
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows of `docs`, all columns as they are, in which no pattern occurs.
+
+    Each row is judged by its own text, so ids may be null or repeated."""
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    at = names.index("text")
+    for items in _blocks(benchmark):
+        rows = map_batches(rows, _filter(items, window, at), rows.schema)
+    return rows.toDF(*names)
+
+
+def _filter(items: list[tuple[int, str]], window: int, at: int):
+    def make():
+        machine, table = automaton(items, window), _table()
+
+        def clean(text) -> bool:
+            line = f" {b' '.join(normal_words(text, table)).decode('latin-1')} "
+            return next(machine.iter(line), None) is None
+
+        def step(batch):
+            if machine is None:
+                return batch.columns
+            mask = pa.array([clean(t.as_py()) for t in batch.column(at)])
+            return [c.filter(mask) for c in batch.columns]
+
+        return step
+
+    return make
+
+
 def _scanner(items: list[tuple[int, str]], window: int, last: bool):
     def make():
         machine = automaton(items, window)

@@ -66,6 +66,10 @@ class Model(NamedTuple):
     n: np.ndarray
 
 
+def _model(shared: tuple) -> Model:
+    return Model(Counts(*shared[0]), *shared[1:])
+
+
 def _buckets(df: DataFrame) -> int:
     return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -210,7 +214,8 @@ def _statistics(train: DataFrame, c: Counts) -> DataFrame:
     kind 0: x, q: quanta of the deleted f2 and c(w) / N, n occurrences in bucket b
     kind 2: bigram x of two frequent words has the count n
     """
-    shared = train.sparkSession.sparkContext.broadcast(c)
+    # plain tuples: workers need not have the classes
+    shared = train.sparkSession.sparkContext.broadcast(tuple(c))
     buckets = _buckets(train)
     types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
 
@@ -225,7 +230,7 @@ def _statistics(train: DataFrame, c: Counts) -> DataFrame:
         return _summed(0, _context_bucket(n_v), _quantum(f2), _quantum((n_w - 1) / max(c.total - 1, 1)), n_vw)
 
     def make():
-        c = shared.value
+        c = Counts(*shared.value)
         side = len(c.hashes) + 2
         kept: list[tuple] = []
         size = {"n": 0}
@@ -258,7 +263,7 @@ def _statistics(train: DataFrame, c: Counts) -> DataFrame:
         return step, lambda: [flush()] if kept else []
 
     def by_context(table: pa.Table) -> pa.Table:
-        c = shared.value
+        c = Counts(*shared.value)
         side = len(c.hashes) + 2
         rows, done = list(zip(*[x.to_pylist() for x in _of_kind(table, WORD).columns], strict=True)), []
         cold = _of_kind(table, COLD)
@@ -285,7 +290,7 @@ def _statistics(train: DataFrame, c: Counts) -> DataFrame:
         return pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=table.column_names)
 
     def by_word(table: pa.Table) -> pa.Table:
-        c = shared.value
+        c = Counts(*shared.value)
         done = _of_kind(table, DONE)
         out = [[_joined(done, f"c{i}", np.int64) for i in range(5)]]
         asked = _of_kind(table, WORD)
@@ -366,7 +371,7 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
 
     `training` must be true of the rows that the model was trained on.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((tuple(model.counts), *model[1:]))
     buckets = _buckets(docs)
     types = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5)
 
@@ -394,7 +399,7 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
         return columns, list(zip(rows.column("block").to_pylist(), rows.column("trained").to_pylist(), parts, strict=True)), columns[-1] < trained
 
     def make():
-        m = shared.value
+        m = _model(shared.value)
         c = m.counts
         side = len(c.hashes) + 2
         context = _context_bucket(c.counts)
@@ -461,7 +466,7 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
 
     def by_context(table: pa.Table) -> pa.Table:
         """Sums of what this bucket counts, and what goes on to the task of its word."""
-        m = shared.value
+        m = _model(shared.value)
         c = m.counts
         side = len(c.hashes) + 2
         on = table.filter(pa.compute.is_in(table.column("kind"), pa.array([0, WORD], pa.int32())))
@@ -485,7 +490,7 @@ def score(docs: DataFrame, training: Column, model: Model) -> DataFrame:
         return as_table(rows)
 
     def by_word(table: pa.Table) -> pa.Table:
-        m = shared.value
+        m = _model(shared.value)
         on = table.filter(pa.compute.is_in(table.column("kind"), pa.array([0, SUMS], pa.int32())))
         rows = list(zip(*[x.to_pylist() for x in on.columns], strict=True))
         asked = _of_kind(table, WORD)

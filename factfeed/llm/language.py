@@ -118,10 +118,11 @@ def train(docs: DataFrame, label: Column, bits: int = 14, longest: int = 4, smoo
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score: the posterior of that language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # a plain tuple: workers need not have the class
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 
     def make():
-        m, letters = shared.value, _letters()
+        m, letters = Model(*shared.value), _letters()
 
         def score(values: list[str]):
             chars, at = _characters(values, letters)

@@ -19,7 +19,6 @@ table gives no rows. Other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +42,6 @@ class Piece(NamedTuple):
     length: int
 
 
-@lru_cache(maxsize=4)
 def combinations(bins: int, depth: int) -> np.ndarray:
     """Rows: ways to write `bins` as a sum of at most `depth` bins, as counts per bin."""
     rows: list[list[int]] = []
