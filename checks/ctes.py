@@ -96,12 +96,10 @@ cte("qa", (), """SELECT u.conv_id * 1000 + u.turn AS qid, u.conv_id, u.turn,
 FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
 WHERE u.role = 'user' AND a.role = 'assistant'""")
 cte("answers", ("qa",), f"SELECT qid AS answer_id, qid, question, {strip('answer')} AS answer FROM qa")
-cte("evidence", ("qa",), f"""SELECT u.qid, (d.slot // s.nq)::INTEGER AS mat_no,
-  CASE WHEN (d.slot // s.nq) % 2 = 1 THEN d.title ELSE '' END AS title, d.material
-FROM (SELECT doc_id % n AS conv_id, doc_id // n AS slot, {DOC_TITLE} AS title, text AS material
-      FROM documents, (SELECT max(conv_id) + 1 AS n FROM conversations)) d
-JOIN (SELECT conv_id, count(*) AS nq FROM qa GROUP BY conv_id) s ON s.conv_id = d.conv_id
-JOIN qa u ON u.conv_id = d.conv_id AND u.turn // 2 = d.slot % s.nq""")
+cte("evidence", ("qa",), f"""SELECT u.qid, (doc_id // n)::INTEGER AS mat_no,
+  CASE WHEN (doc_id // n) % 2 = 1 THEN {DOC_TITLE} ELSE '' END AS title, text AS material
+FROM documents, (SELECT count(*) AS n FROM qa) c
+JOIN (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS no FROM qa) u ON u.no = doc_id % n""")
 cte("records", ("qa", "evidence"), """SELECT qa.qid, question, titles, materials,
   CASE WHEN qa.qid % 5 <> 0 THEN extra_materials END AS extra_materials
 FROM qa JOIN (SELECT qid,

@@ -100,27 +100,17 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @stored
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document belongs to one question of its conversation."""
-    conv = table(spark, sf, "conversations")
-    n_conv = conv.agg((F.max("conv_id") + 1).alias("n")).scalar()
-    users = qa(spark, sf).select("conv_id", "turn", "qid")
-    sizes = users.groupBy("conv_id").agg(F.count(F.lit(1)).alias("nq"))
-    docs = table(spark, sf, "documents").withColumn("n", n_conv)
-    docs = docs.select(
-        (F.col("doc_id") % F.col("n")).alias("conv_id"),
-        F.expr("doc_id DIV n").alias("slot"),
-        doc_title(F.col("doc_id")).alias("_title"),
-        F.col("text").alias("material"),
-    )
-    rows = docs.join(sizes, "conv_id").withColumn("place", F.col("slot") % F.col("nq"))
-    users = users.withColumn("place", F.expr("turn DIV 2")).select("conv_id", "place", "qid")
-    mat_no = F.expr("slot DIV nq")
-    return rows.join(users, ["conv_id", "place"]).select(
-        "qid",
+    """Every document belongs to exactly one question, dealt in the order of both."""
+    users = number_rows(qa(spark, sf).select("qid"), "no", ["qid"], F.expr("qid DIV 64000"))
+    docs = table(spark, sf, "documents").withColumn("n", users.agg(F.count(F.lit(1))).scalar())
+    mat_no = F.expr("doc_id DIV n")
+    rows = docs.select(
+        (F.col("doc_id") % F.col("n")).alias("no"),
         mat_no.cast("int").alias("mat_no"),
-        F.when(mat_no % 2 == 1, F.col("_title")).otherwise("").alias("title"),
-        "material",
+        F.when(mat_no % 2 == 1, doc_title(F.col("doc_id"))).otherwise("").alias("title"),
+        F.col("text").alias("material"),
     )
+    return rows.join(users, "no").select("qid", "mat_no", "title", "material")
 
 
 @stored
