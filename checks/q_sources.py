@@ -9,7 +9,7 @@ from factfeed.operators.annotation import nest_labels
 from factfeed.session import fresh_path
 from factfeed.sources.adapters import load_questions
 from factfeed.sources.docstore import lookup_titles
-from factfeed.sources.jsonl import count_records, read_jsonl, write_jsonl
+from factfeed.sources.jsonl import count_records, read_jsonl, write_counted, write_jsonl
 
 from . import fixtures as fx
 from .ctes import DOC_TITLE, NL, escape, query
@@ -54,6 +54,17 @@ def record_count(spark, sf):
     return count_records(spark, write_jsonl(fx.answers(spark, sf), fresh_path(spark, "count")))
 
 
+@check(
+    "record_count_on_write",
+    query("SELECT conv_id, count(*) AS n, (SELECT count(*) FROM answers) AS written FROM (SELECT answer_id // 1000 AS conv_id FROM answers) GROUP BY ALL", "answers"),
+)
+def record_count_on_write(spark, sf):
+    """Rows per conversation of the written table beside the count of the writing job."""
+    path, n = write_counted(fx.answers(spark, sf).select("answer_id", "question", "answer"), fresh_path(spark, "counted"))
+    back = read_jsonl(spark, path, ANSWERS).groupBy(F.expr("answer_id DIV 1000").alias("conv_id"))
+    return back.agg(F.count(F.lit(1)).alias("n")).withColumn("written", F.lit(n).cast("long"))
+
+
 @check(
     "document_lookup",
     query(

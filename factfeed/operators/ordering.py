@@ -14,11 +14,20 @@ from ..functions.rows import bind
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
     """First n rows by a unique order column.
 
-    Only the order column goes through the top-n; the wide rows are kept by a
-    comparison with the n-th value.
+    The n-th value is found from counts per bucket of the key and one look into the
+    bucket it lies in, so no task sorts n rows; the wide rows are then kept by a
+    comparison with it. Rows with a null key are in no bucket and never kept.
     """
-    cut = df.select(order).orderBy(order).limit(n).agg(F.max(order).alias("cut"))
-    return df.filter(F.col(order) <= cut.scalar())
+    keys = df.select(F.col(order).alias("_key")).filter("_key IS NOT NULL")
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = quantile_buckets(keys, "_bucket", "_key", buckets).withColumn("_all", F.lit(0))
+    counts = tagged.groupBy("_all", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    edge = _offsets(counts, ["_all"], "_bucket").filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key"))
+    inside = tagged.join(F.broadcast(edge.select("_bucket", "_before")), "_bucket").withColumn("_no", place)
+    cut = inside.filter(F.col("_no") + F.col("_before") == n).agg(F.max("_key")).scalar()
+    last = keys.agg(F.max("_key")).scalar()
+    return df.filter(F.col(order) <= F.coalesce(cut, last)) if n > 0 else df.limit(0)
 
 
 def seeded_hash(seed: int, key: Column) -> Column:
@@ -77,32 +86,42 @@ def number_rows(
     )
 
 
-def quantile_bucket(df: DataFrame, key: str, buckets: int) -> Column:
-    """Bucket of a unique numeric key by quantiles, equal-sized for any spread.
+# Sampled keys per bucket, on average. Buckets then differ by a factor of about two.
+SAMPLED = 32
 
-    The cut points (at most `buckets` numbers) are found by one small job, as
-    range partitioning does, and enter the plan as constants. A row is compared
-    with the first cut of each block of them, then with the cuts of its block.
-    """
-    steps = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(key, steps, 1.0 / (4 * buckets)))) if steps else []
-    if not cuts:
-        return F.lit(0)
-    width = math.isqrt(len(cuts) - 1) + 1
-    blocks = [cuts[i : i + width] for i in range(0, len(cuts), width)]
 
-    def reached(points: Column) -> Column:
-        return F.size(F.filter(points, lambda c: c <= F.col(key)))
+def quantile_buckets(df: DataFrame, out: str, key: str, buckets: int) -> DataFrame:
+    """Add the bucket of a unique orderable key by quantiles, about equal-sized for
+    any spread of the keys.
 
-    block = reached(F.lit([b[0] for b in blocks]))
-    own = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.greatest(block, F.lit(1)))
-    return F.greatest(block - 1, F.lit(0)) * width + reached(own)
+    The cut points (`buckets` - 1 keys) are a scalar subquery of the plan: no job
+    runs while the plan is built. They come from keys chosen by their hash, so they
+    are the same whenever and wherever they are computed, as range partitioning with
+    its random sample is not; the sample's size is bounded by `buckets`, not by the
+    data. A row finds its bucket by binary search, one column a step. A null key
+    gets bucket 0.
+    """
+    if buckets < 2:
+        return df.withColumn(out, F.lit(0))
+    scale = 1 << 40
+    keys = df.select(F.col(key).alias("_k")).filter("_k IS NOT NULL")
+    rows = keys.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLED * buckets)) / rows)
+    sample = keys.filter(F.pmod(F.xxhash64("_k"), F.lit(scale)) < share * scale)
+    found = sample.agg(F.array_sort(F.collect_list("_k")).alias("_ks"), F.count(F.lit(1)).alias("_n"))
+    cut = lambda i: F.get("_ks", F.floor(i * F.col("_n") / buckets).cast("int"))
+    cuts = found.select(F.transform(F.sequence(F.lit(1), F.lit(buckets - 1)), cut)).scalar()
+    df = df.withColumn(out, F.lit(0))
+    for power in reversed(range((buckets - 1).bit_length())):
+        reached = F.get(cuts, F.col(out) + ((1 << power) - 1)) <= F.col(key)
+        df = df.withColumn(out, F.when(reached, F.col(out) + (1 << power)).otherwise(F.col(out)))
+    return df
 
 
 def number_by_key(df: DataFrame, out: str, key: str, buckets: int | None = None) -> DataFrame:
-    """Dense 0-based number by a unique numeric key."""
+    """Dense 0-based number by a unique orderable key."""
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return number_rows(df, out, [key], quantile_bucket(df, key, n))
+    return number_rows(quantile_buckets(df, "_range", key, n), out, [key], F.col("_range")).drop("_range")
 
 
 def number_by_hash(df: DataFrame, out: str, key: str, seed: int, digits: int | None = None) -> DataFrame:
@@ -119,6 +138,50 @@ def number_by_hash(df: DataFrame, out: str, key: str, seed: int, digits: int | N
     return number_rows(tagged, out, ["_hash", key], bucket).drop("_hash")
 
 
+def _later(heads: DataFrame, seq: str, width: int) -> DataFrame:
+    """(seq, _chunk, _in): what each chunk receives from all later ones.
+
+    A chunk turns what it receives into _p + _q * received. Blocks of `width` chunks
+    are composed to one such map each, the blocks of a sequence are gone through
+    from its end, and each block is then gone through with what it receives: lists
+    hold at most `width` chunks, or one entry per block.
+    """
+    maps = heads.select(
+        seq, F.floor(F.col("_chunk") / width).alias("_block"), F.struct(F.col("_chunk").alias("c"), "_p", "_q").alias("_m")
+    )
+    from_end = lambda items: F.reverse(F.array_sort(F.collect_list(items)))
+    blocks = maps.groupBy(seq, "_block").agg(from_end("_m").alias("_ms"))
+    one = F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("q"))
+    whole = F.aggregate(
+        "_ms", one, lambda acc, m: F.struct((m["_p"] + m["_q"] * acc["p"]).alias("p"), (m["_q"] * acc["q"]).alias("q"))
+    )
+
+    def unroll(items: str, start: Column, number: str) -> Column:
+        number_type = f"array<struct<{number}:bigint,_in:double>>"
+        zero = F.struct(start.alias("x"), F.array().cast(number_type).alias("out"))
+
+        def step(acc: Column, m: Column) -> Column:
+            row = F.struct(m[number].alias(number), acc["x"].alias("_in"))
+            return F.struct((m["_p"] + m["_q"] * acc["x"]).alias("x"), F.array_append(acc["out"], row).alias("out"))
+
+        return F.aggregate(items, zero, step)["out"]
+
+    composed = bind(blocks, "_w", whole).select(
+        seq, F.struct(F.col("_block").alias("b"), F.col("_w.p").alias("_p"), F.col("_w.q").alias("_q")).alias("_m")
+    )
+    received = (
+        composed.groupBy(seq)
+        .agg(from_end("_m").alias("_bs"))
+        .select(seq, F.inline(unroll("_bs", F.lit(0.0), "b")))
+        .select(F.col(seq), F.col("b").alias("_block"), F.col("_in").alias("_start"))
+    )
+    return (
+        blocks.join(received, [seq, "_block"])
+        .select(seq, F.inline(unroll("_ms", F.col("_start"), "c")))
+        .withColumnRenamed("c", "_chunk")
+    )
+
+
 def reverse_scan(
     df: DataFrame,
     seq: str,
@@ -130,13 +193,14 @@ def reverse_scan(
     weight: float = 0.0,
     chunk: int = 256,
 ) -> DataFrame:
-    """Add y[t] = x[t] + weight * v[t+1] - v[t] + decay * y[t+1] per sequence;
+    """Add y[t] = x[t] - v[t] + (weight * v[t+1] + decay * y[t+1]) per sequence;
     without a value column v is 0.
 
     pos is 0-based and dense. Sequences are cut into chunks of `chunk`
     positions, and the rows are shuffled once, by (sequence, chunk): a long or
     hot sequence is spread over its chunks. What a chunk needs from all later
-    ones is v and y of the next position, found from plain sums per chunk.
+    ones is the bracket at its end, one number, found from plain sums per chunk
+    in two levels (`_later`).
     """
     own = df.columns
     decay_, weight_ = F.lit(float(decay)), F.lit(float(weight))
@@ -145,44 +209,24 @@ def reverse_scan(
     )
     rows = rows.withColumn("_chunk", F.floor(F.col(pos) / chunk))
 
-    # chunk totals as seen from the first position of the chunk
+    # the bracket at the first position of a chunk, as a map of the one at its end
     step = F.col(pos) - F.col("_chunk") * chunk
     first = step == 0
-    heads = rows.groupBy(seq, "_chunk").agg(
+    sums = rows.groupBy(seq, "_chunk").agg(
         F.sum(F.pow(decay_, step) * (F.col("_x") - F.col("_v"))).alias("_hx"),
         F.sum(F.when(~first, F.pow(decay_, step - 1) * F.col("_v")).otherwise(0.0)).alias("_hv"),
         F.sum(F.when(first, F.col("_v")).otherwise(0.0)).alias("_first"),
         F.count(F.lit(1)).alias("_len"),
     )
-    heads = heads.select(
+    heads = sums.select(
         seq,
-        F.struct(
-            F.col("_chunk").alias("c"),
-            (F.col("_hx") + weight_ * F.col("_hv")).alias("h"),
-            F.col("_first").alias("v"),
-            F.col("_len").alias("n"),
-        ).alias("_h"),
+        "_chunk",
+        (weight_ * F.col("_first") + decay_ * (F.col("_hx") + weight_ * F.col("_hv"))).alias("_p"),
+        F.pow(decay_, F.col("_len")).alias("_q"),
     )
+    after = _later(heads, seq, 256)
 
-    def carry(acc: Column, item: Column) -> Column:
-        later = weight_ * acc["v"] + decay_ * acc["y"]
-        y = item["h"] + F.pow(decay_, item["n"] - 1) * later
-        row = F.struct(item["c"].alias("c"), acc["v"].alias("v1"), acc["y"].alias("y1"))
-        return F.struct(y.alias("y"), item["v"].alias("v"), F.array_append(acc["out"], row).alias("out"))
-
-    none = F.struct(
-        F.lit(0.0).alias("y"),
-        F.lit(0.0).alias("v"),
-        F.array().cast("array<struct<c:bigint,v1:double,y1:double>>").alias("out"),
-    )
-    after = (
-        heads.groupBy(seq)
-        .agg(F.reverse(F.array_sort(F.collect_list("_h"))).alias("_hs"))
-        .select(seq, F.inline(F.aggregate("_hs", none, carry)["out"]))
-        .withColumnRenamed("c", "_chunk")
-    )
-
-    # fold every chunk from its end, starting with those two numbers
+    # fold every chunk from its end, starting with that number
     names = [c for c in own if c != seq]
     item = F.struct(F.col(pos).alias("_pos"), "_x", "_v", *[F.col(c) for c in names])
     chunks = (
@@ -192,12 +236,12 @@ def reverse_scan(
     )
 
     def back(acc: Column, item: Column) -> Column:
-        y = item["_x"] + weight_ * acc["v"] - item["_v"] + decay_ * acc["y"]
-        return F.struct(y.alias("y"), item["_v"].alias("v"), F.array_append(acc["ys"], y).alias("ys"))
+        y = item["_x"] - item["_v"] + acc["later"]
+        return F.struct(
+            (weight_ * item["_v"] + decay_ * y).alias("later"), F.array_append(acc["ys"], y).alias("ys")
+        )
 
-    zero = F.struct(
-        F.col("y1").alias("y"), F.col("v1").alias("v"), F.array().cast("array<double>").alias("ys")
-    )
+    zero = F.struct(F.col("_in").alias("later"), F.array().cast("array<double>").alias("ys"))
     ys = F.aggregate("_rows", zero, back)["ys"]
     chunks = bind(chunks, "_ys", ys)
     return chunks.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,14 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     return path
 
 
+def write_counted(df: DataFrame, path: str, mode: str = "errorifexists") -> tuple[str, int]:
+    """Write like `write_jsonl` and return the number of records as well, counted
+    by the writing job itself."""
+    written = Observation()
+    path = write_jsonl(df.observe(written, F.count(F.lit(1)).alias("n")), path, mode)
+    return path, written.get["n"]
+
+
 def count_records(spark: SparkSession, path: str) -> DataFrame:
     """Number of lines of a written table, as a one-row table."""
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,8 @@ from factfeed.operators.ordering import (
     number_by_hash,
     number_by_key,
     number_rows,
+    quantile_buckets,
+    reverse_scan,
     train_test_split,
 )
 
@@ -62,6 +64,52 @@ def test_first_n(spark, n):
     assert sorted(r["k"] for r in first_n(df, n, "k").collect()) == list(range(min(n, 50)))
 
 
+@pytest.mark.parametrize("n", [0, 1, 2500, 4999, 5000, 9000])
+def test_first_n_of_clustered_and_text_keys(spark, n):
+    numbers = [*range(2000), *range(10**12, 10**12 + 3000)]
+    df = spark.createDataFrame([(k, f"{k:015d}") for k in numbers], "k long, t string").repartition(7)
+    for key in ("k", "t"):
+        assert sorted(r["k"] for r in first_n(df, n, key).collect()) == numbers[:n]
+
+
+def test_first_n_leaves_null_keys_and_takes_empty_tables(spark):
+    df = spark.createDataFrame([(None,), (3,), (1,), (2,)], "k long")
+    assert sorted(r["k"] for r in first_n(df, 2, "k").collect()) == [1, 2]
+    assert sorted(r["k"] for r in first_n(df, 9, "k").collect()) == [1, 2, 3]
+    assert first_n(df.limit(0), 2, "k").count() == 0
+    assert number_by_key(df.limit(0), "no", "k").count() == 0
+
+
+def test_building_a_plan_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    try:
+        numbered = number_by_key(spark.range(5000), "no", "id")
+        picked = first_n(spark.range(5000), 2500, "id")
+        assert not tracker.getJobIdsForGroup("plan")
+        assert numbered.where("no <> id").count() == 0 and picked.count() == 2500
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_buckets_of_clustered_keys_are_even(spark):
+    df = spark.range(20000).selectExpr("IF(id < 10000, id, id * 1000003) AS k").repartition(5)
+    sizes = [r["count"] for r in quantile_buckets(df, "b", "k", 8).groupBy("b").count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 20000 and max(sizes) < 2 * 20000 / 8
+
+
+@pytest.mark.parametrize("decay", [1.0, 0.97])
+def test_scan_over_many_blocks(spark, decay):
+    n = 3000  # one position a chunk: twelve blocks of chunks
+    df = spark.range(n).selectExpr("0 AS seq", "id AS pos", "CAST(id % 7 - 3 AS double) AS x", "CAST(id % 5 AS double) AS v")
+    got = {r["pos"]: r["y"] for r in reverse_scan(df, "seq", "pos", F.col("x"), decay, "y", F.col("v"), 0.5, chunk=1).collect()}
+    y = v = 0.0
+    for i in reversed(range(n)):
+        y, v = (i % 7 - 3) + 0.5 * v - i % 5 + decay * y, i % 5
+        assert abs(got[i] - y) < 1e-6 * max(1.0, abs(y))
+    assert len(got) == n
+
+
 def test_no_window_over_the_whole_table(spark):
     df = spark.range(1000).withColumnRenamed("id", "seq_id")
     plan = micro_batches(df, 8)._jdf.queryExecution().executedPlan().toString()

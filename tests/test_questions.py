@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import html
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from factfeed.plans.build_questions import Source, build_question_sets, head_siz
 from factfeed.session import fresh_path
 from factfeed.sources.adapters import load_questions
 from factfeed.sources.docstore import lookup_titles
-from factfeed.sources.jsonl import count_records, read_jsonl, target_path, write_jsonl
+from factfeed.sources.jsonl import count_records, read_jsonl, target_path, write_counted, write_jsonl
 
 TITLES = ["A &amp; B", "x &lt;y&gt; &quot;z&quot; &#39;w&#39; &#x27;", "&eacute;t&eacute; &notit; &amp;lt;", "plain", "", None]
 
@@ -29,6 +30,28 @@ def test_html(spark):
         assert r["e"] == (None if r["t"] is None else html.escape(r["t"]))
 
 
+REFERENCES = [
+    "&notit; &notin; &not &amp;lt; &ampx &AMP;&gt&lt", "&#65;&#x41;&#X1F600;&#128512", "&#0;&#x0;&#13;&#128;&#x9f;&#x81;",
+    "&#xD800;&#1114112;&#99999999999999999999;&#x1;&#11;&#127;&#xFFFE;&#x10FFFF;&#xFDD0;", "&; & &# &#x; &#xg; &&amp;&",
+    "&NotEqualTilde;&ThickSpace;x&NewLine;y&Tab;z", "&unknown; &" + "a" * 40 + ";", "&eacute&Eacute;té &hellip;",
+    "&#x27;&quot;\n&lt\n", "&copy2026 &para;graph &parax", "&#0000000000065;&#x00000000000041;", "\U0001F600&amp;\U0001F600", "",
+]
+
+
+def test_character_references(spark):
+    df = spark.createDataFrame([(t,) for t in REFERENCES * 2], "t string").repartition(3)
+    out = df.select("t", unescape_html(F.col("t")).alias("u"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        assert r["u"] == html.unescape(r["t"]), r["t"]
+
+
+def test_every_name(spark):
+    texts = [f"<{f}>" for n in html5 for f in (f"&{n}", f"&{n}b")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", unescape_html(F.col("t")).alias("u"))
+    assert [r for r in df.collect() if r["u"] != html.unescape(r["t"])] == []
+
+
 def test_text_rules(spark):
     assert one(spark, sentences(F.lit("A b.  C d!? \n\n E\tf "))) == ["A b.", "C d!?", "E\tf"]
     assert one(spark, sentences(F.lit("...\n?"))) == []
@@ -158,3 +181,19 @@ def test_second_write_replaces_or_raises(spark):
         write_jsonl(spark.range(3), path)
     assert write_jsonl(spark.range(3), path, mode="overwrite") == path
     assert count_records(spark, path).first()["n"] == 3
+
+
+def test_count_of_the_writing_job(spark):
+    df = spark.range(1234).withColumnRenamed("id", "qid").repartition(5)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    try:
+        path, n = write_counted(df, fresh_path(spark, "counted"))
+        jobs = len(tracker.getJobIdsForGroup("counted"))
+        write_jsonl(df, fresh_path(spark, "plain"))
+        assert len(tracker.getJobIdsForGroup("counted")) == 2 * jobs  # no job of its own
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert n == 1234 == count_records(spark, path).first()["n"]
+    assert write_counted(df, path, mode="overwrite") == (path, 1234)
+    assert write_counted(df.limit(0), fresh_path(spark, "none"))[1] == 0
