@@ -11,14 +11,20 @@ from pyspark.sql import functions as F
 from ..functions.rows import bind
 
 
+# Up to this many rows a top-n is cheaper: no task gets more than this from another.
+TOP_ROWS = 1_000
+
+
 def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
     """First n rows by a unique order column.
 
-    The n-th value is found from counts per bucket of the key and one look into the
+    A small n is a top-n over the order column. For a larger one the n-th value is found from counts per bucket of the key and one look into the
     bucket it lies in, so no task sorts n rows; the wide rows are then kept by a
     comparison with it. Rows with a null key are in no bucket and never kept.
     """
     keys = df.select(F.col(order).alias("_key")).filter("_key IS NOT NULL")
+    if n <= TOP_ROWS:
+        return df.filter(F.col(order) <= keys.orderBy("_key").limit(n).agg(F.max("_key")).scalar())
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = quantile_buckets(keys, "_bucket", "_key", buckets).withColumn("_all", F.lit(0))
     counts = tagged.groupBy("_all", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -27,7 +33,7 @@ def first_n(df: DataFrame, n: int, order: str) -> DataFrame:
     inside = tagged.join(F.broadcast(edge.select("_bucket", "_before")), "_bucket").withColumn("_no", place)
     cut = inside.filter(F.col("_no") + F.col("_before") == n).agg(F.max("_key")).scalar()
     last = keys.agg(F.max("_key")).scalar()
-    return df.filter(F.col(order) <= F.coalesce(cut, last)) if n > 0 else df.limit(0)
+    return df.filter(F.col(order) <= F.coalesce(cut, last))
 
 
 def seeded_hash(seed: int, key: Column) -> Column:
@@ -146,8 +152,11 @@ def _later(heads: DataFrame, seq: str, width: int) -> DataFrame:
     from its end, and each block is then gone through with what it receives: lists
     hold at most `width` chunks, or one entry per block.
     """
-    maps = heads.select(
-        seq, F.floor(F.col("_chunk") / width).alias("_block"), F.struct(F.col("_chunk").alias("c"), "_p", "_q").alias("_m")
+    # the filter is what the join below asks of its sides: with it in both, the maps
+    # are computed and shuffled once
+    block = F.floor(F.col("_chunk") / width)
+    maps = heads.filter(F.col(seq).isNotNull() & block.isNotNull()).select(
+        seq, block.alias("_block"), F.struct(F.col("_chunk").alias("c"), "_p", "_q").alias("_m")
     )
     from_end = lambda items: F.reverse(F.array_sort(F.collect_list(items)))
     blocks = maps.groupBy(seq, "_block").agg(from_end("_m").alias("_ms"))
