@@ -1,13 +1,19 @@
 """Main text of HTML pages from flat text blocks and a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block has
-its word count and link density, those of its two neighbours, and whether it stands
-in an element marked as page furniture, in an article and in a heading. A decision
-tree, grown by Gini impurity on the small labelled table below, says which blocks
-are main text.
+its word count and link density, those of its two neighbours, how strongly the
+elements around it are marked as page furniture, and whether it stands in an article
+and in a heading. A decision tree, grown by Gini impurity on the small labelled table
+below, says which blocks are main text.
+
+A mark is strong if a tag or a whole name says furniture ("sidebar", "google-ads",
+"menu-item"), and weak if the name only begins with such a word ("side-effects",
+"share-prices"). Marks of the whole page, and those around a <main> or an article
+with its own <h1>, count for nothing.
 
 Null and empty pages, and pages without such a block, give an empty text. Markup
-that breaks off counts as running to the page's end. Repeated pages are read each.
+that breaks off counts as running to the page's end; a quote that is never closed
+does not, its tag ends at the next ">". End tags that may be left out are supplied. Repeated pages are read each.
 Very long pages are read whole, in time linear in their length. Other columns of
 the input are ignored. An empty table gives no rows.
 """
@@ -16,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -25,26 +32,63 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, texts
 
-SKIPPED = "script style noscript template svg math head title iframe object textarea select button"
+# Element names of HTML by what they do to text, and names that sites
+# give to parts of a page.
+RAW = "script style noscript title iframe textarea"
+DROPPED = "template svg math head object select button"
+HEAD = "head base basefont bgsound link meta noframes noscript script style template title"
 BREAKS = (
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td "
     "tfoot th thead tr ul"
 )
+INLINE = (
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby s samp small span "
+    "strike strong sub sup time tt u var"
+)
+VOID = "area base br col embed hr img input link meta param source track wbr"
+HEADINGS = "h1 h2 h3 h4 h5 h6"
 FURNITURE_TAGS = "nav aside footer form menu dialog"
-FURNITURE_WORDS = re.compile(
-    r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
+FURNITURE_WORD = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
     r"subscri\w*|sidebar|side|widget|related|recommend\w*|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|"
-    r"comments?|disqus|repl(?:y|ies)|share|social|login|signup|search|toolbar|pagination|pager|complementary|contentinfo|copyright)(?![a-z])"
+    r"comments?|disqus|reply|replies|share|social|login|signup|search|toolbar|pagination|pager|complementary|contentinfo|copyright"
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "marked", "article", "heading")
+PLAIN_WORDS = (
+    "area bar bars block body bottom box btn button buttons card col column container content count cta desktop fixed "
+    "form group holder icon icons inline inner item items large left link links list media mobile module outer page "
+    "panel policy post posts region right root row section site slot small sticky text thread title top unit user wide "
+    "wrap wrapper zone"
+)
+OWN_HEADER = "article content entry post story title"
+WITHOUT = "has hide no with without"
 
-# Labelled blocks, the tree's training table: the nine features in order, then 1
-# for main text. Written by hand after kinds of blocks that pages commonly have.
+RAW, DROPPED, HEAD, BREAKS, INLINE, VOID, HEADINGS, FURNITURE_TAGS, PLAIN_WORDS, OWN_HEADER, WITHOUT = (
+    frozenset(names.split())
+    for names in (RAW, DROPPED, HEAD, BREAKS, INLINE, VOID, HEADINGS, FURNITURE_TAGS, PLAIN_WORDS, OWN_HEADER, WITHOUT)
+)
+# A start tag closes an open element of these names, unless one of the second stands between.
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dd": (("dd", "dt"), ("dl",)),
+    "dt": (("dd", "dt"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table",)),
+}
+
+# Possessive, so that no part of a page is read again and again.
+NAME = re.compile(r"[^ \t\n\f\r/>]++")
+BETWEEN = re.compile(r"[ \t\n\f\r/]*+")
+ATTRIBUTE = re.compile(r"([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)([ \t\n\f\r]*+=[ \t\n\f\r]*+)?")
+BARE = re.compile(r"[^ \t\n\f\r>]*+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "mark", "article", "heading")
+
+# Labelled blocks, the tree's training table: the nine features in order (mark: 0 none, 1 weak,
+# 2 strong), then 1 for main text. Written by hand after kinds of blocks that pages commonly have.
 LABELLED = (
     (60, 0.0, 8, 0.0, 55, 0.0, 0, 1, 0, 1),
     (120, 0.02, 60, 0.0, 40, 0.0, 0, 1, 0, 1),
@@ -90,18 +134,40 @@ LABELLED = (
     (3, 0.0, 0, 0.0, 5, 0.4, 0, 0, 0, 0),
     (2, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0, 0),
     (7, 0.2, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (12, 0.0, 40, 0.0, 0, 0.0, 1, 0, 0, 0),
-    (8, 0.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0),
-    (60, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0),
-    (90, 0.1, 50, 0.0, 70, 0.0, 1, 0, 0, 0),
-    (25, 0.0, 80, 0.0, 30, 0.0, 1, 0, 0, 0),
-    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 20, 0.0, 1, 0, 0, 0),
-    (5, 0.0, 0, 0.0, 2, 1.0, 1, 0, 1, 0),
-    (40, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 0),
-    (6, 0.5, 80, 0.0, 40, 0.0, 1, 1, 0, 0),
-    (4, 0.0, 90, 0.0, 12, 0.0, 1, 1, 1, 0),
-    (100, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 0),
+    (12, 0.0, 40, 0.0, 0, 0.0, 2, 0, 0, 0),
+    (8, 0.0, 2, 1.0, 9, 0.0, 2, 0, 0, 0),
+    (60, 0.0, 1, 1.0, 10, 0.0, 2, 0, 0, 0),
+    (90, 0.1, 50, 0.0, 70, 0.0, 2, 0, 0, 0),
+    (25, 0.0, 80, 0.0, 30, 0.0, 2, 0, 0, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 2, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 20, 0.0, 2, 0, 0, 0),
+    (5, 0.0, 0, 0.0, 2, 1.0, 2, 0, 1, 0),
+    (40, 0.0, 60, 0.0, 70, 0.0, 2, 1, 0, 0),
+    (6, 0.5, 80, 0.0, 40, 0.0, 2, 1, 0, 0),
+    (4, 0.0, 90, 0.0, 12, 0.0, 2, 1, 1, 0),
+    (100, 0.0, 20, 0.0, 30, 0.0, 2, 1, 0, 0),
+    (1, 0.0, 2, 1.0, 60, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 0, 0.0, 45, 0.0, 0, 0, 1, 1),
+    (2, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1, 1),
+    (3, 0.0, 5, 1.0, 20, 0.0, 0, 0, 1, 1),
+    (1, 0.0, 60, 0.0, 2, 1.0, 0, 0, 1, 0),
+    (2, 0.0, 30, 0.0, 4, 1.0, 0, 0, 1, 0),
+    (40, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 1),
+    (18, 0.0, 50, 0.0, 30, 0.0, 1, 1, 0, 1),
+    (90, 0.02, 0, 0.0, 40, 0.0, 1, 1, 0, 1),
+    (12, 0.0, 8, 0.0, 60, 0.0, 1, 1, 0, 1),
+    (5, 0.0, 60, 0.0, 80, 0.0, 1, 1, 1, 1),
+    (4, 0.8, 60, 0.0, 5, 1.0, 1, 1, 0, 0),
+    (3, 1.0, 4, 1.0, 3, 1.0, 1, 1, 0, 0),
+    (10, 0.6, 80, 0.0, 6, 1.0, 1, 1, 0, 0),
+    (70, 0.0, 60, 0.0, 50, 0.0, 1, 0, 0, 1),
+    (45, 0.05, 2, 1.0, 60, 0.0, 1, 0, 0, 1),
+    (25, 0.0, 80, 0.0, 60, 0.0, 1, 0, 0, 1),
+    (18, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (13, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (40, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 1),
+    (6, 0.0, 2, 1.0, 4, 0.0, 1, 0, 0, 0),
+    (15, 0.7, 3, 1.0, 3, 1.0, 1, 0, 0, 0),
 )
 
 
@@ -158,95 +224,237 @@ class Block(NamedTuple):
     text: str
     words: int
     links: float
-    marked: bool
+    mark: int  # 0 none, 1 weak, 2 strong
     article: bool
     heading: bool
 
 
+class Element:
+    """An open element, its mark and where that began."""
+
+    __slots__ = ("tag", "grade", "named", "number", "start", "article", "open")
+
+    def __init__(self, tag: str, grade: int, named: bool, number: int, start: int, article: bool):
+        self.tag, self.grade, self.named, self.number, self.start = tag, grade, named, number, start
+        self.article, self.open = article, True
+
+
+class Reader:
+    """Collects text blocks from tags and texts in page order."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parts: list[tuple[str, bool]] = []  # of the block at hand, and whether each is a link's
+        self.begun = False  # whether it has a word
+        self.flags = (False, False)
+        self.stack: list[Element] = []
+        self.where = defaultdict(list)  # places in the stack by name
+        self.barriers: list[int] = []  # and of block elements
+        self.headings = self.articles = self.dropped = self.opened = 0
+        self.headed = -1  # the latest <main>, or article with an <h1>, by order of opening
+        self.marks: list[tuple[int, int, int]] = []  # grade, first and last block
+        self.grades: dict[tuple[str, bool], int] = {}  # of names met before
+
+    def text(self, text: str) -> None:
+        text = html.unescape(text)
+        if not text:
+            return
+        word = not text.isspace()
+        if word and self.where["head"]:
+            self.leave(self.where["head"][-1])
+        if self.dropped:
+            return
+        if word and not self.begun:
+            self.begun = True
+            self.flags = (self.articles > 0, self.headings > 0)
+        self.parts.append((text, bool(self.where["a"])))
+
+    def cut(self) -> None:
+        """Ends the block at hand."""
+        if self.begun:
+            text = " ".join("".join(p for p, _ in self.parts).split())
+            words = text.count(" ") + 1
+            linked = sum(len(p.split()) for p, link in self.parts if link)
+            self.blocks.append(Block(text, words, min(1.0, linked / words), 0, *self.flags))
+        self.parts.clear()
+        self.begun = False
+
+    def leave(self, depth: int) -> None:
+        """Closes the elements from this depth of the stack on."""
+        here = len(self.blocks) + self.begun
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            if self.barriers and self.barriers[-1] == len(self.stack):
+                self.barriers.pop()
+            if e.open:
+                self.where[e.tag].pop()
+            self.headings -= e.tag in HEADINGS
+            self.articles -= e.article
+            self.dropped -= e.tag in DROPPED
+            if e.grade and not (e.named and self.headed > e.number):
+                self.marks.append((e.grade, e.start, here))
+
+    def start(self, tag: str, attributes: list[tuple[str, str]]) -> None:
+        where = self.where
+        if where["head"] and tag not in HEAD:
+            self.leave(where["head"][-1])
+        if tag in BREAKS:
+            self.cut()
+            if where["p"] and not self.dropped:
+                self.leave(where["p"][-1])
+        if tag in CLOSES and not self.dropped:
+            names, between = CLOSES[tag]
+            last = max((where[t][-1] for t in names if where[t]), default=-1)
+            if last > max((where[t][-1] for t in between if where[t]), default=-1):
+                self.leave(min(d for d in (where[t][-1] for t in names if where[t]) if d >= last))
+        if tag == "br":
+            self.parts.append((" ", False))
+        if tag in VOID:
+            return
+        if tag == "a":
+            self.end("a")
+        self.opened += 1
+        grade, named = (0, True) if tag in ("html", "body") else furniture(tag, attributes, self.articles > 0, self.grades)
+        body = tag == "main" or ("role", "main") in attributes
+        if body:
+            self.headed = self.opened
+        elif tag == "h1" and where["article"]:
+            self.headed = max(self.headed, self.stack[where["article"][-1]].number)
+        depth = len(self.stack)
+        if tag in BREAKS:
+            self.barriers.append(depth)
+        where[tag].append(depth)
+        self.stack.append(Element(tag, grade, named, self.opened, len(self.blocks) + self.begun, body or tag == "article"))
+        self.headings += tag in HEADINGS
+        self.articles += body or tag == "article"
+        self.dropped += tag in DROPPED
+
+    def end(self, tag: str) -> None:
+        """An end tag closes what is open inside its element; that of an inline
+        element does not reach beyond a block."""
+        if tag in BREAKS:
+            self.cut()
+        if tag == "br":
+            self.parts.append((" ", False))
+        if not self.where[tag]:
+            return
+        depth = self.where[tag][-1]
+        if tag in INLINE and self.barriers and self.barriers[-1] > depth:
+            if tag == "a":  # the link ends, what is around it stays
+                self.where[tag].pop()
+                self.stack[depth].open = False
+            return
+        self.leave(depth)
+
+    def finish(self) -> list[Block]:
+        self.cut()
+        self.leave(0)
+        change = [[0] * (len(self.blocks) + 2) for _ in range(3)]
+        for grade, start, stop in self.marks:
+            change[grade][start] += 1
+            change[grade][max(start, stop)] -= 1
+        weak, strong, out = 0, 0, []
+        for i, b in enumerate(self.blocks):
+            weak += change[1][i]
+            strong += change[2][i]
+            out.append(b._replace(mark=2 if strong else 1 if weak else 0))
+        return out
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order, white space made single."""
-    skipped, breaks, furniture = set(SKIPPED.split()), set(BREAKS.split()), set(FURNITURE_TAGS.split())
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is furniture
-    count = {"article": 0, "marked": 0, "a": 0, "heading": 0}
-    flags = [False, False, False]
-
-    def close() -> None:
-        text = " ".join(html.unescape("".join(p for p, _ in parts)).split())
-        if text:
-            linked = sum(len(html.unescape(p).split()) for p, link in parts if link)
-            words = len(text.split(" "))
-            out.append(Block(text, words, min(1.0, linked / words), *flags))
-        parts.clear()
-
-    def add(text: str) -> None:
-        if text:
-            if not parts or not text.isspace():
-                flags[:] = [count["marked"] > 0, count["article"] > 0, count["heading"] > 0]
-            parts.append((text, count["a"] > 0))
-
-    def leave(name: str) -> None:
-        tag, marked = name
-        count["marked"] -= marked
-        count["article"] -= tag in ("article", "main")
-        count["a"] -= tag == "a"
-        count["heading"] -= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            add(page[at:])
+    """Text blocks in page order, white space made single. Reads a page once."""
+    reader, at, end = Reader(), 0, len(page)
+    last = {q: page.rfind(q) for q in "\"'"}
+    texts_from = 0
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at + 1 >= end:
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in breaks:
-            close()
-        elif tag == "br":
-            parts.append((" ", False))
-        if m[1]:  # an end tag closes what is open inside it
-            if any(t == tag for t, _ in reversed(stack)):
-                while stack:
-                    last = stack.pop()
-                    leave(last)
-                    if last[0] == tag:
-                        break
-            continue
-        if tag in skipped:
-            shut = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = shut.end() if shut else end
-            continue
-        if tag in VOID or tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and not m[3].strip():
-            continue  # their end tags may be left out, and they mark nothing
-        if tag == "a" and count["a"]:
+        mark = page[at + 1]
+        closing = mark == "/"
+        first = page[at + 1 + closing : at + 2 + closing]
+        letter = first.isascii() and first.isalpha()
+        if not (letter or closing or mark in "!?"):
+            at += 1  # a character of the text
             continue
-        marked = tag in furniture or tag == "header" and not count["article"] or _marked(m[3])
-        stack.append((tag, marked))
-        count["marked"] += marked
-        count["article"] += tag in ("article", "main")
-        count["a"] += tag == "a"
-        count["heading"] += tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    close()
-    return out
-
-
-def _marked(attributes: str) -> bool:
-    if not attributes.strip():
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        elif FURNITURE_WORDS.search(value.replace("_", "-")):
-            return True
-    return False
+        reader.text(page[texts_from:at])
+        if not letter:
+            if page.startswith("<!--", at):
+                shut = page.find("-->", at + 2)
+                at = shut + 3 if shut >= 0 else end
+            else:
+                shut = page.find(">", at + 1)
+                at = shut + 1 if shut >= 0 else end
+        else:
+            name = NAME.match(page, at + 1 + closing)
+            tag = name[0].lower()
+            attributes, at = read_attributes(page, name.end(), last)
+            if closing:
+                reader.end(tag)
+            elif tag in RAW:
+                shut = re.compile(rf"</{tag}(?=[ \t\n\f\r/>]|\Z)[^>]*+>?", re.I).search(page, at)
+                at = shut.end() if shut else end
+            elif not (tag in ("svg", "math") and page[at - 2 : at] == "/>"):
+                reader.start(tag, attributes)
+        texts_from = at
+    reader.text(page[texts_from:])
+    return reader.finish()
+
+
+def read_attributes(page: str, at: int, last: dict[str, int]) -> tuple[list[tuple[str, str]], int]:
+    """Names and values of a tag's attributes, and where the tag ends. `last` has the
+    last place of each quote: one there is never closed."""
+    found = []
+    while True:
+        at = BETWEEN.match(page, at).end()
+        if at >= len(page):
+            return found, len(page)
+        if page[at] == ">":
+            return found, at + 1
+        m = ATTRIBUTE.match(page, at)
+        at, value = m.end(), ""
+        if m[2] is not None:
+            quote = page[at : at + 1]
+            if quote in last and at < last[quote]:
+                shut = page.index(quote, at + 1)
+                value, at = page[at + 1 : shut], shut + 1
+            else:
+                bare = BARE.match(page, at)
+                value, at = bare[0], bare.end()
+        found.append((m[1].lower(), value))
+
+
+def furniture(tag: str, attributes: list[tuple[str, str]], article: bool, known: dict[tuple[str, bool], int]) -> tuple[int, bool]:
+    """How strongly an element is marked, and whether by a name that may also stand
+    for a whole layout. `known` keeps the grades of names."""
+    if tag in FURNITURE_TAGS or tag == "header" and not article:
+        return 2, tag == "form"
+    grade = 0
+    for name, value in attributes:
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return 2, False
+        if name == "style" and INVISIBLE.search(value.lower()):
+            return 2, False
+        if name in ("class", "id", "role"):
+            if (value, article) not in known:
+                known[value, article] = max((name_grade(v, article) for v in value.split()), default=0)
+            grade = max(grade, known[value, article])
+    return grade, True
+
+
+def name_grade(name: str, article: bool) -> int:
+    """2 if the noun of a name is furniture, 1 if a word before it is."""
+    words = [w for w in re.split("[^a-z]+", CAMEL.sub("-", name).lower()) if w]
+    if not words or words[0] in WITHOUT:
+        return 0
+    noun = len(words) - 1
+    while noun and words[noun] in PLAIN_WORDS:
+        noun -= 1
+    if words[noun] in ("header", "masthead") and (article or not OWN_HEADER.isdisjoint(words)):
+        return 0
+    if FURNITURE_WORD.fullmatch(words[noun]):
+        return 2
+    return int(any(FURNITURE_WORD.fullmatch(w) for w in words[:noun]))
 
 
 def main_text(page: str, tree: list[Node]) -> str:
@@ -262,7 +470,7 @@ def main_text(page: str, tree: list[Node]) -> str:
             before.links if before else 0.0,
             after.words if after else 0,
             after.links if after else 0.0,
-            b.marked,
+            b.mark,
             b.article,
             b.heading,
         )
