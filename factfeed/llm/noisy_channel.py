@@ -12,9 +12,10 @@ word beginnings of 4 to 7 letters, with a smoothed share of toxic documents amon
 those that have them. A word counts by its surest entry, and the words of a text
 combine as independent evidence, 1 - prod(1 - p).
 
-The models are fitted on about `FIT_ROWS` labelled documents (chosen by a hash of
-doc_id), of which copies that share a minimum of their shingles count once. Both
-are bounded: ALPHABET**3 trigram counts and at most MOST_ENTRIES lexicon entries.
+The character model counts all training documents, labelled or not. The lexicon is
+fitted on about `FIT_ROWS` labelled ones (chosen by a hash of doc_id), of which near
+copies, by the sketches of their whole shingle sets, count once. Both are bounded:
+ALPHABET**3 trigram counts and at most MOST_ENTRIES lexicon entries.
 
 Null and empty texts have no words and the lowest score. Labels with a null are
 ignored; of several labels of one document the highest counts. Repeated rows are
@@ -49,6 +50,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h",
 }
 PUT_IN = "*|+#!"  # signs that may also have been put between letters
+SKETCH, ALIKE = 16, 8  # minima of a shingle set, and how many of them near copies share
 COST = 1.0  # of reading a sign as a letter, in nats
 SIGNS = re.escape("".join(LOOKALIKES))
 LETTER = r"[^\W\d_]"
@@ -153,20 +155,91 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     part = int(min(1.0, FIT_ROWS / max(own.count(), 1)) * 1_000_000)
     few = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
+    odd = np.random.default_rng(SKETCH).integers(1 << 63, size=SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def make():
         def step(batch):
             sets = shingle_sets(batch.column(1), 5)
             low = [int(s[0].view(np.int64)) if len(s) else 0 for s in sets]
-            return [batch.column(0), batch.column(1), batch.column(2), pa.array(low, pa.int64())]
+            sketch = [np.array([(s * m).min() for m in odd]).tobytes() if len(s) else bytes(8 * SKETCH) for s in sets]
+            return [batch.column(i) for i in range(3)] + [pa.array(low, pa.int64()), pa.array(sketch, pa.binary())]
 
         return step
 
+    def thin(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH)
+        return rows.take(pa.array(unlike(sketches), pa.int64())).select(["text", "toxic"])
+
     # about FIT_ROWS rows of two numbers, whatever the tables' sizes
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(few), "doc_id")
     rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"))
-    keyed = map_batches(rows, make, "doc_id: long, text: string, toxic: int, low: long")
-    first = keyed.groupBy("low").agg(F.min(F.struct("doc_id", "text", "toxic")).alias("r"))
-    return first.select("r.text", "r.toxic")
+    keyed = map_batches(rows, make, "doc_id: long, text: string, toxic: int, low: long, sketch: binary")
+    # a group has documents that share their smallest shingle, FIT_ROWS of them at most
+    return keyed.groupBy("low").applyInArrow(thin, "text: string, toxic: int")
+
+
+def unlike(sketches: np.ndarray) -> list[int]:
+    """Rows of which no earlier one of them is a near copy."""
+    kept: list[int] = []
+    held = np.empty_like(sketches)
+    for i, row in enumerate(sketches):
+        if not ((held[: len(kept)] == row).sum(axis=1) >= ALIKE).any():
+            held[len(kept)] = row
+            kept.append(i)
+    return kept
+
+
+def _letters() -> np.ndarray:
+    """Which code points are letters, as WORD has them."""
+    return np.array([chr(c).isalnum() and not chr(c).isdecimal() for c in range(0x110000)])
+
+
+def _joined(values: list[str]) -> np.ndarray:
+    """Code points of lower-cased texts, set apart by blanks."""
+    return np.frombuffer(" ".join(v.lower() for v in values).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def trigram_line(chars: np.ndarray, letters: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Codes of the words, two borders (0) around each; words with a letter three
+    times in a row are left out."""
+    at = np.flatnonzero(letters[chars])
+    if not len(at):
+        return np.zeros(2, np.int64)
+    c = chars[at]
+    word = np.cumsum(np.concatenate([[0], np.diff(at) > 1]))
+    if len(at) > 2:
+        thrice = (c[2:] == c[1:-1]) & (c[1:-1] == c[:-2]) & (at[2:] - at[:-2] == 2)
+        drop = np.zeros(word[-1] + 1, bool)
+        drop[word[2:][thrice]] = True
+        c, word = c[~drop[word]], word[~drop[word]]
+        word = np.cumsum(np.concatenate([[0], np.diff(word) > 0])) if len(word) else word
+    line = np.zeros(len(c) + 2 * (word[-1] + 2 if len(word) else 1), np.int64)
+    line[2 + np.arange(len(c)) + 2 * word] = codes[c]
+    return line
+
+
+def _counted(docs: DataFrame, make_count, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and sums of an array of `size` counts that every task fills from all texts."""
+
+    def make():
+        counts = np.zeros(size, np.int64)
+        count = make_count()
+
+        def step(batch):
+            values = texts(batch.column(0))
+            for a in range(0, len(values), 256):
+                counts[:] += np.bincount(count(_joined(values[a : a + 256])), minlength=size)
+
+        def finish():
+            at = np.flatnonzero(counts)
+            return [[pa.array(at), pa.array(counts[at])]] if len(at) else []
+
+        return step, finish
+
+    rows = map_batches(docs.select(F.col("text").cast("string")), make, "at: long, n: long")
+    found = rows.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    return found.column("at").to_numpy(), found.column("n").to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -174,25 +247,27 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     from factfeed.session import materialize
 
     sample = materialize(_sample(docs, labels), "toxic-fit")
-    seen = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).where(F.col("c").rlike("^\\p{L}$"))
-    found = seen.groupBy("c").count().orderBy(F.desc("count"), "c").limit(ALPHABET - 2).collect()
-    letters = "".join(sorted(r["c"] for r in found))
-    code = {c: i + 1 for i, c in enumerate(letters)}
 
-    def make_trigrams():
-        counts = np.zeros(ALPHABET**3, np.int64)
+    def letters_of():
+        known = _letters()
+        return lambda chars: chars[known[chars]]
 
-        def step(batch):
-            for value in texts(batch.column(0)):
-                runs = [w for w in WORD.findall(value.lower()) if not re.search(r"(.)\1\1", w)]
-                line = np.array([code.get(c, ALPHABET - 1) if c != " " else 0 for c in "  " + "  ".join(runs) + "  "])
-                np.add.at(counts, (line[:-2] * ALPHABET + line[1:-1]) * ALPHABET + line[2:], 1)
+    at, n = _counted(docs, letters_of, 0x110000)
+    letters = "".join(sorted(chr(c) for c in at[np.lexsort((at, -n))][: ALPHABET - 2]))
 
-        def finish():
-            at = np.flatnonzero(counts)
-            return [[pa.array(at), pa.array(counts[at])]] if len(at) else []
+    def trigrams_of():
+        known, codes = _letters(), np.full(0x110000, ALPHABET - 1, np.int64)
+        for i, c in enumerate(letters):
+            codes[ord(c)] = i + 1
 
-        return step, finish
+        def count(chars):
+            line = trigram_line(chars, known, codes)
+            return (line[:-2] * ALPHABET + line[1:-1]) * ALPHABET + line[2:]
+
+        return count
+
+    at, n = _counted(docs, trigrams_of, ALPHABET**3)
+    trigrams = _trigram_model(at, n) if len(at) else np.empty(0)
 
     def make_features():
         both: Counter = Counter()
@@ -214,8 +289,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
         return step, finish
 
-    rows = map_batches(sample.select("text"), make_trigrams, "at: long, n: long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    trigrams = _trigram_model(rows.column("at").to_numpy(), rows.column("n").to_numpy()) if rows.num_rows else np.empty(0)
     counted = map_batches(sample, make_features, "name: string, toxic: long, n: long")
     counted = counted.groupBy("name").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     whole = sample.agg(F.avg("toxic")).first()[0] or 0.0
