@@ -98,3 +98,8 @@ def test_results_do_not_depend_on_partitions(spark, sf, name):
 def test_titles_are_found_without_the_texts(spark, sf):
     plan = plan_of(entry.queries()["supporting_titles"](spark, sf))
     assert "ReadSchema: struct<doc_id:bigint>" in plan and "text:string" not in plan
+
+
+def test_counts_and_scores_share_one_exchange(spark, sf, no_broadcast):
+    df = entry.queries()["bm25_scores"](spark, sf)
+    assert df.collect() and "ReusedExchange" in plan_of(df)
