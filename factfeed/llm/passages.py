@@ -2,29 +2,34 @@
 
 1. Seeds: of the k-word hashes of a text, the smallest in every `WINNOW` in a row.
    Any run of k + WINNOW - 1 words that two texts share gives them a common seed.
-2. Matches: keys are the seeds, neighbouring seeds, and all windows of `min_words`
-   words. Every occurrence of a key is linked to the key's first occurrence (smallest
-   doc_id), first within a block of texts, then over all blocks. A block sends each
-   key once, so a seed that a third of all documents have is no group that grows with
-   them, and the matches of a key grow with its occurrences only.
+   Windows of `min_words` words are keys too where a text repeats itself so that they
+   hold no two different seeds `LEAST_CHAIN` words wide.
+2. Matches: every occurrence of a key is linked to the key's first occurrence
+   (smallest doc_id). Seeds of at most `HOLDERS` documents are linked to all earlier
+   holders as well. A block of texts sends a frequent seed of `HOLDERS` + 1 documents
+   only and links the others itself, so no group grows with a seed's holders.
 3. Chains: the matches of a pair of documents are merged to runs on a diagonal;
    runs in the same order in both are chained under a linear gap cost, the best
    predecessor found in a Fenwick tree of prefix maxima.
 4. Alignment: the words around each chain are aligned; the longest span of at
    least `min_words` words and `similarity` is a row, and so are those in the words
    before and after it: a chain whose whole span does not pass is split at its gaps.
-   Of a document's rows the fewest are kept that cover the same words, so their
+5. The first holders come first. For the words that their rows leave open, 3 and 4 are
+   done again with all other holders. Of a seed with more than `HOLDERS` documents
+   they are found by two different seeds within `min_words` words: a join on that pair
+   gives all earlier documents that hold both, without a cap. Copies are covered by
+   then, so what is joined are the words that no first holder explains.
+6. Of a document's rows the fewest are kept that cover the same words, so their
    number is bounded by its words and not by its partners.
 
 A row says that words start_word .. start_word + n_words - 1 of doc_id repeat words
-of other_id, an earlier document (smaller doc_id). Word for word this is complete:
-whoever holds a window of `min_words` words holds a passage, so its first holder is
-a right partner, and all words of such windows that an earlier document has are in a
-row, whatever documents hold parts of them and however the table is partitioned.
-Copies of whole documents are passages as well. A passage with changed words is found
-if its holders share a seed or two neighbouring seeds whose first holder has it too;
-if earlier documents hold each of its unchanged stretches, but not the passage, and
-no two neighbouring seeds are first met together in it, it is missed.
+of other_id, an earlier document (smaller doc_id). Two texts are aligned wherever
+they share seeds whose chain is `LEAST_CHAIN` words wide, however many documents hold
+each of them, unless rows cover those words of the later one already. So all words of
+windows of `min_words` words that an earlier document has are in a row, whatever
+documents hold parts of them and however the table is partitioned. Copies of whole
+documents are passages as well. A passage with changed words is missed if its two
+holders share no such seeds: one in about four k-word hashes is a seed.
 
 Null, empty and short texts have no seeds and no rows. Rows that repeat a doc_id
 are one document, whose texts are not compared with one another. A null doc_id is
@@ -51,14 +56,16 @@ from .wordhash import Words, hash_words, long_windows, mix, windows
 K = 5
 WINNOW = 7
 MIN_WORDS, SIMILARITY = 50, 0.8
-BLOCK_WORDS = 300_000  # a task holds about 1.3 keys a word of a block, some 40 MB
-BUCKET_BYTES = 5 << 20  # of text whose keys a bucket holds, about a million
+BLOCK_WORDS = 300_000  # a task holds about a key for four words of a block, some 10 MB
+BUCKET_BYTES = 5 << 20  # of text whose keys a bucket holds, about a quarter of a million
+HOLDERS = 32  # documents of a seed up to which all are linked with one another
 WIDE = 3  # bytes of a word in an alignment: two words are taken for one in 16 million
 RUN_GAP = 40  # words between two matches of a run
 GAP_COST = 0.2  # of each word left out in either text, against 1 for a word matched
 LEAST_CHAIN = 14  # words that a chain must span to be aligned
 LONG_RUN = 40  # words from which a run is aligned apart from its chain as well
 PAD = 64  # words beside a chain that the alignment may still take
+FIRST, OTHER, FREQUENT, SHARED, COVERED, TOGETHER = range(6)  # kinds of rows, see `matches` and `left_open`
 _LONG, _FIRST = np.uint64(1), np.uint64(0xD6E8FEB86659FD93)
 _SENT = np.uint64((1 << 48) - 1)  # of a key; its place tells more
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -85,15 +92,38 @@ def winnowed(words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def keys(words: Words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, positions, texts and places (that equal keys share) of the seeds, of
-    neighbouring seeds, and of all windows of `min_words` words; the lowest bit of a
-    key marks those windows. Their place is their smallest k-word hash, so windows in
-    a row are in the same place."""
+    """Keys, positions, texts and places (that equal keys share) of the seeds and of the
+    windows of `min_words` words without two different seeds; the lowest bit of a key
+    marks those windows. Their place is their smallest k-word hash, so windows in a row
+    are in the same place."""
     seed, pos, text = winnowed(words, k)
-    after = np.flatnonzero(text[1:] == text[:-1])
-    pair = mix(seed[after] * _FIRST + seed[after + 1] + (pos[after + 1] - pos[after]).astype(np.uint64))
-    short = np.concatenate([seed, pair])
     found, at, of = long_windows(words, min_words)
+    # a seed with equal ones close by on both sides is left out: texts that repeat a few
+    # words; beside two different seeds without equal ones a window is no key: in
+    # another text they have no more than one equal one close by, and stay as well
+    order = np.lexsort((pos, seed, text))
+    near = (seed[order][1:] == seed[order][:-1]) & (text[order][1:] == text[order][:-1])
+    near &= pos[order][1:] - pos[order][:-1] <= LEAST_CHAIN
+    sides = np.zeros(len(seed), np.int64)
+    sides[order[1:]] += near
+    sides[order[:-1]] += near
+    lone = sides == 0
+    of_seed, value, place = text[lone], seed[lone] & ~_LONG, words.bounds[text[lone]] + pos[lone]
+    # where the first two different seeds behind a place end, LEAST_CHAIN words wide; words
+    # outside of a window have no part in the choice of its seeds but for WINNOW - 1 at its ends
+    nowhere = np.iinfo(np.int64).max
+    end = np.full(len(value) + 1, nowhere)
+    ahead = np.searchsorted(place, place + max(LEAST_CHAIN - k, 1))
+    for _ in range(8):
+        there = np.minimum(ahead, max(len(value) - 1, 0))
+        good = (ahead < len(value)) & (end[:-1] == nowhere) & (of_seed[there] == of_seed) & (value[there] != value)
+        end[:-1][good] = place[there[good]] + k + WINNOW - 1
+        ahead = ahead + 1
+    end = np.minimum.accumulate(end[::-1])[::-1]
+    base = words.bounds[of] + at
+    rest = end[np.searchsorted(place, base + WINNOW - 1)] > base + min_words
+    found, at, of = found[rest], at[rest], of[rest]
+    seed, pos, text = seed[sides < 2], pos[sides < 2], text[sides < 2]
     grams = windows(words, min(k, min_words))
     low, size, wide = grams.hashes, 1, max(min_words - k + 1, 1)
     while size < wide:  # smallest of the next `wide`; only windows inside a text are used
@@ -101,10 +131,10 @@ def keys(words: Words, k: int, min_words: int) -> tuple[np.ndarray, np.ndarray,
         low = np.minimum(low, np.concatenate([low[step:], low[len(low) - min(step, len(low)) :]]))
         size += step
     return (
-        np.concatenate([short & ~_LONG, found | _LONG]) & _SENT,
-        np.concatenate([pos, pos[after], at]),
-        np.concatenate([text, text[after], of]),
-        np.concatenate([short, mix(low[grams.bounds[of] + at])]),
+        np.concatenate([seed & ~_LONG, found | _LONG]) & _SENT,
+        np.concatenate([pos, at]),
+        np.concatenate([text, of]),
+        np.concatenate([seed, mix(low[grams.bounds[of] + at])]),
     )
 
 
@@ -136,19 +166,60 @@ def _numbers(raw: bytes) -> np.ndarray:
     return out.view(np.uint32).ravel()
 
 
-def _linked(seed, doc, pos, k, min_words):
-    """Of occurrences in (key, doc, pos) order: which is the first of its key, and the
-    matches (doc, first doc, pos, first pos, words) of those in other documents."""
-    new = np.ones(len(seed), bool)
-    new[1:] = seed[1:] != seed[:-1]
+def _holders(key, doc):
+    """Of occurrences in (key, doc, pos) order: the first of the key, and how many other
+    documents hold it before."""
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    other = new.copy()
+    other[1:] |= doc[1:] != doc[:-1]
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return head, np.cumsum(other) - np.cumsum(other)[head]
+
+
+def _linked(key, doc, pos, head, k, min_words):
+    """Matches (doc, first doc, pos, first pos, words, FIRST) of the occurrences in
+    other documents than that of the first."""
     other = doc != doc[head]
-    n = np.where(seed[other] & _LONG, min_words, k).astype(np.int32)
-    return new, _merged(doc[other], doc[head[other]], pos[other], pos[head[other]], n)
+    n = np.where(key[other] & _LONG, min_words, k).astype(np.int32)
+    found = _merged(doc[other], doc[head[other]], pos[other], pos[head[other]], n)
+    return (*found, np.full(len(found[0]), FIRST, np.int32))
+
+
+def _others(key, doc, pos, head, few, k):
+    """Matches of kind OTHER: the seeds `few` documents hold, with all holders between
+    the first and the own one."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32))]
+    at = np.flatnonzero(few & (doc != doc[head]))
+    back = 1
+    while len(at):
+        at = at[at - back > head[at]]
+        there = at - back
+        far = at[(doc[at] != doc[there]) & (doc[there] != doc[head[at]])]
+        out.append((doc[far], doc[far - back], pos[far], pos[far - back]))
+        # a second place in the first holder
+        far = at[doc[there] == doc[head[at]]]
+        out.append((doc[far], doc[far - back], pos[far], pos[far - back]))
+        back += 1
+    d, c, pd, pc = (np.concatenate(x) for x in zip(*out, strict=True))
+    return d, c, pd, pc, np.full(len(d), k, np.int32), np.full(len(d), OTHER, np.int32)
+
+
+def _occurrences(key, doc, pos, kind):
+    n = np.zeros(len(key), np.int32)
+    return doc, key.astype(np.int64), pos, n, n, np.broadcast_to(np.int32(kind), len(key)).astype(np.int32)
+
+
+def _stacked(parts):
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def matches(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS) -> DataFrame:
-    """d, c, pd, pc, n: n words from word pd of document d and from pc of c are equal."""
+    """d, c, pd, pc, n, kind: n words from word pd of document d and from pc of c are equal.
+
+    FIRST: c is the first holder; OTHER: c is another one. FREQUENT and SHARED: the seed
+    c is at word pd of d, and more than `HOLDERS`, or several, documents hold it.
+    """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     # a bucket is a group in one process: their number follows the text
@@ -165,7 +236,15 @@ def matches(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS) -> DataFram
             size["n"] = 0
             order = np.lexsort((pos, doc, seed))
             seed, pos, doc, place = seed[order], pos[order].astype(np.int32), doc[order], place[order]
-            new, found = _linked(seed, doc, pos, k, min_words)
+            head, before = _holders(seed, doc)
+            long = (seed & _LONG).astype(bool)
+            # of a window the first goes on, of a seed as many as show that it is frequent
+            new = np.where(long, head == np.arange(len(seed)), before <= HOLDERS)
+            over = ~new & ~long
+            stays = ~new | (head == np.arange(len(seed)))
+            own = np.cumsum(stays) - 1
+            found = _linked(seed[stays], doc[stays], pos[stays], own[head[stays]], k, min_words)
+            found = _stacked([found, _occurrences(seed[over], doc[over], pos[over], FREQUENT)])
             bucket = ((place[new] >> shift) * np.uint64(buckets) >> shift).astype(np.int64)
             # in the order of the texts: ids and distances of positions take few bytes
             order = np.lexsort((pos[new], doc[new], seed[new] & _LONG, bucket))
@@ -173,12 +252,12 @@ def matches(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS) -> DataFram
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
             into = np.searchsorted(np.arange(buckets + 1) * (len(found[0]) / buckets), np.arange(len(found[0])), "right") - 1
             cut = np.searchsorted(into, np.arange(buckets + 1))
-            rows = [[] for _ in range(9)]
+            rows = [[] for _ in range(10)]
             for b in range(buckets):
                 s, m = slice(edge[b], edge[b + 1]), slice(cut[b], cut[b + 1])
                 if s.start == s.stop and m.start == m.stop:
                     continue
-                parts = [seed[s], doc[s], np.diff(pos[s], prepend=np.int32(0)), found[0][m], found[1][m], found[2][m], found[3][m], found[4][m]]
+                parts = [seed[s], doc[s], np.diff(pos[s], prepend=np.int32(0)), found[0][m], found[1][m], found[2][m], found[3][m], found[4][m], found[5][m]]
                 for column, x in zip(rows, [b, *[_planes(p) for p in parts]], strict=True):
                     column.append(x)
             return [pa.array(rows[0], pa.int32())] + [pa.array(c, pa.binary()) for c in rows[1:]]
@@ -205,14 +284,25 @@ def matches(docs: DataFrame, k: int = K, min_words: int = MIN_WORDS) -> DataFram
         seed, doc = all_of(1, np.uint64), all_of(2, np.int64)
         pos = np.concatenate([np.cumsum(_unplaned(x.as_py(), np.int32), dtype=np.int32) for x in table.column(3)])
         order = np.lexsort((pos, doc, seed))
-        _, far = _linked(seed[order], doc[order], pos[order], k, min_words)
-        near = (all_of(4, np.int64), all_of(5, np.int64), *(all_of(i, np.int32) for i in (6, 7, 8)))
-        return pa.table([np.concatenate(p) for p in zip(near, far, strict=True)], names=["d", "c", "pd", "pc", "n"])
+        seed, doc, pos = seed[order], doc[order], pos[order]
+        head, before = _holders(seed, doc)
+        holders = np.zeros(len(seed), np.int64)
+        np.maximum.at(holders, head, before + 1)
+        holders = np.where(seed & _LONG, 0, holders[head])  # of a seed
+        often, several = holders > HOLDERS, (holders > 1) & (holders <= HOLDERS)
+        parts = [
+            (all_of(4, np.int64), all_of(5, np.int64), *(all_of(i, np.int32) for i in (6, 7, 8, 9))),
+            _linked(seed, doc, pos, head, k, min_words),
+            _others(seed, doc, pos, head, several, k),
+            _occurrences(seed[often], doc[often], pos[often], FREQUENT),
+            _occurrences(seed[several], doc[several], pos[several], SHARED),
+        ]
+        return pa.table(list(_stacked(parts)), names=["d", "c", "pd", "pc", "n", "kind"])
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "bucket: int, seed: binary, doc: binary, pos: binary, ld: binary, lc: binary, lpd: binary, lpc: binary, ln: binary"
+    schema = "bucket: int, seed: binary, doc: binary, pos: binary, ld: binary, lc: binary, lpd: binary, lpc: binary, ln: binary, lk: binary"
     blocks = map_batches(rows, make, schema)
-    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "d long, c long, pd int, pc int, n int")
+    return blocks.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(join, "d long, c long, pd int, pc int, n int, kind int")
 
 
 def chain_runs(runs: list[tuple]) -> list[tuple]:
@@ -271,40 +361,16 @@ def chain_runs(runs: list[tuple]) -> list[tuple]:
     return out
 
 
-def chains(found: DataFrame) -> DataFrame:
-    """d, c, i0, i1, j0, j1: chains of each pair worth aligning."""
+def by_document(rows: DataFrame, work, schema: str) -> DataFrame:
+    """work(columns of whole documents) -> columns or None, for long columns `d`, ..;
+    some 200,000 rows at a time, or one document's."""
+    width = len(rows.columns)
 
     def make():
         held: list[np.ndarray] = []
 
-        def work(d, c, pd, pc, n):
-            diagonal = pc - pd
-            order = np.lexsort((pd, diagonal, c, d))
-            d, c, pd, pc, n, diagonal = (v[order] for v in (d, c, pd, pc, n, diagonal))
-            same = (d[1:] == d[:-1]) & (c[1:] == c[:-1])
-            joined = same & (diagonal[1:] == diagonal[:-1]) & (pd[1:] - (pd + n)[:-1] <= RUN_GAP)
-            starts = np.flatnonzero(np.concatenate([[True], ~joined]))
-            size = np.maximum.reduceat(pd + n, starts) - pd[starts]
-            runs_at = np.lexsort((pc[starts], pd[starts], c[starts], d[starts]))
-            starts, size = starts[runs_at], size[runs_at]
-            rd, rc, i0, j0 = d[starts], c[starts], pd[starts], pc[starts]
-            i1, j1 = i0 + size, j0 + size
-            pair = np.concatenate([[True], (rd[1:] != rd[:-1]) | (rc[1:] != rc[:-1])])
-            at = np.append(np.flatnonzero(pair), len(rd))
-            columns: list[list] = [[] for _ in range(6)]
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                runs = list(zip(i0[s:e].tolist(), i1[s:e].tolist(), j0[s:e].tolist(), j1[s:e].tolist(), strict=True))
-                found = {r[1:] for r in chain_runs(runs)}
-                # a long run is aligned for itself too, whatever its chain comes to
-                found.update(r for r in runs if r[1] - r[0] >= LONG_RUN)
-                for chain in sorted(found):
-                    if chain[1] - chain[0] >= LEAST_CHAIN:
-                        for column, v in zip(columns, (int(rd[s]), int(rc[s]), *chain), strict=True):
-                            column.append(v)
-            return [pa.array(c, pa.int64()) for c in columns] if columns[0] else None
-
         def step(batch):
-            held.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)]))
+            held.append(np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(width)]))
             if sum(x.shape[1] for x in held) < 200_000:
                 return None
             rows = np.concatenate(held, axis=1)
@@ -314,14 +380,107 @@ def chains(found: DataFrame) -> DataFrame:
             return work(*rows[:, :cut]) if cut else None
 
         def finish():
-            rows = np.concatenate(held, axis=1) if held else np.empty((5, 0), np.int64)
+            rows = np.concatenate(held, axis=1) if held else np.empty((width, 0), np.int64)
             done = work(*rows) if rows.shape[1] else None
             return [done] if done else []
 
         return step, finish
 
-    sorted_rows = found.repartition("d").sortWithinPartitions("d")
-    return map_batches(sorted_rows, make, "d: long, c: long, i0: long, i1: long, j0: long, j1: long")
+    return map_batches(rows.repartition("d").sortWithinPartitions("d"), make, schema)
+
+
+def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> DataFrame:
+    """Matches in words of d that `rows` do not cover, and rows of kind TOGETHER: two
+    different seeds, at least one of them frequent, that c is a hash of, begin at word pd
+    of d and pc words behind it; n is 1 if `rows` do not cover both."""
+    span = max(min_words - k, 1)
+
+    def work(d, c, pd, pc, n, kind):
+        order = np.lexsort((pd, d))
+        d, c, pd, pc, n, kind = (v[order] for v in (d, c, pd, pc, n, kind))
+        at = (np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 32) + pd
+        done = kind == COVERED
+        begin, until = at[done], np.maximum.accumulate(at[done] + n[done])
+        row = np.searchsorted(begin, at, "right") - 1
+        words = np.where((kind == FIRST) | (kind == OTHER), n, k)
+        covered = (until[row] >= at + words) & (row >= 0) if len(begin) else np.zeros(len(d), bool)
+        keep = ((kind == FIRST) | (kind == OTHER)) & ~covered
+        parts = [tuple(v[keep] for v in (d, c, pd, pc, n, kind))]
+        seeds = (kind == FREQUENT) | (kind == SHARED)
+        d, seed, at, pd, often, covered = (v[seeds] for v in (d, c, at, pd, kind == FREQUENT, covered))
+        a = np.arange(len(seed))
+        ahead = 0
+        while len(a):
+            ahead += 1
+            a = a[a + ahead < len(seed)]
+            a = a[at[a + ahead] - at[a] <= span]
+            b = a + ahead
+            wide = (at[b] - at[a] >= LEAST_CHAIN - k) & (seed[a] != seed[b]) & (often[a] | often[b])
+            x, y = a[wide], b[wide]
+            both = mix(seed[x].astype(np.uint64) * _FIRST + seed[y].astype(np.uint64)).view(np.int64)
+            free = (~covered[x] | ~covered[y]).astype(np.int64)
+            parts.append((d[x], both, pd[x], pd[y] - pd[x], free, np.full(len(x), TOGETHER, np.int64)))
+        d, c, pd, pc, n, kind = _stacked(parts)
+        return [pa.array(v, t) for v, t in zip((d, c, pd, pc, n, kind), kinds, strict=True)] if len(d) else None
+
+    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+    taken = rows.select(
+        F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), F.col("start_word").cast("int").alias("pd"),
+        F.lit(0).alias("pc"), F.col("n_words").cast("int").alias("n"), F.lit(COVERED).alias("kind"),
+    )
+    return by_document(found.union(taken), work, "d: long, c: long, pd: int, pc: int, n: int, kind: int")
+
+
+def held_together(rows: DataFrame, k: int) -> DataFrame:
+    """Matches of kind OTHER with all earlier documents that hold both seeds too."""
+    pairs = rows.where(F.col("kind") == TOGETHER)
+    free = pairs.where("n = 1").select("d", "c", "pd", F.col("pc").alias("gap"))
+    other = pairs.select(F.col("d").alias("e"), "c", F.col("pd").alias("pe"), F.col("pc").alias("other_gap"))
+    both = free.join(other, "c").where("e < d")
+    match = lambda i, j, n: F.struct(i.alias("pd"), j.alias("pc"), n.alias("n"))
+    pd, pe, gap, other_gap = (F.col(c) for c in ("pd", "pe", "gap", "other_gap"))
+    two = F.array(match(pd, pe, F.lit(k)), match(pd + gap, pe + other_gap, F.lit(k)))
+    places = F.when(gap == other_gap, F.array(match(pd, pe, gap + k))).otherwise(two)
+    return both.select("d", F.col("e").alias("c"), F.inline(places)).withColumn("kind", F.lit(OTHER))
+
+
+def chains(found: DataFrame, more: bool = False) -> DataFrame:
+    """d, c, i0, i1, j0, j1: chains of each pair worth aligning; with `more` only of
+    pairs that have a match of kind OTHER."""
+
+    def work(d, c, pd, pc, n, kind):
+        diagonal = pc - pd
+        order = np.lexsort((pd, diagonal, c, d))
+        d, c, pd, pc, n, kind, diagonal = (v[order] for v in (d, c, pd, pc, n, kind, diagonal))
+        if more:
+            pair = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])]))
+            new = np.repeat(np.logical_or.reduceat(kind == OTHER, pair), np.diff(np.append(pair, len(d))))
+            if not new.any():
+                return None
+            d, c, pd, pc, n, diagonal = (v[new] for v in (d, c, pd, pc, n, diagonal))
+        same = (d[1:] == d[:-1]) & (c[1:] == c[:-1])
+        joined = same & (diagonal[1:] == diagonal[:-1]) & (pd[1:] - (pd + n)[:-1] <= RUN_GAP)
+        starts = np.flatnonzero(np.concatenate([[True], ~joined]))
+        size = np.maximum.reduceat(pd + n, starts) - pd[starts]
+        runs_at = np.lexsort((pc[starts], pd[starts], c[starts], d[starts]))
+        starts, size = starts[runs_at], size[runs_at]
+        rd, rc, i0, j0 = d[starts], c[starts], pd[starts], pc[starts]
+        i1, j1 = i0 + size, j0 + size
+        pair = np.concatenate([[True], (rd[1:] != rd[:-1]) | (rc[1:] != rc[:-1])])
+        at = np.append(np.flatnonzero(pair), len(rd))
+        columns: list[list] = [[] for _ in range(6)]
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            runs = list(zip(i0[s:e].tolist(), i1[s:e].tolist(), j0[s:e].tolist(), j1[s:e].tolist(), strict=True))
+            found = {r[1:] for r in chain_runs(runs)}
+            # a long run is aligned for itself too, whatever its chain comes to
+            found.update(r for r in runs if r[1] - r[0] >= LONG_RUN)
+            for chain in sorted(found):
+                if chain[1] - chain[0] >= LEAST_CHAIN:
+                    for column, v in zip(columns, (int(rd[s]), int(rc[s]), *chain), strict=True):
+                        column.append(v)
+        return [pa.array(c, pa.int64()) for c in columns] if columns[0] else None
+
+    return by_document(found, work, "d: long, c: long, i0: long, i1: long, j0: long, j1: long")
 
 
 def passing(blocks: np.ndarray, min_words: int, similarity: float) -> list[tuple[int, int, int, int, int]]:
@@ -387,7 +546,17 @@ def align(x: np.ndarray, y: np.ndarray, i0: int, i1: int, j0: int, j1: int, min_
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, other_id, start_word, n_words, other_start, other_words, similarity."""
-    found = materialize(chains(matches(docs, k, min_words)), "chains")
+    found = materialize(matches(docs, k, min_words), "matches")
+    linked = F.col("kind").isin(FIRST, OTHER)
+    first = materialize(aligned(docs, chains(found.where(F.col("kind") == FIRST)), min_words, similarity), "passages")
+    rest = materialize(left_open(found, covering(first), k, min_words), "open")
+    more = chains(rest.where(linked).union(held_together(rest, k)), more=True)
+    return covering(first.union(aligned(docs, more, min_words, similarity)))
+
+
+def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Rows of all spans that pass, around each chain."""
+    found = materialize(chained, "chains")
     key = ["d", "c", "i0", "i1", "j0", "j1"]
     ends = [("d", "i0", "i1", 0), ("c", "j0", "j1", 1)]
     wanted = None
@@ -431,11 +600,17 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
     one = [F.max(F.when(F.col("side") == s, F.struct("base", "words"))).alias(f"s{s}") for s in (0, 1)]
     both = slices.groupBy(*key).agg(*one).where("s0 is not null and s1 is not null")
     both = both.select(*key, "s0.base", "s0.words", F.col("s1.base").alias("base1"), F.col("s1.words").alias("words1"))
-    out = "doc_id: long, other_id: long, start_word: long, n_words: long, other_start: long, other_words: long, similarity: double"
-    aligned = map_batches(both, make_align, out)
+    return map_batches(both, make_align, ROWS)
+
+
+ROWS = "doc_id: long, other_id: long, start_word: long, n_words: long, other_start: long, other_words: long, similarity: double"
+
+
+def covering(rows: DataFrame) -> DataFrame:
+    """The fewest rows that cover what all rows of a document cover."""
     # of rows that begin together the one that reaches farthest comes first
     order = ["doc_id", "start_word", F.desc("n_words"), F.desc("similarity"), "other_id", "other_start", "other_words"]
-    in_order = aligned.repartition("doc_id").sortWithinPartitions(*order)
+    in_order = rows.repartition("doc_id").sortWithinPartitions(*order)
 
     def make_cover():
         cover = Cover()
@@ -456,7 +631,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
 
         return step, finish
 
-    return map_batches(in_order, make_cover, out)
+    return map_batches(in_order, make_cover, ROWS)
 
 
 class Cover:

@@ -481,3 +481,37 @@ def test_pipeline_stages_keep_the_columns(spark, sf, tmp_path):
         docs = spark.read.parquet(path)
         assert docs.count() > 0
     assert docs.select(F.sum("length")).first()[0] > 0
+
+
+@pytest.mark.parametrize(("partitions", "block", "holders"), [(1, 300_000, 32), (4, 300, 32), (1, 300_000, 2), (4, 300, 2)])
+def test_changed_passages_whose_parts_others_hold_first(spark, monkeypatch, partitions, block, holders):
+    """Every run of equal words of two changed copies is first met in other documents,
+    which hold 24 words of the passage each: no first holder is a right partner."""
+    monkeypatch.setattr(passages, "BLOCK_WORDS", block)
+    monkeypatch.setattr(passages, "HOLDERS", holders)
+    docs, want = [], set()
+    for n in range(3):
+        p = [f"m{n}x{i}" for i in range(72)]
+        for s in (0, 24, 48) * 3:
+            docs.append(p[s : s + 24])
+        docs.append(p)
+        for copy in range(2):
+            docs.append([f"c{n}x{copy}x{i}" if i % 24 == 12 else w for i, w in enumerate(p)])
+            want.add(len(docs) - 1)
+        docs.append([f"v{n}x{i}" if i % 3 == 0 else w for i, w in enumerate(p)])  # too much changed
+    rows = [(d, " ".join([f"d{d}x{i}" for i in range(70)] + t + [f"e{d}x{i}" for i in range(70)])) for d, t in enumerate(docs)]
+    found = passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)).collect()
+    assert {r.doc_id for r in found} == want
+    assert all(r.n_words >= 70 and r.similarity > 0.9 and r.other_id < r.doc_id for r in found)
+
+
+def test_repeated_words_beside_a_passage(spark):
+    """Seeds that repeat close by are thinned; the exact windows around them still meet."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(6):
+        p = [f"m{n}x{i}" for i in range(8)] + ["na"] * rng.randint(20, 60) + [f"q{n}x{i}" for i in range(30)] + ["la", "li"] * 30
+        for copy in range(3):
+            rows.append((len(rows), " ".join(["na"] * 7 * copy + [f"d{len(rows)}x{i}" for i in range(20)] + p + ["la"] * copy)))
+    got = {r.doc_id for r in passages.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {d for d in range(18) if d % 3}
