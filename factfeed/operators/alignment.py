@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.rows import bind
 from ..functions.text import chars
 
-_FAR = 2**31 - 1
+_WORD = 62  # sentence positions in a number: a sum of two and a carry fits 64 bits
+_FULL = 2**_WORD - 1
 
 
 def common_run(sentence: Column, answer: Column) -> Column:
@@ -60,44 +61,80 @@ def common_run(sentence: Column, answer: Column) -> Column:
 def common_letters(statement: Column, sentence: Column) -> Column:
     """A longest common subsequence, read back from its earliest end.
 
-    For every prefix of the statement and every length k the fold keeps the earliest
-    sentence position at which a common subsequence of k letters can end: with one
-    more letter it is the old one, or that letter's next place behind the end of
-    k - 1 letters. Reading back, each letter is the first one of the statement with
-    which its length is reached in time.
+    For every prefix of the statement the sentence positions are kept at which a common
+    subsequence of one more letter can end first: as the zero bits of words of `_WORD`
+    positions, so that one more letter is a sum and three masks a word (the published
+    bit-vector form, Hyyro 2004). Reading back, a letter is taken where the row before
+    it has an end less among the positions left; it lies at the last end among them.
     """
-    letters = F.filter(chars(statement), lambda c: c != "")
-    row = F.array(F.lit(0))
+    n = F.length(sentence)
+    full = F.lit(_FULL).cast("bigint")
+    words = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / _WORD).cast("int"))).otherwise(
+        F.array().cast("array<int>")
+    )
+
+    def reversed_word(w: Column) -> Column:
+        places = F.sequence(F.least(n, (w + 1) * _WORD), w * _WORD + 1, F.lit(-1))
+        return F.transform(places, lambda i: F.substring(sentence, i, F.lit(1)))
+
+    def longest(letters: Column) -> Column:
+        own = F.array_distinct(letters)
+
+        def with_words(parts: Column) -> Column:
+            def mask(c: Column) -> Column:
+                bits = lambda part: F.array_join(F.transform(part, lambda x: F.when(x == c, "1").otherwise("0")), "")
+                return F.transform(parts, lambda part: F.call_function("conv", bits(part), F.lit(2), F.lit(10)).cast("bigint"))
 
-    def extend(rows: Column, c: Column) -> Column:
-        ends = F.element_at(rows, -1)
+            return F.transform(F.array(F.map_from_arrays(own, F.transform(own, mask))), rows_of)
 
-        def better(e: Column, k: Column) -> Column:
-            at = F.position(c, sentence, F.get(ends, k - 1) + 1)
-            return F.when((k > 0) & (at > 0) & (at < e), at).otherwise(e)
+        def rows_of(masks: Column) -> Column:
+            def extend(rows: Column, c: Column) -> Column:
+                def add(s: Column, pair: Column) -> Column:
+                    v, m = pair["v"], pair["m"]
+                    total = v + v.bitwiseAND(m) + s["carry"]
+                    new = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full)
+                    return F.struct(F.shiftright(total, _WORD).alias("carry"), F.array_append(s["row"], new).alias("row"))
 
-        longer = F.position(c, sentence, F.element_at(ends, -1) + 1)
-        kept = F.transform(ends, better)
-        return F.array_append(rows, F.when(longer > 0, F.array_append(kept, longer)).otherwise(kept))
+                zero = F.struct(F.lit(0).cast("bigint").alias("carry"), F.array().cast("array<bigint>").alias("row"))
+                pairs = F.zip_with(F.element_at(rows, -1), F.element_at(masks, c), lambda v, m: F.struct(v.alias("v"), m.alias("m")))
+                return F.array_append(rows, F.aggregate(pairs, zero, add)["row"])
 
-    rows = F.aggregate(letters, F.array(row), extend)
+            return F.aggregate(letters, F.array(F.transform(words, lambda _: full)), extend)
 
-    def read_back(rows: Column) -> Column:
-        last = F.element_at(rows, -1)
-        zero = F.struct(F.element_at(last, -1).alias("until"), F.lit("").alias("text"))
+        def read_back(rows: Column) -> Column:
+            def ends(i: Column, until: Column) -> Column:
+                """Ends of row i up to a position, word by word."""
 
-        def pick(s: Column, k: Column) -> Column:
-            def late(r: Column) -> Column:
-                return F.coalesce(F.get(r, k), F.lit(_FAR)) > s["until"]
+                def word(v: Column, w: Column) -> Column:
+                    left = F.least(F.greatest(until - w * _WORD, F.lit(0)), F.lit(_WORD))
+                    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), left.cast("int")) - 1
+                    return F.bitwise_not(v).bitwiseAND(low)
 
-            i = F.size(F.filter(rows, late))  # prefixes that are too short: a run from the first
-            end = F.get(F.get(rows, i), k)
-            return F.struct((end - 1).alias("until"), F.concat(F.get(letters, i - 1), s["text"]).alias("text"))
+                return F.transform(F.get(rows, i), word)
 
-        ks = F.reverse(F.sequence(F.lit(1), F.size(last) - 1))
-        return F.when(F.size(last) > 1, F.aggregate(ks, zero, pick, lambda s: s["text"])).otherwise("")
+            def count(found: Column) -> Column:
+                return F.aggregate(found, F.lit(0), lambda a, x: a + F.bit_count(x))
 
-    return F.get(F.transform(F.array(rows), read_back), F.lit(0))
+            def last(found: Column) -> Column:
+                return F.array_max(F.transform(found, lambda x, w: F.when(x != 0, w * _WORD + F.length(F.bin(x)))))
+
+            def pick(s: Column, i: Column) -> Column:
+                taken = count(ends(i, s["until"])) > count(ends(i - 1, s["until"]))
+                end = last(ends(i, s["until"]))
+                more = F.struct((end - 1).alias("until"), F.concat(F.get(letters, i - 1), s["text"]).alias("text"))
+                return F.when(taken, more).otherwise(s)
+
+            steps = F.when(F.size(letters) > 0, F.sequence(F.size(letters), F.lit(1), F.lit(-1)))
+            end = last(ends(F.size(letters), n))
+            zero = F.struct(F.coalesce(end, F.lit(0)).alias("until"), F.lit("").alias("text"))
+            return F.coalesce(F.aggregate(steps, zero, pick, lambda s: s["text"]), F.lit(""))
+
+        rows = F.get(F.get(F.transform(F.array(F.transform(words, reversed_word)), with_words), F.lit(0)), F.lit(0))
+        return F.get(F.transform(F.array(rows), read_back), F.lit(0))
+
+    # results are bound to names by one-element transforms
+    letters = F.filter(chars(statement), lambda c: c != "")
+    return F.get(F.transform(F.array(letters), longest), F.lit(0))
 
 
 def locate_sentences(df: DataFrame, sentence: str = "sentence", answer: str = "answer") -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -166,3 +167,16 @@ def test_token_index(spark):
 def test_last_char(spark):
     df = spark.createDataFrame([((0, 4, 3),), ((0, 0, 0),)], "place struct<sent_at:int,ans_at:int,n:int>")
     assert [r["c"] for r in df.select(last_char(F.col("place")).alias("c")).collect()] == [6, -1]
+
+
+def test_common_letters_of_long_texts(spark):
+    """Work of a letter follows the sentence's words of bits, not its length times the
+    letters found: texts of many words of bits are read back in seconds."""
+    rng = random.Random(8)
+    pairs = [tuple("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (500, 900)) for _ in range(16)]
+    df = spark.createDataFrame(pairs, "s string, t string").coalesce(1)
+    begin = time.monotonic()
+    rows = df.select("s", "t", common_letters(F.col("s"), F.col("t")).alias("got")).collect()
+    assert time.monotonic() - begin < 10
+    for r in rows[:2]:
+        assert r.got == read_back(r.s, r.t)
