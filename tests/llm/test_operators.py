@@ -486,14 +486,14 @@ def test_pipeline_stages_keep_the_columns(spark, sf, tmp_path):
 @pytest.mark.parametrize(("partitions", "block", "holders"), [(1, 300_000, 32), (4, 300, 32), (1, 300_000, 2), (4, 300, 2)])
 def test_changed_passages_whose_parts_others_hold_first(spark, monkeypatch, partitions, block, holders):
     """Every run of equal words of two changed copies is first met in other documents,
-    which hold 24 words of the passage each: no first holder is a right partner."""
+    which hold 36 words of the passage each: no first holder is a right partner."""
     monkeypatch.setattr(passages, "BLOCK_WORDS", block)
     monkeypatch.setattr(passages, "HOLDERS", holders)
     docs, want = [], set()
     for n in range(3):
         p = [f"m{n}x{i}" for i in range(72)]
-        for s in (0, 24, 48) * 3:
-            docs.append(p[s : s + 24])
+        for s in (0, 12, 24, 36) * 3:
+            docs.append(p[s : s + 36])
         docs.append(p)
         for copy in range(2):
             docs.append([f"c{n}x{copy}x{i}" if i % 24 == 12 else w for i, w in enumerate(p)])
