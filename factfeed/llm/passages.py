@@ -16,9 +16,11 @@
    before and after it: a chain whose whole span does not pass is split at its gaps.
 5. The first holders come first. For the words that their rows leave open, 3 and 4 are
    done again with all other holders. Of a seed with more than `HOLDERS` documents
-   they are found by two different seeds within `min_words` words: a join on that pair
-   gives all earlier documents that hold both, without a cap. Copies are covered by
-   then, so what is joined are the words that no first holder explains.
+   they are found by two different seeds within `min_words` words, in turns: the first
+   document that holds both, then the next, `MORE` times as many a turn, without a cap.
+   A turn takes the words that are open after the one before. So a group of documents
+   that resemble one another is joined with a few of them, and all earlier holders are
+   tried only for words that none of them explains.
 6. Of a document's rows the fewest are kept that cover the same words, so their
    number is bounded by its words and not by its partners.
 
@@ -45,10 +47,10 @@ from difflib import SequenceMatcher
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factfeed.session import materialize
+from factfeed.session import materialize, small_or_none
 
 from .common import map_batches, texts
 from .wordhash import Words, hash_words, long_windows, mix, windows
@@ -59,6 +61,8 @@ MIN_WORDS, SIMILARITY = 50, 0.8
 BLOCK_WORDS = 300_000  # a task holds about a key for four words of a block, some 10 MB
 BUCKET_BYTES = 5 << 20  # of text whose keys a bucket holds, about a quarter of a million
 HOLDERS = 32  # documents of a seed up to which all are linked with one another
+MORE = 8  # times as many holders of two seeds are tried in a turn as in all before
+WANTED_ROWS = 1_000_000  # documents to align up to which texts are picked before they are hashed
 WIDE = 3  # bytes of a word in an alignment: two words are taken for one in 16 million
 RUN_GAP = 40  # words between two matches of a run
 GAP_COST = 0.2  # of each word left out in either text, against 1 for a word matched
@@ -389,6 +393,30 @@ def by_document(rows: DataFrame, work, schema: str) -> DataFrame:
     return map_batches(rows.repartition("d").sortWithinPartitions("d"), make, schema)
 
 
+def _until(d, pd, n, taken):
+    """Places of rows in (d, pd) order on one line, and a function that tells which
+    words are in one of the `taken` rows."""
+    at = (np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 32) + pd
+    begin, end = at[taken], np.maximum.accumulate(at[taken] + n[taken])
+
+    def covered(place, words):
+        row = np.searchsorted(begin, place, "right") - 1
+        return (end[row] >= place + words) & (row >= 0) if len(begin) else np.zeros(len(place), bool)
+
+    return at, covered
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), F.col("start_word").cast("int").alias("pd"),
+        F.lit(0).alias("pc"), F.col("n_words").cast("int").alias("n"), F.lit(COVERED).alias("kind"),
+    )
+
+
+_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+_OPEN = "d: long, c: long, pd: int, pc: int, n: int, kind: int"
+
+
 def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> DataFrame:
     """Matches in words of d that `rows` do not cover, and rows of kind TOGETHER: two
     different seeds, at least one of them frequent, that c is a hash of, begin at word pd
@@ -398,12 +426,8 @@ def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> Data
     def work(d, c, pd, pc, n, kind):
         order = np.lexsort((pd, d))
         d, c, pd, pc, n, kind = (v[order] for v in (d, c, pd, pc, n, kind))
-        at = (np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 32) + pd
-        done = kind == COVERED
-        begin, until = at[done], np.maximum.accumulate(at[done] + n[done])
-        row = np.searchsorted(begin, at, "right") - 1
-        words = np.where((kind == FIRST) | (kind == OTHER), n, k)
-        covered = (until[row] >= at + words) & (row >= 0) if len(begin) else np.zeros(len(d), bool)
+        at, covers = _until(d, pd, n, kind == COVERED)
+        covered = covers(at, np.where((kind == FIRST) | (kind == OTHER), n, k))
         keep = ((kind == FIRST) | (kind == OTHER)) & ~covered
         parts = [tuple(v[keep] for v in (d, c, pd, pc, n, kind))]
         seeds = (kind == FREQUENT) | (kind == SHARED)
@@ -421,22 +445,36 @@ def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> Data
             free = (~covered[x] | ~covered[y]).astype(np.int64)
             parts.append((d[x], both, pd[x], pd[y] - pd[x], free, np.full(len(x), TOGETHER, np.int64)))
         d, c, pd, pc, n, kind = _stacked(parts)
-        return [pa.array(v, t) for v, t in zip((d, c, pd, pc, n, kind), kinds, strict=True)] if len(d) else None
+        return [pa.array(v, t) for v, t in zip((d, c, pd, pc, n, kind), _KINDS, strict=True)] if len(d) else None
 
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-    taken = rows.select(
-        F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), F.col("start_word").cast("int").alias("pd"),
-        F.lit(0).alias("pc"), F.col("n_words").cast("int").alias("n"), F.lit(COVERED).alias("kind"),
-    )
-    return by_document(found.union(taken), work, "d: long, c: long, pd: int, pc: int, n: int, kind: int")
+    return by_document(found.union(_taken(rows)), work, _OPEN)
+
+
+def still_open(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Of the rows of kind TOGETHER those whose seeds `rows` do not both cover."""
+
+    def work(d, c, pd, pc, n, kind):
+        order = np.lexsort((pd, d))
+        d, c, pd, pc, n, kind = (v[order] for v in (d, c, pd, pc, n, kind))
+        at, covers = _until(d, pd, n, kind == COVERED)
+        left = (kind == TOGETHER) & ~(covers(at, k) & covers(at + pc, k))
+        return [pa.array(v[left], t) for v, t in zip((d, c, pd, pc, n, kind), _KINDS, strict=True)] if left.any() else None
+
+    return by_document(pairs.union(_taken(rows)), work, _OPEN)
+
+
+def earlier_holders(pairs: DataFrame) -> DataFrame:
+    """Of the rows of kind TOGETHER those before a free row with the same seeds, as e, c,
+    pe, other_gap. A free row without any, as most are, takes no part in a join."""
+    last = pairs.where("n = 1").groupBy("c").agg(F.max("d").alias("last"))
+    before = pairs.join(last, "c").where("d < last")
+    return before.select(F.col("d").alias("e"), "c", F.col("pd").alias("pe"), F.col("pc").alias("other_gap"))
 
 
-def held_together(rows: DataFrame, k: int) -> DataFrame:
-    """Matches of kind OTHER with all earlier documents that hold both seeds too."""
-    pairs = rows.where(F.col("kind") == TOGETHER)
-    free = pairs.where("n = 1").select("d", "c", "pd", F.col("pc").alias("gap"))
-    other = pairs.select(F.col("d").alias("e"), "c", F.col("pd").alias("pe"), F.col("pc").alias("other_gap"))
-    both = free.join(other, "c").where("e < d")
+def held_together(free: DataFrame, holders: DataFrame, k: int) -> DataFrame:
+    """Matches of kind OTHER of rows of kind TOGETHER with earlier holders of both seeds."""
+    free = free.select("d", "c", "pd", F.col("pc").alias("gap"))
+    both = free.join(holders, "c").where("e < d")
     match = lambda i, j, n: F.struct(i.alias("pd"), j.alias("pc"), n.alias("n"))
     pd, pe, gap, other_gap = (F.col(c) for c in ("pd", "pe", "gap", "other_gap"))
     two = F.array(match(pd, pe, F.lit(k)), match(pd + gap, pe + other_gap, F.lit(k)))
@@ -547,11 +585,30 @@ def align(x: np.ndarray, y: np.ndarray, i0: int, i1: int, j0: int, j1: int, min_
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, other_id, start_word, n_words, other_start, other_words, similarity."""
     found = materialize(matches(docs, k, min_words), "matches")
-    linked = F.col("kind").isin(FIRST, OTHER)
-    first = materialize(aligned(docs, chains(found.where(F.col("kind") == FIRST)), min_words, similarity), "passages")
-    rest = materialize(left_open(found, covering(first), k, min_words), "open")
-    more = chains(rest.where(linked).union(held_together(rest, k)), more=True)
-    return covering(first.union(aligned(docs, more, min_words, similarity)))
+    first = aligned(docs, chains(found.where(F.col("kind") == FIRST)), min_words, similarity)
+    first = materialize(covering(first), "passages")
+    rest = materialize(left_open(found, first, k, min_words), "open")
+    linked = rest.where(F.col("kind").isin(FIRST, OTHER))
+    pairs = rest.where(F.col("kind") == TOGETHER)
+    rows, free = first, pairs.where("n = 1")
+    turn = F.row_number().over(Window.partitionBy("c").orderBy("e", "pe"))
+    holders = materialize(earlier_holders(pairs).withColumn("turn", turn), "holders")
+    done, reach = 0, 1
+    while True:
+        # rows that a holder not tried yet comes before
+        after = holders.where(F.col("turn") == done + 1).select("c", F.col("e").alias("next"))
+        free = free.join(after, "c").where("d > next").select(*free.columns)
+        if done:
+            free = still_open(free, rows, k)
+        free = materialize(free, "open")
+        if done and free.isEmpty():
+            return rows
+        tried = holders.where(F.col("turn").between(done + 1, reach))
+        more = chains(linked.union(held_together(free, tried, k)), more=True)
+        rows = materialize(covering(rows.union(aligned(docs, more, min_words, similarity))), "passages")
+        # these pairs are aligned now; their matches still widen the chains of later turns
+        linked = linked.withColumn("kind", F.lit(FIRST))
+        done, reach = reach, reach * MORE
 
 
 def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: float) -> DataFrame:
@@ -591,8 +648,14 @@ def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: flo
 
         return step
 
-    # each text becomes WIDE bytes a word once; the JVM cuts them around the chains
+    # each text with a chain becomes WIDE bytes a word once; the JVM cuts them around the chains
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ids = wanted.select("doc_id").distinct()
+    few = small_or_none(ids, WANTED_ROWS)
+    if few is None:
+        return docs.sparkSession.createDataFrame([], ROWS)
+    if ids is not few:
+        rows = rows.join(few, "doc_id", "left_semi")
     hashed = map_batches(rows, make_words, "doc_id: long, words: binary")
     base = F.greatest(F.col("lo") - PAD, F.lit(0))
     part = F.substring("words", (WIDE * base + 1).cast("int"), (WIDE * (F.col("hi") + PAD - base)).cast("int"))
