@@ -151,8 +151,8 @@ JOIN spine s ON s.answer_id = l.answer_id GROUP BY l.answer_id, l.sentence""",
     ),
 )
 def char_to_token(spark, sf):
-    rows = _located(spark, sf, _claims(spark, sf).select("answer_id", "sentence").distinct())
-    rows = rows.join(al.with_offsets(fx.outputs(spark, sf)).select("answer_id", "ends", "n_tokens"), "answer_id")
+    texts = al.with_offsets(fx.outputs(spark, sf)).select("answer_id", "ends", "n_tokens", F.array_join("tokens", "").alias("answer"))
+    rows = al.locate_sentences(_claims(spark, sf).select("answer_id", "sentence").distinct().join(texts, "answer_id"))
     tok = al.token_at(F.col("ends"), F.col("n_tokens"), al.last_char(F.col("place")))
     return rows.select("answer_id", "sentence", tok.alias("tok_no"))
 

@@ -20,26 +20,31 @@ def common_run(sentence: Column, answer: Column) -> Column:
     """(sent_at, ans_at, n) of the longest common substring; leftmost in the
     answer, then leftmost in the sentence.
 
-    A window moves over the sentence: it grows by a character as long as the answer
-    contains it, else it moves on and is one shorter, for what follows a substring
-    of the answer without its first character is one as well. So a sentence of n
-    characters takes at most 2 n searches. A second pass finds the leftmost place of
-    the windows that are as long as the longest.
+    A window moves over the sentence, one character longer than the best so far: it
+    grows while the answer contains it, by twice as many characters after a success
+    and half as many after a failure, else it moves on. A move, a success and the
+    failures that undo successes are at most 2 n + 1 steps for n characters; a sentence
+    that has long parts of the answer takes few searches. A second pass finds the
+    leftmost place of the windows that are as long as the longest.
     """
     n = F.length(sentence)
-    zero = F.struct(F.lit(1).alias("i"), F.lit(0).alias("l"), F.lit(0).alias("best"))
+
+    def state(i: Column, best: Column, by: Column) -> Column:
+        return F.struct(i.alias("i"), best.alias("best"), by.alias("by"))
 
     def move(s: Column, _: Column) -> Column:
-        i, l = s["i"], s["l"]
-        grows = (i + l <= n) & F.contains(answer, F.substring(sentence, i, l + 1))
+        i, best, by = s["i"], s["best"], s["by"]
+        longer = best + by
+        grows = (i + longer <= n + 1) & F.contains(answer, F.substring(sentence, i, longer))
         return (
-            F.when(i + s["best"] > n, s)  # what is left of the sentence cannot beat the best
-            .when(grows, F.struct(i.alias("i"), (l + 1).alias("l"), F.greatest(s["best"], l + 1).alias("best")))
-            .otherwise(F.struct((i + 1).alias("i"), F.greatest(l - 1, F.lit(0)).alias("l"), s["best"].alias("best")))
+            F.when(i + best > n, s)  # what is left of the sentence cannot beat the best
+            .when(grows, state(i, longer, by * 2))
+            .when(by > 1, state(i, best, (by / 2).cast("int")))
+            .otherwise(state(i + 1, best, by))
         )
 
-    steps = F.when(n > 0, F.sequence(F.lit(1), 2 * n)).otherwise(F.array().cast("array<int>"))
-    best = F.aggregate(steps, zero, move, lambda s: s["best"])
+    steps = F.when(n > 0, F.sequence(F.lit(1), 2 * n + 1)).otherwise(F.array().cast("array<int>"))
+    best = F.aggregate(steps, state(F.lit(1), F.lit(0), F.lit(1)), move, lambda s: s["best"])
 
     def leftmost(longest: Column) -> Column:
         starts = F.sequence(F.lit(1), n - longest + 1)
@@ -50,11 +55,11 @@ def common_run(sentence: Column, answer: Column) -> Column:
                 (F.position(F.substring(sentence, i, longest), answer) - 1).alias("ans_at"), (i - 1).alias("sent_at")
             ),
         )
-        first = F.array_min(places)
-        return F.struct(first["sent_at"].alias("sent_at"), first["ans_at"].alias("ans_at"), longest.alias("n"))
+        in_order = lambda first: F.struct(first["sent_at"].alias("sent_at"), first["ans_at"].alias("ans_at"), longest.alias("n"))
+        return F.get(F.transform(F.array(F.array_min(places)), in_order), F.lit(0))
 
     nothing = F.struct(F.lit(0).alias("sent_at"), F.lit(0).alias("ans_at"), F.lit(0).alias("n"))
-    # the fold's result is bound to a name by a one-element transform
+    # a result that is used twice is bound to a name by a one-element transform
     return F.get(F.transform(F.array(best), lambda b: F.when(b > 0, leftmost(b)).otherwise(nothing)), F.lit(0))
 
 
@@ -219,5 +224,17 @@ def with_offsets(outputs: DataFrame, special: bool = True) -> DataFrame:
 
 
 def token_at(ends: Column, n_tokens: Column, char: Column) -> Column:
-    """Token holding a character position, at most the last token."""
-    return F.least(F.size(F.filter(ends, lambda e: e <= char)), n_tokens - 1)
+    """Token holding a character position, at most the last token.
+
+    The ends are in order: the number of those up to the position is found by halving.
+    """
+    steps = F.sequence(F.lit(0), F.length(F.bin(n_tokens)))
+
+    def halve(s: Column, _: Column) -> Column:
+        low, high = s["low"], s["high"]
+        mid = F.shiftright(low + high, 1)
+        up = F.struct((mid + 1).alias("low"), high.alias("high"))
+        return F.when(low == high, s).when(F.get(ends, mid) <= char, up).otherwise(F.struct(low.alias("low"), mid.alias("high")))
+
+    whole = F.struct(F.lit(0).alias("low"), F.size(ends).alias("high"))
+    return F.least(F.aggregate(steps, whole, halve, lambda s: s["low"]), n_tokens - 1)

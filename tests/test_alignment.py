@@ -164,6 +164,29 @@ def test_token_index(spark):
     assert at == [0, 0, 0, 2, 2, 3, 3, 3, 3]
 
 
+def test_token_index_against_counting(spark):
+    rng = random.Random(9)
+    rows = [([word(rng, rng.choice((0, 0, 1, 2, 7))) for _ in range(rng.randint(1, 70))], rng.randint(-1, 150)) for _ in range(200)]
+    df = with_offsets(spark.createDataFrame(rows, "tokens array<string>, at int"))
+    for r in df.select("tokens", "at", token_at(F.col("ends"), F.col("n_tokens"), F.col("at")).alias("tok")).collect():
+        ends = [sum(map(len, r.tokens[: i + 1])) for i in range(len(r.tokens))]
+        assert r.tok == min(sum(e <= r["at"] for e in ends), len(ends) - 1)
+
+
+def test_few_searches_in_a_sentence_with_long_parts(spark, monkeypatch):
+    """The fold over a sentence of the answer but for one letter: its state moves in
+    as many steps as letters are left, and in a few more for each doubling."""
+    folds = []
+    real = F.aggregate
+    monkeypatch.setattr(F, "aggregate", lambda col, zero, step, end: folds.append((zero, step)) or real(col, zero, step, end))
+    sentence = "x".join([word(random.Random(1), 30), word(random.Random(2), 300)])
+    df = spark.createDataFrame([(sentence, sentence.replace("x", ""))], "s string, a string")
+    assert df.select(common_run(F.col("s"), F.col("a"))["n"]).first()[0] == 300
+    ((zero, step),) = folds
+    until = lambda k: df.select(real(F.sequence(F.lit(1), F.lit(k)), zero, step)["best"]).first()[0]
+    assert until(80) == 300
+
+
 def test_last_char(spark):
     df = spark.createDataFrame([((0, 4, 3),), ((0, 0, 0),)], "place struct<sent_at:int,ans_at:int,n:int>")
     assert [r["c"] for r in df.select(last_char(F.col("place")).alias("c")).collect()] == [6, -1]

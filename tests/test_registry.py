@@ -75,6 +75,11 @@ def test_rows_of_sequences_are_shuffled_once(spark, sf, no_broadcast):
     assert len(wide) == 1 and plan.count("Exchange") == 4
 
 
+def test_token_numbers_join_the_answers_once(spark, sf, no_broadcast):
+    plan = plan_of(entry.queries()["char_to_token"](spark, sf))
+    assert plan.count("SortMergeJoin") == 1 and plan.count("array_min(") == 1
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = plan_of(entry.queries()["html_escape"](spark, sf))
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan
