@@ -16,9 +16,12 @@
    before and after it: a chain whose whole span does not pass is split at its gaps.
 5. The first holders come first. For the words that their rows leave open, 3 and 4 are
    done again with all other holders. Of a seed with more than `HOLDERS` documents
-   they are found by two different seeds within `min_words` words: a join on that pair
-   gives all earlier documents that hold both, without a cap. Copies are covered by
-   then, so what is joined are the words that no first holder explains.
+   they are found by two different seeds within `min_words` words: first the first
+   document that holds both; for the words still open then all earlier documents that
+   hold both, without a cap, whose words beside the two seeds allow a row at all (see
+   `may_pass`). That is tested within blocks of `TESTED` holders, on whole arrays; only
+   pairs that pass are joined, so a phrase that many documents hold links none of them
+   for the phrase alone.
 6. Of a document's rows the fewest are kept that cover the same words, so their
    number is bounded by its words and not by its partners.
 
@@ -29,7 +32,8 @@ each of them, unless rows cover those words of the later one already. So all wor
 windows of `min_words` words that an earlier document has are in a row, whatever
 documents hold parts of them and however the table is partitioned. Copies of whole
 documents are passages as well. A passage with changed words is missed if its two
-holders share no such seeds: one in about four k-word hashes is a seed.
+holders share no such seeds: one in about four k-word hashes is a seed. Words beside a
+row that are in no open seed, a word or so, are not looked for in other holders.
 
 Null, empty and short texts have no seeds and no rows. Rows that repeat a doc_id
 are one document, whose texts are not compared with one another. A null doc_id is
@@ -48,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factfeed.session import materialize
+from factfeed.session import materialize, small_or_none
 
 from .common import map_batches, texts
 from .wordhash import Words, hash_words, long_windows, mix, windows
@@ -59,6 +63,7 @@ MIN_WORDS, SIMILARITY = 50, 0.8
 BLOCK_WORDS = 300_000  # a task holds about a key for four words of a block, some 10 MB
 BUCKET_BYTES = 5 << 20  # of text whose keys a bucket holds, about a quarter of a million
 HOLDERS = 32  # documents of a seed up to which all are linked with one another
+TESTED = 256  # holders of two seeds in a block that is tested at once, some 20 MB
 WIDE = 3  # bytes of a word in an alignment: two words are taken for one in 16 million
 RUN_GAP = 40  # words between two matches of a run
 GAP_COST = 0.2  # of each word left out in either text, against 1 for a word matched
@@ -389,6 +394,30 @@ def by_document(rows: DataFrame, work, schema: str) -> DataFrame:
     return map_batches(rows.repartition("d").sortWithinPartitions("d"), make, schema)
 
 
+def _until(d, pd, n, taken):
+    """Places of rows in (d, pd) order on one line, and a function that tells which
+    words are in one of the `taken` rows."""
+    at = (np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 32) + pd
+    begin, end = at[taken], np.maximum.accumulate(at[taken] + n[taken])
+
+    def covered(place, words):
+        row = np.searchsorted(begin, place, "right") - 1
+        return (end[row] >= place + words) & (row >= 0) if len(begin) else np.zeros(len(place), bool)
+
+    return at, covered
+
+
+def _taken(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), F.col("start_word").cast("int").alias("pd"),
+        F.lit(0).alias("pc"), F.col("n_words").cast("int").alias("n"), F.lit(COVERED).alias("kind"),
+    )
+
+
+_KINDS = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+_OPEN = "d: long, c: long, pd: int, pc: int, n: int, kind: int"
+
+
 def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> DataFrame:
     """Matches in words of d that `rows` do not cover, and rows of kind TOGETHER: two
     different seeds, at least one of them frequent, that c is a hash of, begin at word pd
@@ -398,12 +427,8 @@ def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> Data
     def work(d, c, pd, pc, n, kind):
         order = np.lexsort((pd, d))
         d, c, pd, pc, n, kind = (v[order] for v in (d, c, pd, pc, n, kind))
-        at = (np.cumsum(np.concatenate([[0], d[1:] != d[:-1]])) << 32) + pd
-        done = kind == COVERED
-        begin, until = at[done], np.maximum.accumulate(at[done] + n[done])
-        row = np.searchsorted(begin, at, "right") - 1
-        words = np.where((kind == FIRST) | (kind == OTHER), n, k)
-        covered = (until[row] >= at + words) & (row >= 0) if len(begin) else np.zeros(len(d), bool)
+        at, covers = _until(d, pd, n, kind == COVERED)
+        covered = covers(at, np.where((kind == FIRST) | (kind == OTHER), n, k))
         keep = ((kind == FIRST) | (kind == OTHER)) & ~covered
         parts = [tuple(v[keep] for v in (d, c, pd, pc, n, kind))]
         seeds = (kind == FREQUENT) | (kind == SHARED)
@@ -421,22 +446,26 @@ def left_open(found: DataFrame, rows: DataFrame, k: int, min_words: int) -> Data
             free = (~covered[x] | ~covered[y]).astype(np.int64)
             parts.append((d[x], both, pd[x], pd[y] - pd[x], free, np.full(len(x), TOGETHER, np.int64)))
         d, c, pd, pc, n, kind = _stacked(parts)
-        return [pa.array(v, t) for v, t in zip((d, c, pd, pc, n, kind), kinds, strict=True)] if len(d) else None
+        return [pa.array(v, t) for v, t in zip((d, c, pd, pc, n, kind), _KINDS, strict=True)] if len(d) else None
 
-    kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-    taken = rows.select(
-        F.col("doc_id").alias("d"), F.lit(0).cast("long").alias("c"), F.col("start_word").cast("int").alias("pd"),
-        F.lit(0).alias("pc"), F.col("n_words").cast("int").alias("n"), F.lit(COVERED).alias("kind"),
-    )
-    return by_document(found.union(taken), work, "d: long, c: long, pd: int, pc: int, n: int, kind: int")
+    return by_document(found.union(_taken(rows)), work, _OPEN)
 
 
-def held_together(rows: DataFrame, k: int) -> DataFrame:
-    """Matches of kind OTHER with all earlier documents that hold both seeds too."""
-    pairs = rows.where(F.col("kind") == TOGETHER)
-    free = pairs.where("n = 1").select("d", "c", "pd", F.col("pc").alias("gap"))
-    other = pairs.select(F.col("d").alias("e"), "c", F.col("pd").alias("pe"), F.col("pc").alias("other_gap"))
-    both = free.join(other, "c").where("e < d")
+def still_open(pairs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Of the rows of kind TOGETHER those whose seeds `rows` do not both cover."""
+
+    def work(d, c, pd, pc, n, kind):
+        order = np.lexsort((pd, d))
+        d, c, pd, pc, n, kind = (v[order] for v in (d, c, pd, pc, n, kind))
+        at, covers = _until(d, pd, n, kind == COVERED)
+        left = (kind == TOGETHER) & ~(covers(at, k) & covers(at + pc, k))
+        return [pa.array(v[left], t) for v, t in zip((d, c, pd, pc, n, kind), _KINDS, strict=True)] if left.any() else None
+
+    return by_document(pairs.union(_taken(rows)), work, _OPEN)
+
+
+def held_together(both: DataFrame, k: int) -> DataFrame:
+    """Matches of kind OTHER of documents d and e that hold two seeds both."""
     match = lambda i, j, n: F.struct(i.alias("pd"), j.alias("pc"), n.alias("n"))
     pd, pe, gap, other_gap = (F.col(c) for c in ("pd", "pe", "gap", "other_gap"))
     two = F.array(match(pd, pe, F.lit(k)), match(pd + gap, pe + other_gap, F.lit(k)))
@@ -444,6 +473,94 @@ def held_together(rows: DataFrame, k: int) -> DataFrame:
     return both.select("d", F.col("e").alias("c"), F.inline(places)).withColumn("kind", F.lit(OTHER))
 
 
+def _window(share: np.ndarray, size: int) -> np.ndarray:
+    """Of each row of numbers, whether `size` or more in a row add up to 0 or more."""
+    total = np.concatenate([np.zeros((len(share), 1)), np.cumsum(share, axis=1)], axis=1)
+    if total.shape[1] <= size:
+        return np.zeros(len(share), bool)
+    return (total[:, size:] - np.minimum.accumulate(total[:, :-size], axis=1) >= -1e-6).any(axis=1)
+
+
+def may_pass(x: list[np.ndarray], y: list[np.ndarray], before: np.ndarray, min_words: int, similarity: float):
+    """Pairs (i, j) with before[i, j] of texts x[i] and y[j] that may have a row; every pair
+    that has one is among them.
+
+    In a row at least `similarity` of the words of x are words of y. Of a row of s words
+    (the longer side) with m matched the gaps between matches are at most the 2 (s - m)
+    words left out, so if matches of one word alone are many, m is small: words in
+    matches of two or more are at least 3 similarity - 2 of the row, and these are in
+    pairs of neighbours that y has too. Both shares must be met in `min_words` words.
+    """
+    of_y = np.repeat(np.arange(len(y)), [len(t) for t in y])
+    flat = np.concatenate(y).astype(np.int64)
+    same = of_y[1:] == of_y[:-1]
+    words, word = np.unique(flat, return_inverse=True)
+    nexts, pair = np.unique(((flat[:-1] << 32) | flat[1:])[same], return_inverse=True)
+    has_word, has_pair = np.zeros((len(y), len(words) + 1), bool), np.zeros((len(y), len(nexts) + 1), bool)
+    has_word[of_y, word], has_pair[of_y[1:][same], pair] = True, True
+
+    def places(known, asked):
+        at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+        return np.where(known[at] == asked, at, len(known)) if len(known) else np.zeros(len(asked), np.int64)
+
+    out = []
+    for i, text in enumerate(x):
+        wanted = np.flatnonzero(before[i])
+        if not len(wanted) or len(text) < min_words:
+            continue
+        text = text.astype(np.int64)
+        found = has_word[np.ix_(wanted, places(words, text))]
+        good = _window(found - similarity, min_words)
+        wanted = wanted[good]
+        joined = has_pair[np.ix_(wanted, places(nexts, (text[:-1] << 32) | text[1:]))]
+        beside = np.zeros((len(wanted), len(text)), bool)
+        beside[:, :-1] |= joined
+        beside[:, 1:] |= joined
+        out += [(i, j) for j in wanted[_window(beside - (3 * similarity - 2), min_words)].tolist()]
+    return out
+
+
+def candidates(free: DataFrame, held: DataFrame, words: DataFrame, k: int, min_words: int, similarity: float) -> DataFrame:
+    """d, e: documents of `free` (d, c, pd, gap) and earlier ones of `held` (e, c, pe, other_gap)
+    with the same two seeds c that may have a row beside them."""
+    blocks = lambda df, name: df.groupBy("c").agg((1 + F.expr(f"count(1) DIV {TESTED}")).cast("int").alias(name))
+    number = blocks(free, "f_blocks").join(blocks(held, "e_blocks"), "c")
+    both = free.select("c", "d", "pd", "gap", F.lit(0).alias("side"))
+    both = both.union(held.select("c", "e", "pe", "other_gap", F.lit(1))).join(number, "c")
+    f, e = F.col("f_blocks"), F.col("e_blocks")
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    own = lambda n: F.array(F.pmod(F.xxhash64("d", "pd"), n.cast("long")).cast("int"))
+    base = F.greatest(F.col("pd") - PAD, F.lit(0))
+    part = F.substring("words", WIDE * base + 1, WIDE * (F.col("pd") + F.col("gap") + k + PAD - base))
+    rows = both.join(_some(words, both.select(F.col("d").alias("doc_id"))), F.col("d") == F.col("doc_id"))
+    rows = rows.select("c", "side", "d", part.alias("words"), F.when(F.col("side") == 0, own(f)).otherwise(all_of(f)).alias("fs"), F.when(F.col("side") == 0, all_of(e)).otherwise(own(e)).alias("es"))
+    rows = rows.select("c", "side", "d", "words", F.explode("fs").alias("f"), "es").select("c", "side", "d", "words", "f", F.explode("es").alias("e"))
+
+    def test(table: pa.Table) -> pa.Table:
+        side, d = (table.column(i).to_numpy() for i in (1, 2))
+        text = [_numbers(t) for t in table.column(3).to_pylist()]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = may_pass([text[i] for i in x], [text[i] for i in y], d[y][None] < d[x][:, None], min_words, similarity) if len(x) and len(y) else []
+        pairs = sorted({(int(d[x[i]]), int(d[y[j]])) for i, j in pairs})
+        return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["d", "e"])
+
+    return rows.groupBy("c", "f", "e").applyInArrow(test, "d long, e long").distinct()
+
+
+def rest_of_holders(open_rows: DataFrame, pairs: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows of kind TOGETHER that are open and of all of them, those that may be linked
+    with one another: free (d, c, pd, gap) and held (e, c, pe, other_gap). The places
+    `head` of the first holders have been tried."""
+    last = open_rows.groupBy("c").agg(F.max("d").alias("last"))
+    few = small_or_none(last)
+    held = pairs.join(last if few is None else few, "c").where("d < last")
+    held = held.select(F.col("d").alias("e"), "c", F.col("pd").alias("pe"), F.col("pc").alias("other_gap"))
+    held = materialize(held.join(head, ["c", "e", "pe", "other_gap"], "left_anti"), "holders")
+    first = held.groupBy("c").agg(F.min("e").alias("first"))
+    free = open_rows.join(first, "c").where("d > first").select("d", "c", "pd", F.col("pc").alias("gap"))
+    return free, held
+
+
 def chains(found: DataFrame, more: bool = False) -> DataFrame:
     """d, c, i0, i1, j0, j1: chains of each pair worth aligning; with `more` only of
     pairs that have a match of kind OTHER."""
@@ -546,25 +663,41 @@ def align(x: np.ndarray, y: np.ndarray, i0: int, i1: int, j0: int, j1: int, min_
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, k: int = K) -> DataFrame:
     """doc_id, other_id, start_word, n_words, other_start, other_words, similarity."""
+    words = materialize(text_words(docs), "words")
     found = materialize(matches(docs, k, min_words), "matches")
-    linked = F.col("kind").isin(FIRST, OTHER)
-    first = materialize(aligned(docs, chains(found.where(F.col("kind") == FIRST)), min_words, similarity), "passages")
-    rest = materialize(left_open(found, covering(first), k, min_words), "open")
-    more = chains(rest.where(linked).union(held_together(rest, k)), more=True)
-    return covering(first.union(aligned(docs, more, min_words, similarity)))
-
-
-def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Rows of all spans that pass, around each chain."""
-    found = materialize(chained, "chains")
-    key = ["d", "c", "i0", "i1", "j0", "j1"]
-    ends = [("d", "i0", "i1", 0), ("c", "j0", "j1", 1)]
-    wanted = None
-    for doc, lo, hi, side in ends:
-        part = found.select(F.col(doc).alias("doc_id"), F.lit(side).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *key)
-        wanted = part if wanted is None else wanted.union(part)
+    rows = aligned(words, chains(found.where(F.col("kind") == FIRST)), min_words, similarity)
+    rows = materialize(covering(rows), "passages")
+    rest = materialize(left_open(found, rows, k, min_words), "open")
+    linked = rest.where(F.col("kind").isin(FIRST, OTHER))
+    pairs = rest.where(F.col("kind") == TOGETHER)
+    free = pairs.where("n = 1")
+    # the first document that holds two seeds
+    head = pairs.groupBy("c").agg(F.min(F.struct("d", "pd", "pc")).alias("h"))
+    head = head.select("c", F.col("h.d").alias("e"), F.col("h.pd").alias("pe"), F.col("h.pc").alias("other_gap"))
+    one = free.withColumnRenamed("pc", "gap").join(head, "c").where("e < d")
+    more = chains(linked.union(held_together(one, k)), more=True)
+    rows = materialize(covering(rows.union(aligned(words, more, min_words, similarity))), "passages")
+    # all other ones
+    free, held = rest_of_holders(materialize(still_open(free, rows, k), "open"), pairs, head)
+    free = materialize(free, "open")
+    tried = materialize(candidates(free, held, words, k, min_words, similarity), "candidates")
+    both = tried.join(free, "d").join(held, ["c", "e"])
+    # pairs of documents that are linked already are aligned; they still widen a chain
+    linked = linked.withColumn("kind", F.lit(FIRST))
+    more = chains(linked.join(tried.select("d", F.col("e").alias("c")), ["d", "c"], "left_semi").select(*linked.columns).union(held_together(both, k)), more=True)
+    return covering(rows.union(aligned(words, more, min_words, similarity)))
+
+
+def _some(words: DataFrame, ids: DataFrame) -> DataFrame:
+    """The words of these documents, picked before they are moved if they are few."""
+    few = small_or_none(ids.select("doc_id").distinct())
+    return words if few is None else words.join(few, "doc_id", "left_semi")
+
+
+def text_words(docs: DataFrame) -> DataFrame:
+    """doc_id, words: `WIDE` bytes a word."""
 
-    def make_words():
+    def make():
         def step(batch):
             out, ids = [], []
             for a in range(0, batch.num_rows, 500):
@@ -577,6 +710,20 @@ def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: flo
 
         return step
 
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return map_batches(rows, make, "doc_id: long, words: binary")
+
+
+def aligned(words: DataFrame, chained: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Rows of all spans that pass, around each chain."""
+    found = materialize(chained, "chains")
+    key = ["d", "c", "i0", "i1", "j0", "j1"]
+    ends = [("d", "i0", "i1", 0), ("c", "j0", "j1", 1)]
+    wanted = None
+    for doc, lo, hi, side in ends:
+        part = found.select(F.col(doc).alias("doc_id"), F.lit(side).alias("side"), F.col(lo).alias("lo"), F.col(hi).alias("hi"), *key)
+        wanted = part if wanted is None else wanted.union(part)
+
     def make_align():
         def step(batch):
             rows = [[] for _ in range(7)]
@@ -591,12 +738,10 @@ def aligned(docs: DataFrame, chained: DataFrame, min_words: int, similarity: flo
 
         return step
 
-    # each text becomes WIDE bytes a word once; the JVM cuts them around the chains
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    hashed = map_batches(rows, make_words, "doc_id: long, words: binary")
+    # the JVM cuts the words around the chains
     base = F.greatest(F.col("lo") - PAD, F.lit(0))
     part = F.substring("words", (WIDE * base + 1).cast("int"), (WIDE * (F.col("hi") + PAD - base)).cast("int"))
-    slices = wanted.join(hashed, "doc_id").select("side", base.alias("base"), part.alias("words"), *key)
+    slices = wanted.join(_some(words, wanted), "doc_id").select("side", base.alias("base"), part.alias("words"), *key)
     one = [F.max(F.when(F.col("side") == s, F.struct("base", "words"))).alias(f"s{s}") for s in (0, 1)]
     both = slices.groupBy(*key).agg(*one).where("s0 is not null and s1 is not null")
     both = both.select(*key, "s0.base", "s0.words", F.col("s1.base").alias("base1"), F.col("s1.words").alias("words1"))
