@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factfeed.config import SourceSpec
 from factfeed.operators.annotation import nest_labels
-from factfeed.session import fresh_path
+from factfeed.session import fresh_path, materialize
 from factfeed.sources.adapters import load_questions
 from factfeed.sources.docstore import lookup_titles
 from factfeed.sources.jsonl import count_records, read_jsonl, write_counted, write_jsonl
@@ -101,7 +101,7 @@ def source_adapters(spark, sf):
     """The three kinds of sources, normalized to one record."""
     docs = fx.docs(spark, sf)
     out = None
-    for kind, rows in (("qa_span", fx.qa_span), ("topic", fx.topics), ("qa_context", fx.qa_context)):
+    for kind, rows in (("qa_context", fx.qa_context), ("topic", fx.topics), ("qa_span", fx.qa_span)):
         part = load_questions(rows(spark, sf), docs, SourceSpec(kind=kind)).select(
             F.lit(kind).alias("kind"),
             "qid",
@@ -110,5 +110,6 @@ def source_adapters(spark, sf):
             F.array_join("materials", "|").alias("materials"),
             F.array_join("extra_materials", "|").alias("extra"),
         )
+        part = materialize(part, kind)  # the texts of one kind at a time are on their way
         out = part if out is None else out.unionByName(part)
     return out

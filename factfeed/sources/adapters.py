@@ -17,6 +17,7 @@ from ..operators.questions import (
     supporting_titles,
     unescape_titles,
 )
+from ..session import materialize
 
 RECORD = ("qid", "question", "titles", "materials", "extra_materials")
 
@@ -37,11 +38,12 @@ def from_qa_context(df: DataFrame, docs: DataFrame | None, spec: SourceSpec) ->
     """Questions with labeled paragraphs: (qid, question, answer, context, supporting_facts)."""
     df = keep_questions(df, spec.question_end, spec.min_words)
     df = df.withColumn("titles", supporting_titles(F.col("supporting_facts.title")))
-    df = _with_store(df, docs)
     fact = answer_fact(F.col("question"), F.col("answer"))
-    return _record(
-        df.withColumn("materials", F.array_append(gold_paragraphs(F.col("context"), F.col("titles")), fact))
-    )
+    df = df.withColumn("materials", F.array_append(gold_paragraphs(F.col("context"), F.col("titles")), fact))
+    if docs is None:
+        return _record(df)
+    # written before the texts are looked up: the paragraphs nobody asks for go no further
+    return _record(_with_store(materialize(df.select("qid", "question", "titles", "materials"), "asked"), docs))
 
 
 def from_qa_span(df: DataFrame, docs: DataFrame | None, spec: SourceSpec) -> DataFrame:
