@@ -70,7 +70,8 @@ def unescape_titles(df: DataFrame, title: str) -> DataFrame:
 
 
 def attach_documents(questions: DataFrame, docs: DataFrame, key: str = "qid") -> DataFrame:
-    """Add extra_materials: the text of every title found in the store.
+    """Add extra_materials, the text of every title found in the store, and n_found,
+    their number, for which no text moves.
 
     Titles are exploded and equi-joined; the texts come back in title order.
     Works on one row per (question, title), so a much-cited document is a
@@ -85,17 +86,22 @@ def attach_documents(questions: DataFrame, docs: DataFrame, key: str = "qid") ->
         .select(key, F.posexplode("store_keys").alias("_pos", "_key"))
         .join(store, "_key")
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("_found"))
-        .select(key, F.col("_found._text").alias("extra_materials"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("_found"),
+            F.count(F.lit(1)).cast("int").alias("n_found"),
+        )
+        .select(key, F.col("_found._text").alias("extra_materials"), "n_found")
     )
-    return questions.join(found, key, "left").withColumn(
-        "extra_materials", F.coalesce("extra_materials", F.array().cast("array<string>"))
+    return (
+        questions.join(found, key, "left")
+        .withColumn("extra_materials", F.coalesce("extra_materials", F.array().cast("array<string>")))
+        .withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     )
 
 
 def keep_resolved(df: DataFrame) -> DataFrame:
     """Questions for which every title led to exactly one document."""
-    return df.filter(F.size("extra_materials") == F.size("titles"))
+    return df.filter(F.col("n_found") == F.size("titles"))
 
 
 def chat_prompt(

@@ -92,6 +92,14 @@ def test_documents(spark):
     assert {r["title"]: r["paragraphs"] for r in found} == {"A &amp; B": ["<s>one", " two</s>"], "C": ["three"]}
 
 
+def test_documents_are_counted_without_their_texts(spark, tmp_path):
+    docs(spark).write.parquet(f"{tmp_path}/docs")
+    df = spark.createDataFrame([(1, ["C"]), (2, ["D"]), (3, None), (None, ["C"])], "qid long, titles array<string>")
+    rows = qs.keep_resolved(qs.attach_documents(df, spark.read.parquet(f"{tmp_path}/docs"))).select("qid")
+    assert [r["qid"] for r in rows.collect()] == [1]
+    assert "text:string" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_first_per_title_and_gold(spark):
     df = spark.createDataFrame([("t", 3, "c"), ("t", 1, "a"), ("u", 2, "b"), (None, 5, "n")], "title string, qid long, x string")
     assert sorted(r["x"] for r in qs.first_per_title(df, "qid").collect()) == ["a", "b", "n"]
@@ -142,6 +150,14 @@ def test_context_source(spark):
     assert got[1]["materials"] == ["y.", "x. 1.", 'The correct answer for "Which one is number 1 here" is "a1".']
 
 
+def test_context_source_is_written_before_its_documents_are_looked_up(spark, tmp_path):
+    """Paragraphs that no title asks for are not shuffled with the documents."""
+    contexts(spark).write.parquet(f"{tmp_path}/rows")
+    rows = load_questions(spark.read.parquet(f"{tmp_path}/rows"), docs(spark), SourceSpec(kind="qa_context"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "/asked-" in plan and "sentences" not in plan and rows.count() > 0
+
+
 def test_build_job(spark):
     spec = SourceSpec(kind="qa_context", n_questions=15, test_size=4, split="test", chat_template=ChatTemplate())
     topic = spark.createDataFrame([(1, "Tell me.", "A &amp; B"), (2, "And?", "gone")], "qid long, input string, topic string")
