@@ -148,14 +148,13 @@ def _later(heads: DataFrame, seq: str, width: int) -> DataFrame:
     """(seq, _chunk, _in): what each chunk receives from all later ones.
 
     A chunk turns what it receives into _p + _q * received. Blocks of `width` chunks
-    are composed to one such map each, the blocks of a sequence are gone through
-    from its end, and each block is then gone through with what it receives: lists
-    hold at most `width` chunks, or one entry per block.
+    are composed to one such map each; a block receives what the maps of the later ones
+    give from the sequence's end, and is then gone through with that: lists hold at most
+    `width` chunks, or one entry per later block.
     """
-    # the filter is what the join below asks of its sides: with it in both, the maps
-    # are computed and shuffled once
+    # one exchange, by sequence, for the blocks and for what each of them receives
     block = F.floor(F.col("_chunk") / width)
-    maps = heads.filter(F.col(seq).isNotNull() & block.isNotNull()).select(
+    maps = heads.filter(F.col(seq).isNotNull() & block.isNotNull()).repartition(seq).select(
         seq, block.alias("_block"), F.struct(F.col("_chunk").alias("c"), "_p", "_q").alias("_m")
     )
     from_end = lambda items: F.reverse(F.array_sort(F.collect_list(items)))
@@ -165,28 +164,18 @@ def _later(heads: DataFrame, seq: str, width: int) -> DataFrame:
         "_ms", one, lambda acc, m: F.struct((m["_p"] + m["_q"] * acc["p"]).alias("p"), (m["_q"] * acc["q"]).alias("q"))
     )
 
-    def unroll(items: str, start: Column, number: str) -> Column:
-        number_type = f"array<struct<{number}:bigint,_in:double>>"
-        zero = F.struct(start.alias("x"), F.array().cast(number_type).alias("out"))
+    later = Window.partitionBy(seq).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    received = F.aggregate(F.collect_list("_w").over(later), F.lit(0.0), lambda x, m: m["p"] + m["q"] * x)
+    zero = F.struct(F.col("_start").alias("x"), F.array().cast("array<struct<c:bigint,_in:double>>").alias("out"))
 
-        def step(acc: Column, m: Column) -> Column:
-            row = F.struct(m[number].alias(number), acc["x"].alias("_in"))
-            return F.struct((m["_p"] + m["_q"] * acc["x"]).alias("x"), F.array_append(acc["out"], row).alias("out"))
+    def step(acc: Column, m: Column) -> Column:
+        row = F.struct(m["c"].alias("c"), acc["x"].alias("_in"))
+        return F.struct((m["_p"] + m["_q"] * acc["x"]).alias("x"), F.array_append(acc["out"], row).alias("out"))
 
-        return F.aggregate(items, zero, step)["out"]
-
-    composed = bind(blocks, "_w", whole).select(
-        seq, F.struct(F.col("_block").alias("b"), F.col("_w.p").alias("_p"), F.col("_w.q").alias("_q")).alias("_m")
-    )
-    received = (
-        composed.groupBy(seq)
-        .agg(from_end("_m").alias("_bs"))
-        .select(seq, F.inline(unroll("_bs", F.lit(0.0), "b")))
-        .select(F.col(seq), F.col("b").alias("_block"), F.col("_in").alias("_start"))
-    )
     return (
-        blocks.join(received, [seq, "_block"])
-        .select(seq, F.inline(unroll("_ms", F.col("_start"), "c")))
+        bind(blocks, "_w", whole)
+        .withColumn("_start", received)
+        .select(seq, F.inline(F.aggregate("_ms", zero, step)["out"]))
         .withColumnRenamed("c", "_chunk")
     )
 
